@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skillspark.operators import hierarchy, references
+from skillspark.operators import hierarchy, packed, references, units
 from skillspark.operators.references import Reference
 from skillspark.session import table
 
@@ -26,6 +27,23 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(p2_found(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a line is sent again with the same list: the latest one counts
+    latest = F.max(F.struct("fetched_at", "job_skills")).getField("job_skills").alias("text")
+    lists = table(spark, sf_dir, "data_jobs").where("_row_id IS NOT NULL").groupBy(F.col("_row_id").alias("row_id")).agg(latest)
+    names = table(spark, sf_dir, "skills").select(F.col("canonical_name").alias("term"))
+    return packed.unpack(lists, names.where(F.col("term").rlike(f"[{packed.DELIMITERS.strip()}]")).distinct())
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.annual_pay(
+        table(spark, sf_dir, "job_records"),
+        table(spark, sf_dir, "money_units"),
+        table(spark, sf_dir, "period_units"),
+        table(spark, sf_dir, "feed_units"),
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.unfold(hierarchy.latest_parents(table(spark, sf_dir, "skills")))
 
@@ -63,7 +81,7 @@ FROM named n JOIN below b ON b.id = n.id
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_report": p2_report, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
