@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillspark.llm import components
-from skillspark.session import table
+from skillspark.llm import components, survivorship
+from skillspark.session import cut_lineage, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.match_groups(table(spark, sf_dir, "record_pairs"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = cut_lineage(p3_found(spark, sf_dir))
+    return survivorship.survivors(table(spark, sf_dir, "job_records"), groups)
+
+
 P3_SQL = """
 WITH RECURSIVE e AS (
   SELECT left_no a, right_no b FROM record_pairs WHERE is_match AND left_no <> right_no
@@ -22,7 +27,7 @@ SELECT a AS rec_no, least(a, min(b)) AS group_id FROM reach GROUP BY a
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
