@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillspark.llm import components, survivorship
+from skillspark.llm import components, survivorship, truncation
 from skillspark.session import cut_lineage, table
 
 
@@ -17,6 +17,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(table(spark, sf_dir, "job_records"), groups)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return truncation.truncation_report(documents, truncation.truncated(documents))
+
+
 P3_SQL = """
 WITH RECURSIVE e AS (
   SELECT left_no a, right_no b FROM record_pairs WHERE is_match AND left_no <> right_no
@@ -27,7 +36,7 @@ SELECT a AS rec_no, least(a, min(b)) AS group_id FROM reach GROUP BY a
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p10_found": p10_found, "p10_report": p10_report}
 
 
 def oracle_sql() -> dict[str, str]:
