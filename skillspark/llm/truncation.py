@@ -30,6 +30,12 @@ MIN_WORD = 2
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.25
 #: Last words that end a sentence in fewer than this share of cases are a break at a source's limit or before a mark of omission.
 RARE_END = 0.5
+#: Where sentences end with a smaller probability the end is a break.
+NEVER_END = 0.015
+#: The last word is the beginning of another if that follows the word before so often, and so many times as often as the last word itself.
+LONGER, LONGER_TIMES = 5, 20
+#: A shorter context counts as so many cases of the longer one; unknown words end a sentence with this probability.
+BACKOFF, PRIOR_END = 2.0, 0.2
 #: A closing line (digits aside) ends at least this share of all texts, and so many.
 CLOSING_SHARE, CLOSING_TEXTS = 0.001, 8
 
@@ -83,9 +89,9 @@ def _key(kind: int, *parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join((str(kind), *parts))) - (1 << 63)
 
 
-def _contexts(w: list[str]) -> tuple[int, int]:
-    """Keys of the last three and the last two words."""
-    return _key(3, *w[-3:]), _key(2, *w[-2:])
+def _contexts(w: list[str]) -> list[tuple]:
+    """The last three, two and one words."""
+    return [(3, *w[-3:]), (2, *w[-2:]), (1, w[-1])]
 
 
 def closing_pattern(line: str) -> str:
@@ -102,10 +108,9 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
     def rows(vocabulary: Counter, ends: Counter, mids: Counter) -> pd.DataFrame:
         out = [(x, None, n, 0) for x, n in vocabulary.items()]
         for t in ends.keys() | mids.keys():
-            kind = 2 if t[-1] == "" else 3
-            out.append((None, _key(kind, *(t[:2] if kind == 2 else t)), ends.get(t, 0), mids.get(t, 0)))
-            if kind == 2:
-                out += [(None, _key(4, t[0], t[1][:n]), 0, 1) for n in range(1, min(len(t[1]), 24))]
+            out.append((None, _key(*t), ends.get(t, 0), mids.get(t, 0)))
+            if t[0] == 2:
+                out += [(None, _key(4, t[1], t[2][:n]), 0, ends.get(t, 0) + mids.get(t, 0)) for n in range(1, min(len(t[2]), 24))]
         word, key, end, mid = zip(*out) if out else ((), (), (), ())
         # a plain column of keys and nulls would turn into floats
         return pd.DataFrame({"word": word, "key": pd.array(key, dtype="Int64"), "ends": end, "mids": mid})
@@ -120,12 +125,9 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
                     continue
                 for w in finished(plain_lines(text)[0]):
                     vocabulary.update(w[1:])
-                    n = len(w)
-                    for i in range(2, n):
-                        mids[tuple(w[max(0, i - 3) : i])] += 1
-                        mids[(w[i - 2], w[i - 1], "")] += 1
-                    ends[tuple(w[-3:])] += 1
-                    ends[(w[-2], w[-1], "")] += 1
+                    for i in range(2, len(w) + 1):
+                        for t in _contexts(w[:i]):
+                            (mids if i < len(w) else ends)[t] += 1
             if len(mids) > FLUSH:
                 yield rows(vocabulary, ends, mids)
                 vocabulary, ends, mids = Counter(), Counter(), Counter()
@@ -142,7 +144,7 @@ def trie_nodes(vocabulary: DataFrame) -> DataFrame:
 
 
 def text_ends(documents: DataFrame, closings: set[str]) -> DataFrame:
-    """(doc_id, source, n_chars, n_bytes, torn, open, last, tri, bi, stem) of each unfinished end: of the last line and, before closing lines, of the line there.
+    """(doc_id, source, n_chars, n_bytes, torn, open, last, tri, bi, uni, stem) of each unfinished end that is no closing line.
 
     open: the end is a sign that asks for more.
     """
@@ -152,24 +154,19 @@ def text_ends(documents: DataFrame, closings: set[str]) -> DataFrame:
             rows = []
             for i, source, text in zip(b["doc_id"], b["source"], b["text"]):
                 lines, torn = plain_lines(text)
-                at = len(lines) - 1
-                while at > 0 and closing_pattern(lines[at]) in closings:
-                    at -= 1
-                if at < 0 or _FINISHED.search(lines[at]) and not (torn and lines[at][-1] in ";:"):
+                if not lines or _FINISHED.search(lines[-1]) or closing_pattern(lines[-1]) in closings:
                     continue
-                last = _SENTENCE.split(lines[at])[-1]
-                w = words(last)
-                sign = bool(_OPEN.search(lines[at]))
-                if len(w) < 2:
-                    if sign and at == len(lines) - 1:
-                        rows.append((i, source, len(text), len(text.encode()), torn, True, "", 0, 0, 0))
-                    continue
-                behind = at < len(lines) - 1
-                rows.append((i, source, len(text), len(text.encode()), torn and not behind, sign, w[-1], *_contexts(w), _key(4, *w[-2:])))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "n_chars", "n_bytes", "torn", "open", "last", "tri", "bi", "stem"])
+                w = words(_SENTENCE.split(lines[-1])[-1])
+                sign = bool(_OPEN.search(lines[-1]))
+                size = len(text), len(text.encode())
+                if len(w) > 1:
+                    rows.append((i, source, *size, torn, sign, w[-1], *(_key(*t) for t in _contexts(w)), _key(4, *w[-2:])))
+                elif sign:
+                    rows.append((i, source, *size, torn, True, "", 0, 0, 0, 0))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "n_chars", "n_bytes", "torn", "open", "last", "tri", "bi", "uni", "stem"])
 
     return documents.select("doc_id", "source", "text").mapInPandas(
-        ends, "doc_id long, source string, n_chars long, n_bytes long, torn boolean, open boolean, last string, tri long, bi long, stem long"
+        ends, "doc_id long, source string, n_chars long, n_bytes long, torn boolean, open boolean, last string, tri long, bi long, uni long, stem long"
     )
 
 
@@ -217,26 +214,22 @@ def truncated(documents: DataFrame) -> DataFrame:
     contexts = counts.where("key IS NOT NULL").select("key", "ends", "mids")
     ends = cut_lineage(text_ends(documents, closing_lines(documents)))
     # the same ends come again and again: each is judged once
-    seen = ends.where(~F.col("open")).select("last", "tri", "bi", "stem").distinct()
-    tri = contexts.select(F.col("key").alias("tri"), F.col("ends").alias("e3"), F.col("mids").alias("m3"))
-    bi = contexts.select(F.col("key").alias("bi"), F.col("ends").alias("e2"), F.col("mids").alias("m2"))
-    stems = contexts.select(F.col("key").alias("stem"), F.lit(True).alias("stems_on"))
-    known = (
-        seen.join(nodes, seen["last"] == nodes["node"], "left").drop("node").join(tri, "tri", "left").join(bi, "bi", "left").join(stems, "stem", "left")
-    )
-    e = F.coalesce("e3", F.lit(0)), F.coalesce("e2", F.lit(0))
-    m = F.coalesce("m3", F.lit(0)), F.coalesce("m2", F.lit(0))
-    in_word = (e[1] == 0) & (
-        (~F.coalesce("is_word", F.lit(False)) & F.coalesce("leads_on", F.lit(False))) | F.coalesce("stems_on", F.lit(False))
-    )
-    seen3 = e[0] + m[0] > 0
-    end, mid = F.when(seen3, e[0]).otherwise(e[1]), F.when(seen3, m[0]).otherwise(m[1])
-    share = F.when(end + mid > 0, end / (end + mid))
+    known = ends.where(~F.col("open")).select("last", "tri", "bi", "uni", "stem").distinct()
+    known = known.join(nodes, known["last"] == nodes["node"], "left").drop("node")
+    p = F.lit(PRIOR_END)
+    for kind in ("uni", "bi", "tri"):
+        level = contexts.select(F.col("key").alias(kind), F.col("ends").alias(f"e_{kind}"), F.col("mids").alias(f"m_{kind}"))
+        known = known.join(level, kind, "left")
+        e, m = (F.coalesce(f"{x}_{kind}", F.lit(0)) for x in "em")
+        p = (e + BACKOFF * p) / (e + m + BACKOFF)
+    known = known.join(contexts.select(F.col("key").alias("stem"), F.col("mids").alias("longer")), "stem", "left").withColumn("p", p)
+    no_word = ~F.coalesce("is_word", F.lit(False)) & F.coalesce("leads_on", F.lit(False))
+    as_is = F.coalesce("e_bi", F.lit(0)) + F.coalesce("m_bi", F.lit(0))
+    begun = (F.coalesce("longer", F.lit(0)) >= LONGER) & (as_is * LONGER_TIMES <= F.col("longer"))
+    in_word = (F.coalesce("e_bi", F.lit(0)) == 0) & (no_word | begun)
     judged = known.select(
-        "last", "tri", "bi",
-        (in_word | (F.coalesce(share, F.lit(1.0)) == 0)).alias("breaks"),
-        (F.coalesce(share, F.lit(0.0)) < RARE_END).alias("doubtful"),
-    )
+        "last", "tri", "bi", (in_word | (F.col("p") < NEVER_END)).alias("breaks"), (F.col("p") < RARE_END).alias("doubtful")
+    )
     limits = source_limits(documents)
     at_limit = (
         ends.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("size")))).alias("x"))
