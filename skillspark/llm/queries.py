@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillspark.llm import components, survivorship, truncation
+from skillspark.llm import components, leakage, survivorship, truncation
 from skillspark.session import cut_lineage, table
 
 
@@ -17,6 +17,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(table(spark, sf_dir, "job_records"), groups)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(p9_found(spark, sf_dir))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -36,7 +44,7 @@ SELECT a AS rec_no, least(a, min(b)) AS group_id FROM reach GROUP BY a
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p10_found": p10_found, "p10_report": p10_report}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_report": p10_report}
 
 
 def oracle_sql() -> dict[str, str]:
