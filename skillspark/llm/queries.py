@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillspark.llm import components, leakage, survivorship, truncation
+from skillspark.llm import components, leakage, names, survivorship, truncation
 from skillspark.session import cut_lineage, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_organisation(table(spark, sf_dir, "job_records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.match_groups(table(spark, sf_dir, "record_pairs"))
 
@@ -44,7 +48,7 @@ SELECT a AS rec_no, least(a, min(b)) AS group_id FROM reach GROUP BY a
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_report": p10_report}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_report": p10_report}
 
 
 def oracle_sql() -> dict[str, str]:
