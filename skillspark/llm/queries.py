@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillspark.llm import components, leakage, names, survivorship, truncation
+from skillspark.llm import components, leakage, names, packing, survivorship, truncation
 from skillspark.session import cut_lineage, table
 
 
@@ -21,6 +21,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(table(spark, sf_dir, "job_records"), groups)
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_budgets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_pack(spark, sf_dir), table(spark, sf_dir, "token_budgets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -48,7 +56,7 @@ SELECT a AS rec_no, least(a, min(b)) AS group_id FROM reach GROUP BY a
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_report": p10_report}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p8_pack": p8_pack, "p8_report": p8_report, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_report": p10_report}
 
 
 def oracle_sql() -> dict[str, str]:
