@@ -113,7 +113,9 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
                 out += [(None, _key(4, t[1], t[2][:n]), 0, ends.get(t, 0) + mids.get(t, 0)) for n in range(1, min(len(t[2]), 24))]
         word, key, end, mid = zip(*out) if out else ((), (), (), ())
         # a plain column of keys and nulls would turn into floats
-        return pd.DataFrame({"word": word, "key": pd.array(key, dtype="Int64"), "ends": end, "mids": mid})
+        return pd.DataFrame(
+            {"word": pd.Series(word, dtype="object"), "key": pd.array(key, dtype="Int64"), "ends": pd.Series(end, dtype="int64"), "mids": pd.Series(mid, dtype="int64")}
+        )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary: Counter = Counter()
