@@ -1,6 +1,9 @@
 """Problem 7: parent-child rows unfolded into paths, depths, roots and descendant counts.
 
-Level by level the frontier is joined with the edges. What no root reaches runs
+Frontier joins from the roots. Each join takes in a block of levels twice as
+thick as the one before: beside the frontier every node that is not reached
+yet knows its ancestor that many levels up and the path in between. So a chain
+of a thousand levels takes ten joins, not a thousand. What no root reaches runs
 into a circle: there every node has exactly one parent, so jumps of doubled
 length shrink the set of nodes that are jumped to until only the circles are
 left. These then act as roots for the rest.
@@ -8,6 +11,8 @@ left. These then act as roots for the rest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,23 +39,28 @@ def latest_parents(rows: DataFrame, node: str = "skill_id", parent: str = "paren
 
 
 def _descend(start: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """start(id, root_id, depth, path array) and all below it, one level a join."""
-    levels, frontier = [start], start
-    for _ in range(max_depth):
-        frontier = cut_lineage(
-            edges.join(
-                frontier.select(F.col("id").alias("parent"), "root_id", "depth", "path"), "parent"
-            ).select("id", "root_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("id")).alias("path"))
+    """start(id, root_id, depth, path array) and all below it, a block of levels a join."""
+    reached = [start]
+    frontier = start
+    # up: the ancestor `thick` levels up; way: the nodes below it down to the node itself
+    rest = edges.select("id", F.col("parent").alias("up"), F.array("id").alias("way"))
+    thick = 1
+    while True:
+        known = frontier.select(F.col("id").alias("up"), "root_id", F.col("depth").alias("d"), F.col("path").alias("p"))
+        block = cut_lineage(
+            rest.join(known, "up").select("id", "root_id", (F.col("d") + thick).alias("depth"), F.concat("p", "way").alias("path"))
         )
-        if frontier.isEmpty():
+        if block.isEmpty():  # depths have no gaps: nothing lies deeper
             break
-        levels.append(frontier)
-    else:
-        raise RuntimeError(f"deeper than {max_depth} levels")
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+        if thick > max_depth:
+            raise RuntimeError(f"deeper than {max_depth} levels")
+        reached.append(block)
+        deeper = rest.join(block.select("id"), "id", "left_anti")
+        above = rest.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"))
+        rest = cut_lineage(deeper.join(above, "up").select("id", F.col("up2").alias("up"), F.concat("way2", "way").alias("way")))
+        frontier = reduce(DataFrame.unionByName, reached)
+        thick *= 2
+    return reduce(DataFrame.unionByName, reached)
 
 
 def _circles(edges: DataFrame) -> DataFrame:
