@@ -30,6 +30,8 @@ _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", re.S)
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
 #: Costs of the cover.
 QUOTED, KNOWN, UNKNOWN = 0.01, 0.1, 1.0
+#: What a slash inside an unknown item costs.
+INNER_SLASH = 0.2
 #: Dictionary terms per automaton and pass over the texts.
 TERMS_PER_PASS = 200_000
 
@@ -148,7 +150,7 @@ def split_items(text: str | None, spans: list[tuple[int, int]]) -> list[str]:
         # an unknown item reaches to the next certain delimiter or to any slash before it
         for stop in ends[k:]:
             item = text[at:stop].strip() if at < stop else ""
-            offer(stop + 1, cost + (UNKNOWN if item else 0), parts + 1, (place, item))
+            offer(stop + 1, cost + (UNKNOWN + INNER_SLASH * item.count("/") if item else 0), parts + 1, (place, item))
             if stop == end or _edges(text, begin, stop, end):
                 break
     items: list[str] = []
