@@ -39,8 +39,13 @@ BACKOFF, PRIOR_END = 2.0, 0.2
 #: A closing line (digits aside) ends at least this share of all texts, and so many.
 CLOSING_SHARE, CLOSING_TEXTS = 0.001, 8
 
-#: Contexts that a task holds before it hands them on.
-FLUSH = 200_000
+#: Different sentences that a task holds before it hands their counts on.
+FLUSH = 50_000
+#: A closing line is shorter.
+MAX_CLOSING = 200
+
+#: Longer than any mark behind a text; several marks are taken off one after the other.
+TAIL = 160
 
 _TOKEN = re.compile(r"[^\W_]+(?:[.+#/&'’\-][^\W_]+)*[+#]*")
 _TAG = re.compile(r"<(/?)(br|p|div|li|ul|ol|tr|td|h\d|b|i|u|em|strong|span|a)\b[^<>]*>", re.I)
@@ -58,15 +63,18 @@ _OPEN = re.compile(r"(?:[,(/&–—\-•*+]|\[|“)$")
 def plain_lines(text: str) -> tuple[list[str], bool]:
     """The non-blank lines of a text without markup, and whether it ends in half a tag, an entity, half a character or a mark of omission."""
     t = unicodedata.normalize("NFC", text)
-    t = _TAG.sub(lambda m: "\n" if m[2].lower() not in ("b", "i", "u", "em", "strong", "span", "a") else "", t).rstrip()
+    if "<" in t:
+        t = _TAG.sub(lambda m: "\n" if m[2].lower() not in ("b", "i", "u", "em", "strong", "span", "a") else "", t)
+    t = t.rstrip()
     torn = False
     while True:  # half markup may stand behind whole markup and marks of omission
-        short = _HALF_ENTITY.sub("", _HALF_TAG.sub("", t.rstrip("�").rstrip())).rstrip()
+        end = t[-TAIL:]  # these patterns match at the end only
+        short = _HALF_ENTITY.sub("", _HALF_TAG.sub("", end.rstrip("�").rstrip())).rstrip()
         short = _OMITTED.sub("", short)
-        if short == t:
+        if short == end:
             break
-        t, torn = short.rstrip(), True
-    return [x.strip() for x in html.unescape(t).split("\n") if x.strip()], torn
+        t, torn = (t[:-TAIL] + short).rstrip(), True
+    return [x.strip() for x in (html.unescape(t) if "&" in t else t).split("\n") if x.strip()], torn
 
 
 def words(sentence: str) -> list[str]:
@@ -74,15 +82,13 @@ def words(sentence: str) -> list[str]:
     return ["<s>", *(_DIGITS.sub("0", w) for w in _TOKEN.findall(_BULLET.sub("", sentence).lower()))]
 
 
-def finished(lines: list[str]) -> Iterator[list[str]]:
+def finished(lines: list[str]) -> Iterator[str]:
     """The sentences that are not the unfinished end of the text."""
     for k, line in enumerate(lines):
         parts = _SENTENCE.split(line)
-        for j, s in enumerate(parts):
-            if k == len(lines) - 1 and j == len(parts) - 1 and not _FINISHED.search(s):
-                return
-            if len(w := words(s)) > 1:
-                yield w
+        if k == len(lines) - 1 and not _FINISHED.search(parts[-1]):
+            parts.pop()
+        yield from parts
 
 
 def _key(kind: int, *parts: str) -> int:
@@ -98,15 +104,31 @@ def closing_pattern(line: str) -> str:
     return _DIGITS.sub("0", line.lower())
 
 
+#: Marks the rows of corpus_counts that count closing lines.
+CLOSING = "\x1e"
+
+
 def corpus_counts(documents: DataFrame) -> DataFrame:
-    """(word, key, ends, mids): word rows count a word, key rows how often a context ends a sentence or goes on.
+    """(word, key, ends, mids): word rows count a word or a last line, key rows how often a context ends a sentence or goes on.
 
     Keys of kind 4 are a word with a proper prefix of the word that follows it:
-    the nodes of the tries of followers.
+    the nodes of the tries of followers. Equal sentences of a task are counted
+    first and taken apart once.
     """
 
-    def rows(vocabulary: Counter, ends: Counter, mids: Counter) -> pd.DataFrame:
+    def rows(sentences: Counter, closings: Counter) -> pd.DataFrame:
+        vocabulary: Counter = Counter()
+        ends: Counter = Counter()
+        mids: Counter = Counter()
+        for s, n in sentences.items():
+            w = words(s)
+            for x in w[1:]:
+                vocabulary[x] += n
+            for i in range(2, len(w) + 1):
+                for t in _contexts(w[:i]):
+                    (mids if i < len(w) else ends)[t] += n
         out = [(x, None, n, 0) for x, n in vocabulary.items()]
+        out += [(CLOSING + x, None, n, 0) for x, n in closings.items()]
         for t in ends.keys() | mids.keys():
             out.append((None, _key(*t), ends.get(t, 0), mids.get(t, 0)))
             if t[0] == 2:
@@ -118,22 +140,19 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
         )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary: Counter = Counter()
-        ends: Counter = Counter()
-        mids: Counter = Counter()
+        sentences: Counter = Counter()
+        closings: Counter = Counter()
         for b in batches:
             for text in b["text"]:
-                if not text:
-                    continue
-                for w in finished(plain_lines(text)[0]):
-                    vocabulary.update(w[1:])
-                    for i in range(2, len(w) + 1):
-                        for t in _contexts(w[:i]):
-                            (mids if i < len(w) else ends)[t] += 1
-            if len(mids) > FLUSH:
-                yield rows(vocabulary, ends, mids)
-                vocabulary, ends, mids = Counter(), Counter(), Counter()
-        yield rows(vocabulary, ends, mids)
+                if text:
+                    lines = plain_lines(text)[0]
+                    sentences.update(finished(lines))
+                    if len(lines) > 1 and len(lines[-1]) < MAX_CLOSING:
+                        closings[closing_pattern(lines[-1])] += 1
+            if len(sentences) > FLUSH:
+                yield rows(sentences, closings)
+                sentences, closings = Counter(), Counter()
+        yield rows(sentences, closings)
 
     return documents.select("text").mapInPandas(count, "word string, key long, ends long, mids long")
 
@@ -187,19 +206,6 @@ def source_limits(documents: DataFrame) -> DataFrame:
     )
 
 
-def closing_lines(documents: DataFrame) -> set[str]:
-    """Patterns of lines that close at least CLOSING_SHARE of all texts (so at most 1 / CLOSING_SHARE)."""
-
-    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = Counter(closing_pattern(x[-1]) for x in (plain_lines(t)[0] for t in b["text"] if t) if len(x) > 1)
-            yield pd.DataFrame([(p, n) for p, n in found.items() if len(p) < 200], columns=["pattern", "n"])
-
-    total = documents.count()
-    counts = documents.select("text").mapInPandas(last, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return {r["pattern"] for r in counts.where(F.col("n") >= max(CLOSING_TEXTS, CLOSING_SHARE * total)).collect()}
-
-
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id, source): the documents(doc_id, source, text) whose text breaks off inside a word or a sentence.
 
@@ -212,9 +218,12 @@ def truncated(documents: DataFrame) -> DataFrame:
     counts = cut_lineage(
         corpus_counts(documents).groupBy("word", "key").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids"))
     )
-    nodes = trie_nodes(counts.where(F.col("word").isNotNull() & (F.col("ends") >= MIN_WORD)).select("word"))
+    nodes = trie_nodes(counts.where(F.col("word").isNotNull() & ~F.col("word").startswith(CLOSING) & (F.col("ends") >= MIN_WORD)).select("word"))
     contexts = counts.where("key IS NOT NULL").select("key", "ends", "mids")
-    ends = cut_lineage(text_ends(documents, closing_lines(documents)))
+    # lines that close at least CLOSING_SHARE of all texts, so at most 1 / CLOSING_SHARE
+    least = max(CLOSING_TEXTS, CLOSING_SHARE * documents.count())
+    closing = counts.where(F.col("word").startswith(CLOSING) & (F.col("ends") >= least)).select("word").collect()
+    ends = cut_lineage(text_ends(documents, {r["word"][1:] for r in closing}))
     # the same ends come again and again: each is judged once
     known = ends.where(~F.col("open")).select("last", "tri", "bi", "uni", "stem").distinct()
     known = known.join(nodes, known["last"] == nodes["node"], "left").drop("node")
