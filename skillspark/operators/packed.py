@@ -32,6 +32,8 @@ _ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
 QUOTED, KNOWN, UNKNOWN = 0.01, 0.1, 1.0
 #: What a slash inside an unknown item costs.
 INNER_SLASH = 0.2
+#: An unknown item with more delimiters inside it would be a list.
+MAX_INNER = 20
 #: Dictionary terms per automaton and pass over the texts.
 TERMS_PER_PASS = 200_000
 
@@ -148,7 +150,7 @@ def split_items(text: str | None, spans: list[tuple[int, int]]) -> list[str]:
             if j in stops:
                 offer(j + 1, cost + KNOWN, parts + 1, (place, text[at:stop]))
         # an unknown item reaches to the next certain delimiter or to any slash before it
-        for stop in ends[k:]:
+        for stop in ends[k : k + MAX_INNER + 1]:
             item = text[at:stop].strip() if at < stop else ""
             offer(stop + 1, cost + (UNKNOWN + INNER_SLASH * item.count("/") if item else 0), parts + 1, (place, item))
             if stop == end or _edges(text, begin, stop, end):
