@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skillspark.functions.text import norm_text, slugify
 from skillspark.operators.graph import link_groups
-from skillspark.operators.warehouse import method_rank
+from skillspark.operators.warehouse import dense_ids, method_rank
 
 MIN_JS_CORE = 3
 
@@ -132,12 +131,6 @@ def assign_parents(skills: DataFrame, tree: DataFrame, soft_root: str) -> tuple[
 
 
 def skill_variants(skills: DataFrame) -> DataFrame:
-    """(variant_id, skill_id, surface_form): aliases with a running number by skill and alias.
-
-    The numbers are dense: counted per skill, then offset by the skills before.
-    """
-    sizes = skills.select("skill_id", F.size("aliases").alias("n"))
-    start = F.sum("n").over(W.orderBy("skill_id").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("skill_id", F.coalesce(start, F.lit(0)).alias("start"))
+    """(variant_id, skill_id, surface_form): aliases with a running number by skill and alias."""
     each = skills.select("skill_id", F.posexplode(F.array_sort("aliases")).alias("p", "surface_form"))
-    return each.join(starts, "skill_id").select((F.col("start") + F.col("p") + 1).alias("variant_id"), "skill_id", "surface_form")
+    return dense_ids(each, ["skill_id", "p"], "variant_id").select("variant_id", "skill_id", "surface_form")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillspark.functions.text import search_terms
-from skillspark.session import table
+from skillspark.functions.text import norm_text, search_terms
+from skillspark.session import cut_lineage, table
 
 #: Extraction methods from the most to the least trusted (fixed values).
 METHODS = ("source_provided", "exact_match", "fuzzy_match")
@@ -52,6 +52,46 @@ def with_category(skills: DataFrame) -> DataFrame:
     return skills.drop("category").join(parent, F.col("parent_skill_id") == F.col("pid"), "left").drop("pid")
 
 
+def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with dense numbers from 1 in this order, by a range sort and the sizes of its partitions instead of one task that sorts all."""
+    placed = cut_lineage(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    before, offsets = 0, []
+    for r in placed.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # a row per partition
+        offsets += [F.lit(r["_p"]), F.lit(before)]
+        before += r["n"]
+    if not offsets:
+        return placed.drop("_p", "_i").withColumn(name, F.lit(None).cast("long"))
+    place = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn(name, F.element_at(F.create_map(*offsets), F.col("_p")) + place).drop("_p", "_i")
+
+
+def location_key(address: F.Column, province: F.Column) -> F.Column:
+    """Places of one address in different provinces are different; no address, no place."""
+    return F.when(F.coalesce(address, F.lit("")) != "", F.concat(norm_text(address), F.lit("|"), F.coalesce(province.cast("string"), F.lit(""))))
+
+
+def companies_of(records: DataFrame, order: str = "rec_no") -> DataFrame:
+    """(company_id, name, name_norm, industry) in the order of first sight; the first record gives name and industry."""
+    named = records.select(norm_text("company").alias("name_norm"), F.col("company").alias("name"), F.col("extra.industry").alias("industry"), F.col(order).alias("o"))
+    first = named.where("name_norm <> ''").groupBy("name_norm").agg(F.min_by(F.struct("name", "industry"), "o").alias("f"), F.min("o").alias("o"))
+    return dense_ids(first.select("name_norm", "f.*", "o"), ["o"], "company_id").select("company_id", "name", "name_norm", "industry")
+
+
+def locations_of(records: DataFrame, place: F.Column, order: str = "rec_no") -> DataFrame:
+    """(location_id, location_key, location_raw, city, country) in the order of first sight; place is a struct(city, country) of a record."""
+    key = location_key(F.col("location"), F.col("extra.province_id"))
+    keyed = records.select(key.alias("location_key"), F.col("location").alias("location_raw"), place.alias("p"), F.col(order).alias("o")).where("location_key IS NOT NULL")
+    first = keyed.groupBy("location_key").agg(F.min_by(F.struct("location_raw", "p.city", "p.country"), "o").alias("f"), F.min("o").alias("o"))
+    return dense_ids(first.select("location_key", "f.*", "o"), ["o"], "location_id").drop("o")
+
+
+def jobs_of(records: DataFrame, companies: DataFrame, locations: DataFrame) -> DataFrame:
+    """(job_id, title_raw, company_id, location_id, posted_date, source, url) of records, joined with their dimensions by key."""
+    keyed = records.withColumn("name_norm", norm_text("company")).withColumn("location_key", location_key(F.col("location"), F.col("extra.province_id")))
+    joined = keyed.join(companies.select("name_norm", "company_id"), "name_norm", "left").join(locations.select("location_key", "location_id"), "location_key", "left")
+    return joined.select(F.concat_ws(":", "source", "source_id").alias("job_id"), F.col("title").alias("title_raw"), "company_id", "location_id", "posted_date", "source", "url")
+
+
 class Warehouse:
     """The tables that the queries read; each is a lazy DataFrame."""
 

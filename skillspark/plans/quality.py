@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skillspark.functions import pay
 from skillspark.operators import dictionary, extract, hierarchy, mapping, quality, warehouse
 from skillspark.plans import pipeline, serving
 from skillspark.session import cut_lineage, table
@@ -29,6 +30,26 @@ def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.records(spark, sf_dir).select("rec_no", mapping.record_id().alias("record_id"), mapping.dedup_key().alias("dedup_key"))
 
 
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warehouse.companies_of(pipeline.records(spark, sf_dir))
+
+
+def record_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pipeline.records(spark, sf_dir)
+    return warehouse.locations_of(r, F.struct(F.col("location").alias("city"), F.col("source").alias("country"))).select("location_id", "location_key", "location_raw")
+
+
+def jobs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pipeline.records(spark, sf_dir)
+    c, p = companies(spark, sf_dir), record_locations(spark, sf_dir)
+    return warehouse.jobs_of(r, c, p).select("job_id", "company_id", "location_id", "posted_date")
+
+
+def pay_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pipeline.records(spark, sf_dir)
+    return r.select("rec_no", pay.salary(F.col("salary_raw"), F.col("source")).alias("s")).select("rec_no", "s.*")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.records(spark, sf_dir).select("rec_no", F.posexplode("extra.skills_given").alias("p", "label")).select("label", (F.col("rec_no") * 10_000 + F.col("p")).alias("pos"))
 
@@ -131,7 +152,17 @@ ended AS (SELECT u.id, u.trail, list_position(u.trail, e.parent) AS ring FROM up
 closed AS (SELECT u.node AS ancestor_id, u.id AS descendant_id, CAST(u.steps AS INTEGER) AS depth FROM up u JOIN ended d ON d.id = u.id WHERE d.ring IS NULL OR u.steps < d.ring)
 """
 
+_COMPANIES = f"c0 AS (SELECT {pipeline._norm('company')} AS name_norm, company AS name, extra.industry AS industry, rec_no FROM job_records), c1 AS (SELECT * FROM c0 WHERE name_norm <> '' QUALIFY row_number() OVER (PARTITION BY name_norm ORDER BY rec_no) = 1), c AS (SELECT row_number() OVER (ORDER BY rec_no) AS company_id, name, name_norm, industry FROM c1)"
+_LOCATION_KEY = f"CASE WHEN coalesce(location, '') <> '' THEN {pipeline._norm('location')} || '|' || coalesce(CAST(extra.province_id AS VARCHAR), '') END"
+_PLACES = f"l0 AS (SELECT {_LOCATION_KEY} AS location_key, location AS location_raw, rec_no FROM job_records), l1 AS (SELECT * FROM l0 WHERE location_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY location_key ORDER BY rec_no) = 1), l AS (SELECT row_number() OVER (ORDER BY rec_no) AS location_id, location_key, location_raw FROM l1)"
+_PAY_NUMBERS = "list_transform(regexp_extract_all(salary_raw, '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: CAST(replace(x, ',', '') AS DOUBLE))"
+
 QUERIES = {
+    "a16_companies": (companies, f"WITH {_COMPANIES} SELECT company_id, name, name_norm, industry FROM c"),
+    "a16_locations": (record_locations, f"WITH {_PLACES} SELECT location_id, location_key, location_raw FROM l"),
+    "j14_jobs": (jobs_table, f"WITH {_COMPANIES}, {_PLACES} SELECT concat_ws(':', source, source_id) AS job_id, company_id, location_id, posted_date FROM job_records r LEFT JOIN c ON c.name_norm = {pipeline._norm('company')} LEFT JOIN l ON l.location_key = {_LOCATION_KEY}"),
+    "proj_salary_range": (lambda spark, d: pay_fields(spark, d).select("rec_no", "low", "high"), f"SELECT rec_no, list_min({_PAY_NUMBERS}) AS low, list_max({_PAY_NUMBERS}) AS high FROM job_records"),
+    "proj_salary": (pay_fields, None),
     "map_feed_b": (mapped_feed_b, """SELECT CAST(_row_id AS VARCHAR) AS source_id, company_name AS company, job_location AS location,
         CASE WHEN regexp_matches(left(job_posted_date, 10), '^\\d{4}-\\d{2}-\\d{2}$') THEN TRY_CAST(left(job_posted_date, 10) AS DATE) END AS posted_date, job_country AS country
         FROM data_jobs QUALIFY row_number() OVER (PARTITION BY _row_id ORDER BY fetched_at DESC NULLS LAST, coalesce(job_title, '') DESC) = 1"""),
