@@ -235,6 +235,11 @@ _TERMS_SQL = ", terms AS (SELECT DISTINCT skill_id, term FROM (" + " UNION ALL "
     for form in (base.format("canonical_name"), f"replace({base.format('canonical_name')}, ' ', '')")
 ) + ") WHERE term <> '')"
 
+_IDS_SQL = """
+, ids AS (SELECT DISTINCT descendant_id AS skill_id FROM w_closure WHERE ancestor_id = 'javascript'
+  UNION ALL SELECT 'javascript' WHERE NOT EXISTS (SELECT 1 FROM w_closure WHERE ancestor_id = 'javascript'))
+"""
+
 QUERIES = {
     "q1_search_skills": (lambda w: search_skills(w, "Tiếng  a"), _TERMS_SQL + """
         SELECT skill_id, canonical_name, skill_type, category FROM w_skills JOIN (
@@ -251,11 +256,9 @@ QUERIES = {
           (SELECT count(DISTINCT job_id) FROM w_facts WHERE skill_id = 'sql') AS job_count,
           (SELECT CAST(least(count(*), 5) AS INTEGER) FROM w_facts WHERE skill_id = 'sql') AS n_samples
         FROM w_skills s WHERE s.skill_id = 'sql'"""),
-    "q3_expand_skill": (lambda w: expand_skill_ids(w, "javascript"), """
-        SELECT DISTINCT descendant_id AS skill_id FROM w_closure WHERE ancestor_id = 'javascript'"""),
+    "q3_expand_skill": (lambda w: expand_skill_ids(w, "javascript"), _IDS_SQL + " SELECT skill_id FROM ids"),
     "q3_expand_unknown": (lambda w: expand_skill_ids(w, "no-such-skill"), "SELECT 'no-such-skill' AS skill_id"),
-    "q4_search_jobs": (lambda w: search_jobs(w, "javascript", limit=50).drop("source_search_url"), """
-        , ids AS (SELECT DISTINCT descendant_id AS skill_id FROM w_closure WHERE ancestor_id = 'javascript')
+    "q4_search_jobs": (lambda w: search_jobs(w, "javascript", limit=50).drop("source_search_url"), _IDS_SQL + """
         SELECT j.job_id, j.title_raw, l.location_raw AS location, l.city, l.country, j.source, j.url, j.posted_date, j.seniority,
           string_agg(DISTINCT s.canonical_name, ', ' ORDER BY s.canonical_name) AS matched_skills
         FROM w_facts f JOIN ids USING (skill_id) JOIN w_skills s USING (skill_id) JOIN w_jobs j USING (job_id) LEFT JOIN locations l ON l.location_id = j.location_id
