@@ -30,41 +30,42 @@ def match_edges(pairs: DataFrame, left: str = "left_no", right: str = "right_no"
     )
 
 
-def _with_min(ends: DataFrame, rows: int) -> DataFrame:
-    """ends(u, v) plus m, the smallest of u and all its v; heavy u are not shuffled."""
-    least = ends.groupBy("u").agg(F.min("v").alias("mv"), F.count("*").alias("n")).select(
-        "u", F.least("u", "mv").alias("m"), "n"
-    )
-    limit = max(10_000, rows // MAX_HEAVY_KEYS)
-    heavy = least.where(F.col("n") > limit).select("u", "m")
-    if rows <= limit:  # no node can exceed the limit
+def _with_min(ends: DataFrame, limit: int | None) -> DataFrame:
+    """ends(u, v) plus m, the smallest of u and all its v; u on more than limit rows are not shuffled."""
+    least = ends.groupBy("u").agg(F.min("v").alias("mv"), F.count("*").alias("n")).select("u", F.least("u", "mv").alias("m"), "n")
+    if limit is None:
         return ends.join(least.select("u", "m"), "u")
-    # More than `limit` rows each out of `rows`: at most MAX_HEAVY_KEYS nodes.
-    by_broadcast = ends.join(F.broadcast(heavy), "u")
+    heavy = least.where(F.col("n") > limit).select("u", "m")
     light = least.where(F.col("n") <= limit).select("u", "m")
     rest = ends.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(light, "u")
-    return by_broadcast.unionByName(rest)
+    return ends.join(F.broadcast(heavy), "u").unionByName(rest)
 
 
-def large_star(edges: DataFrame, rows: int) -> DataFrame:
+def large_star(edges: DataFrame, limit: int | None) -> DataFrame:
     """Every neighbour v > u of u becomes linked to the smallest of u and its neighbours."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    out = _with_min(both, 2 * rows).where(F.col("v") > F.col("u"))
+    out = _with_min(_both(edges), limit).where(F.col("v") > F.col("u"))
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def small_star(edges: DataFrame, rows: int) -> DataFrame:
+def small_star(edges: DataFrame, limit: int | None) -> DataFrame:
     """u and its smaller neighbours become linked to the smallest of them (edges hold u > v)."""
-    mins = _with_min(edges, rows)
+    mins = _with_min(edges, limit)
     out = mins.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
         mins.select("u", F.col("m").alias("v"))
     )
     return out.where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """Twice the number of edges, a sum of their hashes, and the most edges of a node."""
+    h = F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)")
+    by = _both(edges).groupBy("u").agg(F.count("*").alias("n"), F.sum(h).alias("h"))
+    row = by.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
+    return row["n"] or 0, int(row["h"] or 0), row["most"] or 0
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -77,8 +78,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     edges = cut_lineage(edges)
     state = _state(edges)
     for _ in range(max_rounds):
-        rows = state[0]
-        edges = cut_lineage(small_star(large_star(edges, rows), rows))
+        rows, _, most = state
+        # at most MAX_HEAVY_KEYS nodes have more rows than this; a small star only has fewer
+        limit = max(10_000, 1 << (rows // MAX_HEAVY_KEYS).bit_length())
+        limit = limit if most > limit else None
+        edges = cut_lineage(small_star(large_star(edges, limit), limit))
         now = _state(edges)
         if now == state:
             break
