@@ -64,11 +64,10 @@ def _missing(refs: DataFrame, spans: DataFrame) -> DataFrame:
     return refs.alias("r").join(spans.alias("s"), (F.col("r.k") == F.col("s.k")) & inside, "left_anti")
 
 
-def heavy_keys(counted: DataFrame) -> DataFrame:
+def heavy_keys(counted: DataFrame, total: int) -> DataFrame:
     """Keys with more than a MAX_HEAVY_KEYS-th of all references (so at most MAX_HEAVY_KEYS), from counts per key and period."""
     per_key = counted.groupBy("k").agg(F.sum("n").alias("n"))
-    total = per_key.agg(F.sum("n").alias("total"))
-    return per_key.join(F.broadcast(total), F.col("n") * MAX_HEAVY_KEYS > F.col("total")).select("k")
+    return per_key.where(F.col("n") * MAX_HEAVY_KEYS > total).select("k")
 
 
 def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -80,7 +79,7 @@ def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     refs = refs.where("k IS NOT NULL")
     counted = refs.groupBy("k", F.date_trunc("month", "at").alias("period")).agg(F.count("*").alias("n"))
-    heavy = [r["k"] for r in heavy_keys(counted).collect()]  # at most MAX_HEAVY_KEYS
+    heavy = [r["k"] for r in heavy_keys(counted, refs.count()).collect()]  # at most MAX_HEAVY_KEYS
     if not heavy:
         return _missing(refs, spans)
     is_heavy = F.col("k").isin(heavy)
