@@ -85,6 +85,19 @@ def _circles(edges: DataFrame) -> DataFrame:
     return ring.select("id", F.col("low").alias("root_id"))
 
 
+def _unreached(inner: DataFrame) -> DataFrame:
+    """(id): the nodes that no root reaches. Jumps of doubled length leave out whoever they take past a root; when a jump leaves out nobody, the rest runs into circles."""
+    jump = inner.select("id", F.col("parent").alias("to"))
+    left = jump.count()
+    while left:
+        jump = cut_lineage(_double(jump))
+        now = jump.count()
+        if now == left:
+            break
+        left = now
+    return jump.select("id")
+
+
 def _double(jump: DataFrame) -> DataFrame:
     nxt = jump.select(F.col("id").alias("to"), F.col("to").alias("to2"))
     return jump.join(nxt, "to").select("id", F.col("to2").alias("to"))
@@ -100,14 +113,15 @@ def unfold(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     edges = cut_lineage(edges)
     roots = edges.where("parent IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     inner = edges.where("parent IS NOT NULL")
-    trees = _descend(roots, inner, max_depth).withColumn("in_cycle", F.lit(0))
-    lost = cut_lineage(inner.join(trees.select("id"), "id", "left_anti"))
-    nodes = trees
-    if not lost.isEmpty():
+    # apart from the trees first: paths that go round in a circle would grow with every jump
+    apart = cut_lineage(_unreached(inner))
+    nodes = _descend(roots, inner.join(apart, "id", "left_anti"), max_depth).withColumn("in_cycle", F.lit(0))
+    if not apart.isEmpty():
+        lost = cut_lineage(inner.join(apart, "id", "left_semi"))
         on_ring = cut_lineage(_circles(lost))
         start = on_ring.select("id", "root_id", F.lit(0).alias("depth"), F.array("id").alias("path"))
         hanging = lost.join(on_ring.select("id"), "id", "left_anti")
-        nodes = trees.unionByName(_descend(start, hanging, max_depth).withColumn("in_cycle", F.lit(1)))
+        nodes = nodes.unionByName(_descend(start, hanging, max_depth).withColumn("in_cycle", F.lit(1)))
     nodes = cut_lineage(nodes)
     # ancestor pairs, counted before they are shuffled; who stands on a circle has all of it below
     above = nodes.select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("id"), "in_cycle")
