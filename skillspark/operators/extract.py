@@ -35,19 +35,19 @@ def _parts(text: F.Column) -> F.Column:
 
 def phrases(records: DataFrame) -> DataFrame:
     """(record_id, pos, size, phrase): every run of up to MAX_WORDS tokens as it is written."""
-    parted = records.select("record_id", F.slice(_parts(F.coalesce("text", F.lit(""))), 2, 2**30).alias("parts"))
-    n = F.size("parts")
+    parts = F.slice(_parts(F.coalesce("text", F.lit(""))), 2, 2**30)
 
-    def run(size: int) -> F.Column:
-        starts = F.sequence(F.lit(1), n - size + 1)
-        joined = lambda i: F.array_join(F.slice("parts", i, size), "")
+    def run(p: F.Column, size: int) -> F.Column:
+        starts = F.sequence(F.lit(1), F.size(p) - size + 1)
+        joined = lambda i: F.array_join(F.slice(p, i, size), "")
         # the last token's separator does not belong to the phrase
         written = lambda i: F.replace(F.regexp_extract(joined(i), f"(?s)^(.*){_CLOSE}", 1), F.lit(_CLOSE), F.lit(""))
-        return F.when(n >= size, F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), written(i).alias("phrase"))))
+        return F.when(F.size(p) >= size, F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), written(i).alias("phrase"))))
 
     empty = F.array().cast("array<struct<pos:int,size:int,phrase:string>>")
-    each = F.concat(*[F.coalesce(run(k), empty) for k in range(1, MAX_WORDS + 1)])
-    return parted.select("record_id", F.inline(each))
+    # bound to a variable, so that the text is taken apart once and not for every phrase
+    each = F.transform(F.array(parts), lambda p: F.concat(*[F.coalesce(run(p, k), empty) for k in range(1, MAX_WORDS + 1)]))
+    return records.select("record_id", F.inline(F.flatten(each)))
 
 
 def exact_matches(records: DataFrame, aliases: DataFrame) -> DataFrame:
