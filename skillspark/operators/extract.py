@@ -72,11 +72,11 @@ def common_tokens(records: DataFrame, share: float = COMMON_SHARE, floor: int =
     return df.join(F.broadcast(n), F.col("df") > F.greatest(F.lit(float(floor)), F.lit(share) * F.col("n"))).select("token", "df")
 
 
-def fuzzy_matches(records: DataFrame, aliases: DataFrame, exact: DataFrame) -> DataFrame:
-    """As exact_matches, for rare tokens that are no part of an exact match and resemble a one-word alias."""
+def fuzzy_matches(records: DataFrame, aliases: DataFrame, exact: DataFrame, common: DataFrame | None = None) -> DataFrame:
+    """As exact_matches, for rare tokens that are no part of an exact match and resemble a one-word alias. common(token): the tokens that are not rare, by default those of records."""
     words = records.select("record_id", F.posexplode(tokens("text")).alias("p", "word")).select("record_id", (F.col("p") + 1).alias("pos"), norm_text("word").alias("token"))
     usable = words.where((F.length("token") >= FUZZY_LENGTH) & ~F.col("token").rlike("^[0-9]+$"))
-    rare = usable.join(common_tokens(records), "token", "left_anti")
+    rare = usable.join(common_tokens(records) if common is None else common.select("token"), "token", "left_anti")
     covered = exact.select("record_id", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos"))
     free = rare.join(covered.distinct(), ["record_id", "pos"], "left_anti")
     single = aliases.where((F.length("alias") >= FUZZY_LENGTH) & ~F.col("alias").contains(" "))

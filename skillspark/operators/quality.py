@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skillspark.functions.text import slugify, strip_accents
 from skillspark.operators.warehouse import Warehouse
+from skillspark.session import cut_lineage
 
 BANDS = ("short", "medium", "long")
 
@@ -131,16 +132,34 @@ def retrieval_scores(ranks: DataFrame) -> DataFrame:
     )
 
 
-def masked_evaluation(records: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Scores of extraction against the labels of a source, which are hidden from it: records(record_id, source, title, requirements_raw, description, labels). Feed B is read by title only."""
-    from skillspark.operators.extract import exact_matches, label_matches, record_text
+def masked_matches(records: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gold (record_id, skill_id, source) and predictions (..., method) of records(record_id, source, title, requirements_raw, description, labels), whose labels are hidden from extraction.
+
+    Predictions are exact and fuzzy; tokens are common over all records, with
+    labels or without. Feed B is read by title only.
+    """
+    from skillspark.operators.extract import common_tokens, exact_matches, fuzzy_matches, label_matches, record_text
 
     labelled = records.where(F.size("labels") > 0)
-    title_only = F.when(F.col("source") == "data_jobs", F.coalesce("title", F.lit(""))).otherwise(record_text("title", "requirements_raw", "description"))
+    whole = record_text("title", "requirements_raw", "description")
+    title_only = F.when(F.col("source") == "data_jobs", F.coalesce("title", F.lit(""))).otherwise(whole)
     sources = labelled.select("record_id", "source")
     gold = label_matches(labelled, aliases).select("record_id", "skill_id").join(sources, "record_id")
-    found = exact_matches(labelled.select("record_id", title_only.alias("text")), aliases).select("record_id", "skill_id").join(sources, "record_id")
-    return extraction_scores(gold, found)
+    masked = labelled.select("record_id", title_only.alias("text"))
+    exact = cut_lineage(exact_matches(masked, aliases))
+    common = common_tokens(records.select("record_id", whole.alias("text")))
+    found = exact.unionByName(fuzzy_matches(masked, aliases, exact, common))
+    return gold, cut_lineage(found.select("record_id", "skill_id", "method").join(sources, "record_id"))
+
+
+def masked_evaluation(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Scores per source of extraction against the labels of a source, which are hidden from it; records as in masked_matches."""
+    return extraction_scores(*masked_matches(records, aliases))
+
+
+def masked_methods(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(method, hits, total, precision) of exact and fuzzy matches against the hidden labels; records as in masked_matches."""
+    return method_precision(*masked_matches(records, aliases))
 
 
 def closure_mismatch(stored: DataFrame, built: DataFrame) -> DataFrame:

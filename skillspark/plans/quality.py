@@ -96,9 +96,17 @@ def empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.empty_columns(table(spark, sf_dir, "jobs"), "jobs")
 
 
-def masked_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _masked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     r = pipeline.records(spark, sf_dir).select(F.col("rec_no").alias("record_id"), "source", "title", "requirements_raw", "description", F.col("extra.skills_given").alias("labels"))
-    return quality.masked_evaluation(cut_lineage(r), cut_lineage(extract.aliases_of(warehouse.latest(table(spark, sf_dir, "skills"), "skill_id"))))
+    return cut_lineage(r), cut_lineage(extract.aliases_of(warehouse.latest(table(spark, sf_dir, "skills"), "skill_id")))
+
+
+def masked_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.masked_evaluation(*_masked(spark, sf_dir))
+
+
+def masked_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.masked_methods(*_masked(spark, sf_dir))
 
 
 def match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +189,7 @@ QUERIES = {
     "j8_orphans": (orphan_locations, "SELECT count(*) AS n FROM job_skills WHERE skill_id IS NOT NULL AND skill_id NOT IN (SELECT skill_id FROM skills WHERE skill_id IS NOT NULL)"),
     "a22_empty_columns": (empty_columns, "SELECT 'jobs.' || c AS column_name FROM (SELECT unnest([" + ", ".join(f"{{'c': '{c}', 'n': (SELECT count({c}) FROM jobs)}}" for c in ("job_id", "title_raw", "location_id", "posted_date", "source", "url", "seniority", "job_type", "loaded_at", "deleted_at")) + "], recursive := true)) WHERE n = 0"),
     "m21_masked_evaluation": (masked_evaluation, None),
+    "m21_masked_methods": (masked_methods, None),
     "a17_match_sets": (match_sets, """WITH f AS (SELECT DISTINCT job_id, source, skill_id, extraction_method AS m FROM job_skills WHERE job_id IS NOT NULL AND skill_id IS NOT NULL),
         g AS (SELECT DISTINCT job_id, source, skill_id FROM f WHERE m <> 'fuzzy_match'), p AS (SELECT DISTINCT job_id, source, skill_id FROM f WHERE m <> 'source_provided'),
         b AS (SELECT coalesce(g.job_id, p.job_id) AS job_id, coalesce(g.source, p.source) AS source, g.job_id IS NOT NULL AS ig, p.job_id IS NOT NULL AS ip FROM g FULL JOIN p ON (g.job_id, g.source, g.skill_id) = (p.job_id, p.source, p.skill_id)),

@@ -31,6 +31,15 @@ def test_masked_evaluation(spark):
     assert got == {"c": (2, 0, 0), "d": (1, 0, 1), "data_jobs": (0, 0, 2)}
 
 
+def test_masked_evaluation_predicts_fuzzily(spark):
+    aliases = extract.aliases_of(spark.createDataFrame([("py", "Python", "hard"), ("ng", "Testng", "hard"), ("pg", "Postgresql", "hard")], "skill_id string, canonical_name string, skill_type string"))
+    none = [(k, "v", "Testing", None, None, []) for k in range(10, 20)]  # common over all records only
+    data = [(1, "c", "Dev", "Python, posgresql", None, ["Python", "Postgresql"]), (2, "c", "testing", "postgresq1", None, ["Python"]), *none]
+    r = spark.createDataFrame(data, "record_id long, source string, title string, requirements_raw string, description string, labels array<string>")
+    assert [(x["source"], x["tp"], x["fp"], x["fn"]) for x in quality.masked_evaluation(r, aliases).collect()] == [("c", 2, 1, 1)]
+    assert rows(quality.masked_methods(r, aliases)) == [("exact_match", 1, 1, 1.0), ("fuzzy_match", 1, 2, 0.5)]
+
+
 def test_sample_is_stratified_and_reproducible(spark):
     data = [(s, str(i), "t" * i, None, None) for s in ("a", "b") for i in range(1, 61)] + [("a", "empty", "", None, None)]
     r = spark.createDataFrame(data, "source string, source_id string, title string, requirements_raw string, description string")
