@@ -36,7 +36,7 @@ NEVER_END = 0.015
 LONGER, LONGER_TIMES = 5, 20
 #: A shorter context counts as so many cases of the longer one; unknown words end a sentence with this probability.
 BACKOFF, PRIOR_END = 2.0, 0.2
-#: A closing line (digits aside) ends at least this share of all texts, and so many.
+#: A closing line (digits aside) ends at least this share of all texts, and so many; texts that are alike before the line count once.
 CLOSING_SHARE, CLOSING_TEXTS = 0.001, 8
 
 #: Different sentences that a task holds before it hands their counts on.
@@ -44,6 +44,9 @@ FLUSH = 50_000
 #: A closing line is shorter.
 MAX_CLOSING = 200
 
+#: Last words of closing lines after which dots leave nothing out (fixed values).
+AND_SO_ON = ("etc", "v.v", "vv")
+
 #: Longer than any mark behind a text; several marks are taken off one after the other.
 TAIL = 160
 
@@ -104,12 +107,14 @@ def closing_pattern(line: str) -> str:
     return _DIGITS.sub("0", line.lower())
 
 
-#: Marks the rows of corpus_counts that count closing lines.
+#: Marks the rows of corpus_counts that hold closing lines.
 CLOSING = "\x1e"
 
 
 def corpus_counts(documents: DataFrame) -> DataFrame:
-    """(word, key, ends, mids): word rows count a word or a last line, key rows how often a context ends a sentence or goes on.
+    """(word, key, ends, mids): rows with a word alone count it, rows with a key alone how often a context ends a sentence or goes on.
+
+    Rows with both hold a last line and a key of the text before it.
 
     Keys of kind 4 are a word with a proper prefix of the word that follows it:
     the nodes of the tries of followers. Equal sentences of a task are counted
@@ -128,7 +133,7 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
                 for t in _contexts(w[:i]):
                     (mids if i < len(w) else ends)[t] += n
         out = [(x, None, n, 0) for x, n in vocabulary.items()]
-        out += [(CLOSING + x, None, n, 0) for x, n in closings.items()]
+        out += [(CLOSING + x, rest, n, 0) for (x, rest), n in closings.items()]
         for t in ends.keys() | mids.keys():
             out.append((None, _key(*t), ends.get(t, 0), mids.get(t, 0)))
             if t[0] == 2:
@@ -148,8 +153,8 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
                     lines = plain_lines(text)[0]
                     sentences.update(finished(lines))
                     if len(lines) > 1 and len(lines[-1]) < MAX_CLOSING:
-                        closings[closing_pattern(lines[-1])] += 1
-            if len(sentences) > FLUSH:
+                        closings[closing_pattern(lines[-1]), _key(5, *map(closing_pattern, lines[:-1]))] += 1
+            if len(sentences) + len(closings) > FLUSH:
                 yield rows(sentences, closings)
                 sentences, closings = Counter(), Counter()
         yield rows(sentences, closings)
@@ -165,9 +170,9 @@ def trie_nodes(vocabulary: DataFrame) -> DataFrame:
 
 
 def text_ends(documents: DataFrame, closings: set[str]) -> DataFrame:
-    """(doc_id, source, n_chars, n_bytes, torn, open, last, tri, bi, uni, stem) of each unfinished end that is no closing line.
+    """(doc_id, source, n_chars, n_bytes, torn, open, closing, last, tri, bi, uni, stem) of each unfinished end.
 
-    open: the end is a sign that asks for more.
+    open: the end is a sign that asks for more; closing: it is a closing line.
     """
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,19 +180,20 @@ def text_ends(documents: DataFrame, closings: set[str]) -> DataFrame:
             rows = []
             for i, source, text in zip(b["doc_id"], b["source"], b["text"]):
                 lines, torn = plain_lines(text)
-                if not lines or _FINISHED.search(lines[-1]) or closing_pattern(lines[-1]) in closings:
+                if not lines or _FINISHED.search(lines[-1]):
                     continue
+                closing = closing_pattern(lines[-1]) in closings
                 w = words(_SENTENCE.split(lines[-1])[-1])
                 sign = bool(_OPEN.search(lines[-1]))
                 size = len(text), len(text.encode())
                 if len(w) > 1:
-                    rows.append((i, source, *size, torn, sign, w[-1], *(_key(*t) for t in _contexts(w)), _key(4, *w[-2:])))
+                    rows.append((i, source, *size, torn, sign, closing, w[-1], *(_key(*t) for t in _contexts(w)), _key(4, *w[-2:])))
                 elif sign:
-                    rows.append((i, source, *size, torn, True, "", 0, 0, 0, 0))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "n_chars", "n_bytes", "torn", "open", "last", "tri", "bi", "uni", "stem"])
+                    rows.append((i, source, *size, torn, True, closing, "", 0, 0, 0, 0))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "n_chars", "n_bytes", "torn", "open", "closing", "last", "tri", "bi", "uni", "stem"])
 
     return documents.select("doc_id", "source", "text").mapInPandas(
-        ends, "doc_id long, source string, n_chars long, n_bytes long, torn boolean, open boolean, last string, tri long, bi long, uni long, stem long"
+        ends, "doc_id long, source string, n_chars long, n_bytes long, torn boolean, open boolean, closing boolean, last string, tri long, bi long, uni long, stem long"
     )
 
 
@@ -211,18 +217,20 @@ def truncated(documents: DataFrame) -> DataFrame:
 
     Null, blank and wordless texts are whole, and so are texts that end with a
     finished sentence or a line as sentences of the corpus end, with or without
-    a full stop. Extra columns are ignored; repeated texts count as often as
-    they stand.
+    a full stop. A closing line does not excuse half markup, a length at which
+    the source cuts or the beginning of a word. Extra columns are ignored;
+    repeated texts count as often as they stand.
     """
     documents = documents.select("doc_id", "source", "text").where("text IS NOT NULL AND text <> ''")
     counts = cut_lineage(
         corpus_counts(documents).groupBy("word", "key").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids"))
     )
     nodes = trie_nodes(counts.where(F.col("word").isNotNull() & ~F.col("word").startswith(CLOSING) & (F.col("ends") >= MIN_WORD)).select("word"))
-    contexts = counts.where("key IS NOT NULL").select("key", "ends", "mids")
+    contexts = counts.where("word IS NULL").select("key", "ends", "mids")
     # lines that close at least CLOSING_SHARE of all texts, so at most 1 / CLOSING_SHARE
     least = max(CLOSING_TEXTS, CLOSING_SHARE * documents.count())
-    closing = counts.where(F.col("word").startswith(CLOSING) & (F.col("ends") >= least)).select("word").collect()
+    lines = counts.where(F.col("word").startswith(CLOSING)).groupBy("word").agg(F.count("*").alias("texts"))
+    closing = lines.where(F.col("texts") >= least).select("word").collect()
     ends = cut_lineage(text_ends(documents, {r["word"][1:] for r in closing}))
     # the same ends come again and again: each is judged once
     known = ends.where(~F.col("open")).select("last", "tri", "bi", "uni", "stem").distinct()
@@ -237,9 +245,10 @@ def truncated(documents: DataFrame) -> DataFrame:
     no_word = ~F.coalesce("is_word", F.lit(False)) & F.coalesce("leads_on", F.lit(False))
     as_is = F.coalesce("e_bi", F.lit(0)) + F.coalesce("m_bi", F.lit(0))
     begun = (F.coalesce("longer", F.lit(0)) >= LONGER) & (as_is * LONGER_TIMES <= F.col("longer"))
-    in_word = (F.coalesce("e_bi", F.lit(0)) == 0) & (no_word | begun)
+    never = F.coalesce("e_bi", F.lit(0)) == 0
+    in_word = never & (no_word | begun)
     judged = known.select(
-        "last", "tri", "bi", (in_word | (F.col("p") < NEVER_END)).alias("breaks"), (F.col("p") < RARE_END).alias("doubtful")
+        "last", "tri", "bi", (in_word | (F.col("p") < NEVER_END)).alias("breaks"), (F.col("p") < RARE_END).alias("doubtful"), (never & no_word).alias("prefix")
     )
     limits = source_limits(documents)
     at_limit = (
@@ -253,6 +262,7 @@ def truncated(documents: DataFrame) -> DataFrame:
         ends.join(judged.where("breaks OR doubtful"), ["last", "tri", "bi"], "left")
         .join(at_limit, "doc_id", "left")
         .where("open OR breaks OR (doubtful AND (torn OR cut))")
+        .where(f"NOT closing OR cut OR prefix OR (torn AND NOT last IN {AND_SO_ON})")
         .select("doc_id", "source")
         .distinct()
     )

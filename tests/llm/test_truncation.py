@@ -32,6 +32,20 @@ def test_whole_texts_without_a_full_stop(spark):
     assert find(spark, ["Willing to work shifts in Lisbon", "Answer requests from clients within two days", "Good luck :)", "", None, " ", "<p></p>", "Keep the warehouse records in good order. " * 20_000]) == []
 
 
+def test_copies_of_a_cut_text_make_no_closing_line(spark):
+    copies = [(2000 + i, f"s{i}", "Notes come first\nKeep the warehouse records in", "") for i in range(20)]
+    d = spark.createDataFrame(corpus([]) + copies, SCHEMA)
+    assert [i for i, _ in rows(truncated(d))] == [i for i, *_ in copies]
+
+
+def test_closing_lines_of_different_texts(spark):
+    first = ["".join("abcdefghij"[int(c)] for c in str(100 + i)) for i in range(20)]
+    docs = lambda at, line: [(at + i, f"s{i}", f"Notes {x}\n{line}", "") for i, x in enumerate(first)]
+    d = spark.createDataFrame(corpus([]) + docs(2000, "Keep the warehouse records in") + docs(3000, "Answer requests from cli") + docs(4000, "Keep the warehouse records in…") + docs(5000, "Perks: meals, shuttle, etc..."), SCHEMA)
+    # excused, unless the line ends inside a word or in a mark of omission
+    assert [i for i, _ in rows(truncated(d))] == [*range(3000, 3020), *range(4000, 4020)]
+
+
 def test_report_counts_every_source(spark):
     d = spark.createDataFrame(corpus(["Prepare the monthly sales rep", "Willing to work shifts in Lisbon."]), SCHEMA)
     assert rows(truncation_report(d, truncated(d))) == [("cut", 2, 1, 0.5), ("feed", 40, 0, 0.0)]
