@@ -1,7 +1,7 @@
 """Problem 9: held-out questions inside the corpus.
 
-Seeds are word n-grams that stand in one test item only. A document that holds
-several seeds of an item is aligned with it (Smith-Waterman over words, first
+Seeds are the word n-grams of the test items; one belongs to all items that hold
+it. A document that holds several seeds of an item is aligned with it (Smith-Waterman over words, first
 and second best stretch); altered words cost little, altered facts much. Facts
 are numbers and words in whose place other items have other words. A document
 gives an item away if the stretches hold at least half of its words in order
@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a seed; different seeds of an item before a document is aligned with it.
-SEED_WORDS, MIN_SEEDS = 4, 2
+#: Words of a seed; different seeds of an item before a document is aligned with it; words of a seed of an item without so many.
+SEED_WORDS, MIN_SEEDS, SHORT_SEED = 4, 2, 2
 #: Part of an item's words that makes a leak; part of the facts in the stretches that must agree.
 MIN_COVER, MIN_FACTS = 0.5, 0.6
 #: A second stretch has at least so many words.
@@ -47,40 +47,54 @@ def fold_words(text: str) -> list[str]:
     return _WORD.findall(t)
 
 
+def _slot(w: list[str], k: int) -> tuple:
+    return (w[k - 1] if k else "", w[k + 1] if k + 1 < len(w) else "")
+
+
+def _grams(words: list[str], size: int) -> Iterator[tuple]:
+    return zip(*(words[j:] for j in range(size)))
+
+
+def facts_of(texts: list[list[str]]) -> list[np.ndarray]:
+    """Which words of each text are facts; other words in their place are sought in all texts."""
+    slots: dict[tuple, set[str]] = defaultdict(set)
+    for w in texts:
+        for k, x in enumerate(w):
+            slots[_slot(w, k)].add(x)
+    return [np.array([any(c.isdigit() for c in x) or len(slots[_slot(w, k)]) > 1 for k, x in enumerate(w)], dtype=bool) for w in texts]
+
+
 class Items:
-    """Test items with their seeds and facts."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.words = {i: fold_words(t) for i, t in items}
-        owners: dict[tuple, set[int]] = defaultdict(set)
-        for i, w in self.words.items():
-            for k in range(len(w) - SEED_WORDS + 1):
-                owners[tuple(w[k : k + SEED_WORDS])].add(i)
-        self.seeds = {g: next(iter(o)) for g, o in owners.items() if len(o) == 1}
-        slots: dict[tuple, set[str]] = defaultdict(set)
-        for w in self.words.values():
-            for k, x in enumerate(w):
-                slots[self._slot(w, k)].add(x)
-        self.facts = {
-            i: np.array([any(c.isdigit() for c in x) or len(slots[self._slot(w, k)]) > 1 for k, x in enumerate(w)], dtype=bool)
-            for i, w in self.words.items()
-        }
-
-    @staticmethod
-    def _slot(w: list[str], k: int) -> tuple:
-        return (w[k - 1] if k else "", w[k + 1] if k + 1 < len(w) else "")
+    """Different texts of test items, each (ids, words, facts), with their seeds."""
+
+    def __init__(self, items: list[tuple[list[int], list[str], np.ndarray]]):
+        self.ids, self.words, self.facts = zip(*items) if items else ((), (), ())
+        self.seeds: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.needed: list[int] = []
+        for i, w in enumerate(self.words):
+            size = SEED_WORDS
+            grams = set(_grams(w, size))
+            if len(grams) < MIN_SEEDS:
+                size = min(SHORT_SEED, len(w))
+                grams = set(_grams(w, size))
+            for g in grams:
+                self.seeds[size][g].append(i)
+            self.needed.append(min(MIN_SEEDS, len(grams)))
 
     def candidates(self, words: list[str]) -> dict[int, list[int]]:
-        """Item -> places of its seeds, of items with enough different ones."""
-        hits: dict[int, dict[tuple, int]] = defaultdict(dict)
+        """Text -> places of its seeds, of texts with enough different ones and enough words in the document."""
+        hits: dict[int, set[tuple]] = defaultdict(set)
         places: dict[int, list[int]] = defaultdict(list)
-        get = self.seeds.get
-        for k, g in enumerate(zip(*(words[j:] for j in range(SEED_WORDS)))):
-            i = get(g)
-            if i is not None:
-                hits[i][g] = k
-                places[i].append(k)
-        return {i: places[i] for i, g in hits.items() if len(g) >= MIN_SEEDS}
+        for size, seeds in self.seeds.items():
+            get = seeds.get
+            for k, g in enumerate(_grams(words, size)):
+                for i in get(g, ()):
+                    hits[i].add(g)
+                    places[i].append(k)
+        found = [i for i, g in hits.items() if len(g) >= self.needed[i]]
+        have = set(words) if found else set()
+        # no alignment gives more of a text than its words that the document has
+        return {i: places[i] for i in found if sum(x in have for x in self.words[i]) >= MIN_COVER * len(self.words[i])}
 
 
 def align(item: np.ndarray, facts: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
@@ -143,7 +157,13 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     by nothing, and a document that stands several times counts as often. Items
     are a small held-out set; each pass over the corpus takes ITEMS_PER_PASS.
     """
-    rows = [(r["item_id"], r["text"]) for r in items.where("text IS NOT NULL").select("item_id", "text").toLocalIterator()]
+    same: dict[tuple, list[int]] = defaultdict(list)
+    for r in items.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
+        if words := fold_words(r["text"]):
+            same[tuple(words)].append(r["item_id"])
+    texts = [list(w) for w in same]
+    # facts are told over all items, so that the passes do not change them
+    rows = list(zip(same.values(), texts, facts_of(texts)))
     parts = [_pass(documents, rows[k : k + ITEMS_PER_PASS]) for k in range(0, len(rows), ITEMS_PER_PASS)] or [_pass(documents, [])]
     out = parts[0]
     for p in parts[1:]:
@@ -151,7 +171,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
-def _pass(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+def _pass(documents: DataFrame, rows: list[tuple[list[int], list[str], np.ndarray]]) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = Items(rows)
         for b in batches:
@@ -161,7 +181,7 @@ def _pass(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
                 for i, places in items.candidates(words).items():
                     part, agree = cover(words, items.words[i], items.facts[i], places)
                     if part >= MIN_COVER and agree >= MIN_FACTS:
-                        out.append((d, i))
+                        out += [(d, item) for item in items.ids[i]]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
     texts = documents.where("text IS NOT NULL AND text <> ''").select("doc_id", "text")

@@ -1,5 +1,6 @@
 import numpy as np
 
+from skillspark.llm import leakage
 from skillspark.llm.leakage import align, fold_words, leaks
 from tests.conftest import rows
 
@@ -42,6 +43,18 @@ def test_repeats_and_several_items(spark):
     assert find(spark, [A + " " + B, A, A]) == [(0, 1), (0, 2), (1, 1), (2, 1)]
 
 
+def test_shared_wording_and_short_items(spark, monkeypatch):
+    twin = [(1, A), (2, B), (5, A.upper()), (6, "Zebra quartz lantern"), (7, "Quokka")]
+    end = "Every lodger files the same plain form before supper and keeps one copy behind the kitchen door"
+    shared = [(8, "Nine gulls over Fenwick counted the ferries slowly yesterday noon. " + end), (9, "Old brass kettles from Dunmore never whistle twice when snow falls. " + end)]
+    docs = spark.createDataFrame(list(enumerate([A, "The zebra quartz lantern stood there.", "A quokka!", "Zebra, then a lantern of quartz.", end])), "doc_id long, text string")
+    want = [(0, 1), (0, 5), (1, 6), (2, 7), (4, 8), (4, 9)]
+    items = spark.createDataFrame(twin + shared, "item_id long, text string")
+    assert rows(leaks(docs, items)) == want
+    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 1)  # the passes change nothing
+    assert rows(leaks(docs, items)) == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
