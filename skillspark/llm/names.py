@@ -62,7 +62,7 @@ LINES = {
 }
 BRANCH = re.compile(r"(?:\s[-–]\s*|\(\s*)(?:chi nhanh|cn|branch|vpdd|van phong dai dien)\s+[^()-]*\)?\s*$|\s+chi nhanh\s[^()]*$")
 
-#: Longer texts are indexed by halves.
+#: Longer texts are indexed by halves; those of one letter more by both, since their partner may be shorter.
 LONG = 40
 
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -96,10 +96,11 @@ def deletes(text: str) -> set[str]:
 def variant_keys(text: str) -> set[str]:
     """Texts at one edit share a key. Short texts: their deletes. Of a long text one edit leaves the first or the last half as it is."""
     n = len(text)
-    if n <= LONG:
-        return deletes(text)
-    halves = {n // 2 - 1, (n - 1) // 2 - 1}
-    return {f"<{h}|{text[:h]}" for h in halves} | {f">{h}|{text[-h:]}" for h in halves}
+    keys = deletes(text) if n <= LONG + 1 else set()
+    if n >= LONG:
+        halves = {n // 2 - 1, (n - 1) // 2 - 1}
+        keys |= {f"<{h}|{text[:h]}" for h in halves} | {f">{h}|{text[-h:]}" for h in halves}
+    return keys
 
 
 @lru_cache(maxsize=200_000)

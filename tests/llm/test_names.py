@@ -19,6 +19,14 @@ def test_long_texts_at_one_edit_share_a_key():
     assert len(variant_keys("A" * 20_000)) <= 4
 
 
+def test_texts_about_the_limit_of_deletes_share_a_key():
+    for n in range(39, 43):
+        text = ("abcdefghij" * 5)[:n]
+        for i in range(n):
+            for other in (text[:i] + text[i + 1 :], text[:i] + "x" + text[i:], text[:i] + "x" + text[i + 1 :]):
+                assert variant_keys(text) & variant_keys(other)
+
+
 def test_alignment():
     assert aligned(["kifi", "sopege"], ["sopege", "kifi"])
     assert aligned(["kifi", "sopege"], ["kifisopgee"])
