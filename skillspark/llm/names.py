@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -244,7 +246,7 @@ def _fuzzy_country(words: tuple[str, ...]) -> bool:
 FEW_SPELLINGS, SUPPORT_TIMES = 2, 3
 #: Words in so many names, and in so large a part of them, are no misspellings.
 COMMON_NAMES, COMMON_SHARE = 5, 0.0005
-#: Tokens of a brand whose orders are tried.
+#: Tokens of a brand whose orders are tried as one word; longer brands are indexed by their tokens without order.
 MAX_ORDERED = 3
 
 
@@ -253,17 +255,36 @@ def orders(tokens: list[str]) -> set[str]:
     return {"".join(p) for p in permutations(tokens)} if len(tokens) <= MAX_ORDERED else {"".join(tokens)}
 
 
+def token_keys(tokens: list[str]) -> set[str]:
+    """Brands of the same tokens in any order, one of them at one edit, share a key. Beyond LONG letters a key leaves a token out instead of a letter."""
+    each = [xxhash.xxh3_64_intdigest(t) for t in tokens]
+    total, letters = sum(each), sum(map(len, tokens))
+    rests = set()
+    for t, h in zip(tokens, each):
+        if letters <= LONG + 1:
+            rests |= {total - h + xxhash.xxh3_64_intdigest(d) for d in deletes(t)}
+        if letters >= LONG:
+            rests.add(total - h)
+    return {f"~{r:x}" for r in rests}
+
+
+def brand_keys(tokens: list[str]) -> set[str]:
+    keys = {d for o in orders(tokens) for d in variant_keys(o)}
+    return keys | token_keys(tokens) if len(tokens) > MAX_ORDERED else keys
+
+
 def aligned(a: list[str], b: list[str]) -> bool:
     """Whether the cheapest assignment of tokens leaves at most one edit; texts run together count as one token."""
     if near("".join(a), "".join(b)):
         return True
-    if len(a) != len(b) or len(a) > MAX_ORDERED:
-        return False
-    for p in permutations(b):
-        off = [(x, y) for x, y in zip(a, p) if x != y]
-        if not off or len(off) == 1 and near(*off[0]):
-            return True
-    return any(near("".join(a), "".join(p)) for p in permutations(b))
+    # an assignment of at most one edit pairs all equal tokens, so one of each side is left at most
+    left, right = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
+    if len(left) == len(right) <= 1 and (not left or near(left[0], right[0])):
+        return True
+    # a token written as several, the others in any order
+    if len(left) != len(right) and min(len(left), len(right)) == 1 and left and near("".join(left), "".join(right)):
+        return True
+    return len(a) == len(b) <= MAX_ORDERED and any(near("".join(a), "".join(p)) for p in permutations(b))
 
 
 def _parse(batches: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[pd.DataFrame]:
@@ -310,7 +331,7 @@ def brand_roots(names: DataFrame) -> DataFrame:
             rows = [
                 (brand, key)
                 for brand, every in zip(b["brand"], b["all"])
-                for key in {d for t in every for o in orders(list(t)) for d in variant_keys(o)}
+                for key in {k for t in every for k in brand_keys(list(t))}
             ]
             yield pd.DataFrame(rows, columns=["brand", "key"])
 

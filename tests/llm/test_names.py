@@ -1,4 +1,4 @@
-from skillspark.llm.names import Name, aligned, deletes, near, organisations, same_organisation, variant_keys
+from skillspark.llm.names import Name, aligned, brand_keys, deletes, near, organisations, same_organisation, variant_keys
 from tests.conftest import rows
 
 FIRM = ["Công ty TNHH Phần mềm Kifi Sopege", "Kifi Sopege Software Ltd", "KIFI-SOPEGE SOFTWARE CO., LTD", "KifiSopege SW", "Sopege Kifi Software", "Kifi Sopegee Software Limited", "K. Sopege Software Ltd", "Kifi Sopege Co Ltd"]
@@ -33,6 +33,15 @@ def test_alignment():
     assert not aligned(["kifi", "sopege"], ["kafo", "sopege"])
 
 
+def test_brands_of_many_tokens_in_another_order(spark):
+    for tokens in (["khang", "thinh", "hop", "gia"], [f"word{c}" for c in "abcdefghij"]):
+        typo = [*tokens[1:], tokens[0][:-1]]
+        assert aligned(tokens, tokens[::-1]) and aligned(tokens, typo) and brand_keys(tokens) & brand_keys(typo)
+        assert not aligned(tokens, [*tokens[2:], "other", "names"])
+    names = ["Khang Thinh Hop Gia Foods", "Gia Khang Thinh Hop Foods", "Thinh Hop Gia Khanh Foods"]
+    assert len(rows(same_organisation(table(spark, names)))) == 3
+
+
 def test_reading():
     n = Name("Cty Cổ phần Truyền thông Lộc Thủy (Việt Nam)")
     assert (n.brand, n.line, n.legal) == (["loc", "thuy"], "communications", "jsc")
