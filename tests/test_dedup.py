@@ -65,11 +65,46 @@ def test_blocking_key(spark):
     assert [r[0] for r in df.select(dedup.blocking_key(F.col("company"), F.col("title"))).collect()] == ["ke toan tong", "hoa sen viet"]
 
 
+def test_one_title_with_many_companies(spark, monkeypatch):
+    rng = random.Random(4)
+    companies = ["Công ty Minh Khang Phát " + "".join(rng.choice("abcdefg") for _ in range(9)) for _ in range(60)]
+    companies += [c[:-1] + "x" for c in companies[:30]]
+    df = spark.createDataFrame([(i, "a", "Kế toán", c, None, None, None) for i, c in enumerate(companies)], SCHEMA)
+    signed = dedup.signatures(df)
+    by_segment = rows(dedup.duplicate_signatures(signed))
+    monkeypatch.setattr(dedup, "MAX_BLOCK", 10_000)
+    assert by_segment == rows(dedup.duplicate_signatures(signed)) and len(by_segment) >= 30
+
+
 def test_links(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (4, 4), (None, 1)] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
     assert rows(link_groups(edges)) == sorted([(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)] + [(i, 100) for i in range(100, 141)], key=lambda t: tuple((True, str(x)) for x in t))
     assert rows(link_groups(edges.limit(0))) == []
 
 
+def test_random_links_by_brute_force(spark):
+    rng = random.Random(9)
+    nodes = [f"n{i:03}" for i in range(300)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(230)]
+    group = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in nodes:
+        for a, b in edges:
+            if a != b:
+                group[a] = group[b] = min(group[a], group[b])
+    got = dict(link_groups(spark.createDataFrame(edges, "a string, b string")).collect())
+    assert got == group
+
+
+def test_a_long_chain_and_a_large_star_settle(spark):
+    ids = list(range(3_000))
+    random.Random(1).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    star = spark.range(10_001, 60_000).select(F.lit(10_000).cast("long").alias("a"), F.col("id").alias("b"))
+    labels = link_groups(chain.unionByName(star), max_rounds=40)
+    assert rows(labels.groupBy("group").count()) == [(0, 3_000), (10_000, 50_000)]
+    # the estimate of the size does not grow from round to round
+    assert int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 300
+
+
 def test_empty(spark):
     assert rows(dedup.assign_groups(spark.createDataFrame([], SCHEMA)).select("rec_no")) == []
