@@ -4,21 +4,26 @@ A reference made at time t is sound if the target table holds a row with that
 key, loaded not after t and not deleted by t. Targets are first reduced to the
 disjoint spans in which a key exists. References are counted per key and
 period; the few keys that hold a large share of all rows are answered by a
-broadcast of their spans, the other keys by a shuffled anti join.
+broadcast of their spans (or, if these are many, by a salted join), the other
+keys by a shuffled anti join. The report reduces references to counts per key
+and time before either join and adds up the orphan counts of both.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skillspark.session import MAX_HEAVY_KEYS
+from skillspark.session import max_heavy_keys
 
-#: Spans that may be broadcast (about 40 bytes each); beyond it everything is shuffled.
+#: Spans that may be broadcast (about 40 bytes each); beyond it the heavy keys are salted instead.
 MAX_BROADCAST_SPANS = 200_000
+#: Parts of a heavy key whose spans are too many for a broadcast.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -59,15 +64,31 @@ def existence_spans(targets: DataFrame, key: str, loaded: str = "loaded_at", del
     )
 
 
-def _missing(refs: DataFrame, spans: DataFrame) -> DataFrame:
+def _missing(refs: DataFrame, spans: DataFrame, *by: str) -> DataFrame:
     inside = (F.col("r.at") >= F.col("s.since")) & (F.col("s.till").isNull() | (F.col("r.at") < F.col("s.till")))
-    return refs.alias("r").join(spans.alias("s"), (F.col("r.k") == F.col("s.k")) & inside, "left_anti")
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}") == F.col(f"s.{c}") for c in ("k", *by)])
+    return refs.alias("r").join(spans.alias("s"), same & inside, "left_anti")
 
 
-def heavy_keys(counted: DataFrame, total: int) -> DataFrame:
-    """Keys with more than a MAX_HEAVY_KEYS-th of all references (so at most MAX_HEAVY_KEYS), from counts per key and period."""
+def heavy_keys(counted: DataFrame, total: int, most: int) -> DataFrame:
+    """Keys with more than a most-th of all references (so less than most of them), from counts per key and period."""
     per_key = counted.groupBy("k").agg(F.sum("n").alias("n"))
-    return per_key.where(F.col("n") * MAX_HEAVY_KEYS > total).select("k")
+    return per_key.where(F.col("n") * most > total).select("k")
+
+
+def _split_missing(refs: DataFrame, spans: DataFrame, heavy: list) -> DataFrame:
+    """The rows of refs outside the spans of their key; heavy keys are kept out of the shuffle of the others."""
+    if not heavy:
+        return _missing(refs, spans)
+    is_heavy = F.col("k").isin(heavy)
+    hot_refs, hot_spans = refs.where(is_heavy), spans.where(is_heavy)
+    if hot_spans.limit(MAX_BROADCAST_SPANS + 1).count() > MAX_BROADCAST_SPANS:
+        salted = hot_refs.withColumn("salt", F.pmod(F.xxhash64(*refs.columns), F.lit(SALTS)))
+        each = hot_spans.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hot = _missing(salted, each, "salt").drop("salt")
+    else:
+        hot = _missing(hot_refs, F.broadcast(hot_spans))
+    return hot.unionByName(_missing(refs.where(~is_heavy), spans.where(~is_heavy)))
 
 
 def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -79,16 +100,21 @@ def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     refs = refs.where("k IS NOT NULL")
     counted = refs.groupBy("k", F.date_trunc("month", "at").alias("period")).agg(F.count("*").alias("n"))
-    heavy = [r["k"] for r in heavy_keys(counted, refs.count()).collect()]  # at most MAX_HEAVY_KEYS
-    if not heavy:
-        return _missing(refs, spans)
-    is_heavy = F.col("k").isin(heavy)
-    hot_spans = spans.where(is_heavy)
-    if hot_spans.limit(MAX_BROADCAST_SPANS + 1).count() > MAX_BROADCAST_SPANS:
-        return _missing(refs, spans)
-    return _missing(refs.where(is_heavy), F.broadcast(hot_spans)).unionByName(
-        _missing(refs.where(~is_heavy), spans.where(~is_heavy))
-    )
+    heavy = heavy_keys(counted, refs.count(), max_heavy_keys(refs.sparkSession)).collect()  # bounded by heavy_keys
+    return _split_missing(refs, spans, [r["k"] for r in heavy])
+
+
+def orphan_counts(refs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(period, n_orphans) of refs(k, at) by month, null times under a null period.
+
+    References of one key and time are one row with their number before
+    anything is joined, so repeated references cost nothing more.
+    """
+    reduced = refs.where("k IS NOT NULL").groupBy("k", "at").agg(F.count("*").alias("n"))
+    times = reduced.select("k", F.lit(1).alias("n"))
+    heavy = heavy_keys(times, times.count(), max_heavy_keys(refs.sparkSession)).collect()  # bounded by heavy_keys
+    lost = _split_missing(reduced, spans, [r["k"] for r in heavy])
+    return lost.groupBy(F.date_format("at", "yyyy-MM").alias("period")).agg(F.sum("n").alias("n_orphans"))
 
 
 def find_orphans(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:
@@ -104,6 +130,9 @@ def find_orphans(source: DataFrame, target: DataFrame, ref: Reference) -> DataFr
     )
 
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Orphan references per table, column and period."""
-    return orphans.groupBy("table_name", "column_name", "period").agg(F.count("*").alias("n_orphans"))
+def report_orphans(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:
+    """(table_name, column_name, period, n_orphans) of one referring column."""
+    refs = source.select(F.col(ref.column).alias("k"), F.col(ref.at).alias("at"))
+    return orphan_counts(refs, existence_spans(target, ref.target_key)).select(
+        F.lit(ref.table).alias("table_name"), F.lit(ref.column).alias("column_name"), "period", "n_orphans"
+    )

@@ -24,7 +24,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.orphan_report(p2_found(spark, sf_dir))
+    parts = [references.report_orphans(table(spark, sf_dir, r.table), table(spark, sf_dir, r.target), r) for r in REFERENCES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
