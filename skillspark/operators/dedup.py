@@ -13,7 +13,7 @@ from skillspark.session import cut_lineage
 
 KEY_LENGTH = 12
 TITLE_SIMILARITY, COMPANY_SIMILARITY = 87.5, 88.0
-#: Blocks with more different titles than this are joined by segments, not pair by pair.
+#: Blocks with more different signatures than this are joined by segments, not pair by pair.
 MAX_BLOCK = 64
 
 
@@ -35,7 +35,7 @@ def signatures(records: DataFrame, accents: bool = True) -> DataFrame:
 def duplicate_signatures(signed: DataFrame) -> DataFrame:
     """(block, t, c, t2, c2): pairs of different signatures that mean the same posting; records of one signature need no pair."""
     sig = cut_lineage(signed.select("block", "t", "c").distinct())
-    sizes = sig.groupBy("block").agg(F.count_distinct("t").alias("n"))
+    sizes = sig.groupBy("block").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > MAX_BLOCK).select("block")
     small = sig.join(large, "block", "left_anti")
     same_company = similar(F.col("c"), F.col("c2"), COMPANY_SIMILARITY)
@@ -43,9 +43,12 @@ def duplicate_signatures(signed: DataFrame) -> DataFrame:
     ordered = F.struct("t", "c") < F.struct("t2", "c2")
     near = small.join(other(small), "block").where(ordered & similar(F.col("t"), F.col("t2"), TITLE_SIMILARITY) & same_company)
     big = sig.join(large, "block", "left_semi")
-    titles = big.select("block", F.col("t").alias("text"))
-    alike = similar_texts(titles, titles, TITLE_SIMILARITY).select("block", F.col("a").alias("t"), F.col("b").alias("t2"))
-    far = big.join(alike, ["block", "t"]).join(other(big), ["block", "t2"]).where(ordered & same_company)
+    text = lambda c: big.select("block", F.col(c).alias("text"))
+    titles = similar_texts(text("t"), text("t"), TITLE_SIMILARITY).select("block", F.col("a").alias("t"), F.col("b").alias("t2"))
+    companies = similar_texts(text("c"), text("c"), COMPANY_SIMILARITY).select("block", F.col("a").alias("c"), F.col("b").alias("c2"))
+    # both sides are narrowed before signatures meet: neither one title with many companies nor one company with many titles is paired all with all
+    near_both = big.join(titles, ["block", "t"]).join(companies, ["block", "c"])
+    far = near_both.where(ordered).join(other(big), ["block", "t2", "c2"], "left_semi")
     columns = ["block", "t", "c", "t2", "c2"]
     return near.select(columns).unionByName(far.select(columns))
 
