@@ -11,30 +11,34 @@ from skillspark.functions.text import strip_accents
 
 #: Cities in order of precedence with the words that name them.
 CITIES = {
-    "Hà Nội": "ha noi|hanoi", "TP Hồ Chí Minh": "ho chi minh|hcm|sai gon|saigon|thu duc", "Đà Nẵng": "da nang|danang", "Hải Phòng": "hai phong",
-    "Cần Thơ": "can tho", "Bình Dương": "binh duong", "Đồng Nai": "dong nai|bien hoa", "Bắc Ninh": "bac ninh", "Bắc Giang": "bac giang",
-    "Hưng Yên": "hung yen", "Hải Dương": "hai duong", "Quảng Ninh": "quang ninh|ha long", "Vĩnh Phúc": "vinh phuc", "Thái Nguyên": "thai nguyen",
-    "Thanh Hoá": "thanh hoa", "Nghệ An": "nghe an", "Thừa Thiên Huế": "thua thien|hue", "Khánh Hoà": "khanh hoa|nha trang",
-    "Bà Rịa - Vũng Tàu": "ba ria|vung tau", "Long An": "long an", "Tiền Giang": "tien giang|my tho", "Lâm Đồng": "lam dong|da lat", "Bình Định": "binh dinh|quy nhon",
+    "Hà Nội": ("ha noi", "hanoi"), "TP Hồ Chí Minh": ("ho chi minh", "hcm", "sai gon", "saigon", "thu duc"), "Đà Nẵng": ("da nang", "danang"), "Hải Phòng": ("hai phong",),
+    "Cần Thơ": ("can tho",), "Bình Dương": ("binh duong",), "Đồng Nai": ("dong nai", "bien hoa"), "Bắc Ninh": ("bac ninh",), "Bắc Giang": ("bac giang",),
+    "Hưng Yên": ("hung yen",), "Hải Dương": ("hai duong",), "Quảng Ninh": ("quang ninh", "ha long"), "Vĩnh Phúc": ("vinh phuc",), "Thái Nguyên": ("thai nguyen",),
+    "Thanh Hoá": ("thanh hoa",), "Nghệ An": ("nghe an",), "Thừa Thiên Huế": ("thua thien", "hue"), "Khánh Hoà": ("khanh hoa", "nha trang"),
+    "Bà Rịa - Vũng Tàu": ("ba ria", "vung tau"), "Long An": ("long an",), "Tiền Giang": ("tien giang", "my tho"), "Lâm Đồng": ("lam dong", "da lat"), "Bình Định": ("binh dinh", "quy nhon"),
 }
+#: Provinces of a feed by number.
 PROVINCES = {73: "Hà Nội", 84: "Thái Nguyên", 90: "Bắc Ninh", 104: "Đà Nẵng", 120: "Đồng Nai", 122: "TP Hồ Chí Minh", 131: "Cần Thơ"}
-REMOTE, REMOTE_CITY = "anywhere|remote|work from home|lam tu xa", "Làm từ xa"
+#: Words of work from anywhere, and the city it is given.
+REMOTE, REMOTE_CITY = ("anywhere", "remote", "work from home", "lam tu xa"), "Làm từ xa"
+#: Places that are city and country.
 CITY_STATES = ("Singapore", "Hong Kong", "Macau", "Luxembourg", "Monaco")
+#: Postal codes of states.
 US_STATES = (
     "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY"
 ).split()
 #: Levels in order of precedence with the words of a title that show them.
 LEVELS = {
-    "Thực tập sinh": "intern|thuc tap|fresher|moi tot nghiep",
-    "Quản lý": "manager|truong phong|giam doc|director|head of|truong bo phan",
-    "Trưởng nhóm": "team lead|leader|truong nhom|tech lead|principal",
-    "Cao cấp": "senior|sr.|chuyen gia|expert",
-    "Mới vào nghề": "junior|jr.",
+    "Thực tập sinh": ("intern", "thuc tap", "fresher", "moi tot nghiep"),
+    "Quản lý": ("manager", "truong phong", "giam doc", "director", "head of", "truong bo phan"),
+    "Trưởng nhóm": ("team lead", "leader", "truong nhom", "tech lead", "principal"),
+    "Cao cấp": ("senior", "sr.", "chuyen gia", "expert"),
+    "Mới vào nghề": ("junior", "jr."),
 }
 
 
-def _any(text: Column, words: str) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words.split("|")])
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def _let(value: Column, use) -> Column:
@@ -42,7 +46,7 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _first(text: Column, table: dict[str, str]) -> Column:
+def _first(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
     return F.coalesce(*[F.when(_any(text, words), F.lit(name)) for name, words in table.items()])
 
 

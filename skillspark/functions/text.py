@@ -103,9 +103,10 @@ def similar(a: Column, b: Column, cutoff: float) -> Column:
 
 #: Words of legal forms that stand before a company's own name.
 LEGAL_WORDS = (
-    "cong ty cty tnhh co phan cp mtv mot thanh vien lien doanh tap doan thuong mai dich vu dau tu san xuat phat trien giai phap va and "
-    "jsc joint stock company corporation corp inc ltd limited group"
-).split()
+    "cong", "ty", "cty", "tnhh", "co", "phan", "cp", "mtv", "mot", "thanh", "vien", "lien", "doanh", "tap", "doan", "thuong", "mai", "dich",
+    "vu", "dau", "tu", "san", "xuat", "phat", "trien", "giai", "phap", "va", "and", "jsc", "joint", "stock", "company", "corporation",
+    "corp", "inc", "ltd", "limited", "group",
+)
 
 
 def company_key(x: Column | str) -> Column:

@@ -139,11 +139,11 @@ def _recursive(sql: str) -> str:
 
 
 _CASE = lambda x, table: "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"contains({x}, '{w}')" for w in words.split("|")) + f" THEN '{name}'" for name, words in table.items()
+    "WHEN " + " OR ".join(f"contains({x}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in table.items()
 )
 _MONTHS = "TRY_CAST(nullif(regexp_extract(coalesce(level, ''), '^(\\d+)\\s*months?', 1), '') AS INTEGER)"
 _CITY = lambda x: _CASE(_ascii(x), places.CITIES) + " END"
-_REMOTE = lambda x: "(" + " OR ".join(f"contains({_ascii(x)}, '{w}')" for w in places.REMOTE.split("|")) + ")"
+_REMOTE = lambda x: "(" + " OR ".join(f"contains({_ascii(x)}, '{w}')" for w in places.REMOTE) + ")"
 _STATES = ", ".join(f"'{s}'" for s in places.US_STATES)
 _LOCATIONS = f"""
 WITH r AS (SELECT rec_no, source, location AS l, nullif(extra.country, '') AS h, extra.province_id AS p, extra.contact_address AS a,
