@@ -1,11 +1,15 @@
 """Problem 9: held-out questions inside the corpus.
 
-Seeds are the word n-grams of the test items; one belongs to all items that hold
-it. A document that holds several seeds of an item is aligned with it (Smith-Waterman over words, first
-and second best stretch); altered words cost little, altered facts much. Facts
-are numbers and words in whose place other items have other words. A document
-gives an item away if the stretches hold at least half of its words in order
-and most of the facts within them agree.
+Seeds are the word n-grams of the test items, held as a table. One pass over the
+corpus keeps, of every document, the n-grams that can be seeds (by a bitmap of
+bounded size) with the words around them; an equi join with the seed table
+tells whose they are. The seeds that most documents hold cannot start a
+candidate alone: a document needs a rarer one of the item. Candidates are
+aligned (Smith-Waterman over words, first and second best stretch); altered
+words cost little, altered facts much. Facts are numbers and words in whose
+place other items have other words. A document gives an item away if the
+stretches hold at least half of its words in order and most of the facts within
+them agree.
 """
 
 from __future__ import annotations
@@ -13,27 +17,33 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words of a seed; different seeds of an item before a document is aligned with it; words of a seed of an item without so many.
+from skillspark.session import cut_lineage
+
+#: Words of a seed; different seeds of an item that a document holds; words of a seed of an item without so many.
 SEED_WORDS, MIN_SEEDS, SHORT_SEED = 4, 2, 2
 #: Part of an item's words that makes a leak; part of the facts in the stretches that must agree.
 MIN_COVER, MIN_FACTS = 0.5, 0.6
 #: A second stretch has at least so many words.
 MIN_STRETCH = 6
 MATCH, MISMATCH, FACT_MISMATCH, GAP = 2, -2, -4, -2
-#: Items per pass over the corpus.
-ITEMS_PER_PASS = 5_000
+#: Bits of the map of seeds (8 MB). With more seeds it lets more other n-grams through, which the join then leaves out.
+MAP_BITS = 1 << 26
+#: Words whose hashes a task remembers.
+MEMORY = 1_000_000
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-_TAG = re.compile(r"<[^<>]{0,300}>")
+_TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
-_ACCENTS = re.compile("[̀-ͯ]+")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 
 
 def fold_words(text: str) -> list[str]:
@@ -43,58 +53,122 @@ def fold_words(text: str) -> list[str]:
         t = _TAG.sub(" ", t)
     if "&" in t:
         t = html.unescape(t)
-    t = _ACCENTS.sub("", unicodedata.normalize("NFKD", t.lower())).replace("đ", "d")
-    return _WORD.findall(t)
-
-
-def _slot(w: list[str], k: int) -> tuple:
-    return (w[k - 1] if k else "", w[k + 1] if k + 1 < len(w) else "")
-
-
-def _grams(words: list[str], size: int) -> Iterator[tuple]:
-    return zip(*(words[j:] for j in range(size)))
-
-
-def facts_of(texts: list[list[str]]) -> list[np.ndarray]:
-    """Which words of each text are facts; other words in their place are sought in all texts."""
-    slots: dict[tuple, set[str]] = defaultdict(set)
-    for w in texts:
-        for k, x in enumerate(w):
-            slots[_slot(w, k)].add(x)
-    return [np.array([any(c.isdigit() for c in x) or len(slots[_slot(w, k)]) > 1 for k, x in enumerate(w)], dtype=bool) for w in texts]
-
-
-class Items:
-    """Different texts of test items, each (ids, words, facts), with their seeds."""
-
-    def __init__(self, items: list[tuple[list[int], list[str], np.ndarray]]):
-        self.ids, self.words, self.facts = zip(*items) if items else ((), (), ())
-        self.seeds: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.needed: list[int] = []
-        for i, w in enumerate(self.words):
-            size = SEED_WORDS
-            grams = set(_grams(w, size))
-            if len(grams) < MIN_SEEDS:
-                size = min(SHORT_SEED, len(w))
-                grams = set(_grams(w, size))
-            for g in grams:
-                self.seeds[size][g].append(i)
-            self.needed.append(min(MIN_SEEDS, len(grams)))
-
-    def candidates(self, words: list[str]) -> dict[int, list[int]]:
-        """Text -> places of its seeds, of texts with enough different ones and enough words in the document."""
-        hits: dict[int, set[tuple]] = defaultdict(set)
-        places: dict[int, list[int]] = defaultdict(list)
-        for size, seeds in self.seeds.items():
-            get = seeds.get
-            for k, g in enumerate(_grams(words, size)):
-                for i in get(g, ()):
-                    hits[i].add(g)
-                    places[i].append(k)
-        found = [i for i, g in hits.items() if len(g) >= self.needed[i]]
-        have = set(words) if found else set()
-        # no alignment gives more of a text than its words that the document has
-        return {i: places[i] for i in found if sum(x in have for x in self.words[i]) >= MIN_COVER * len(self.words[i])}
+    if not t.isascii():
+        t = _ACCENTS.sub("", unicodedata.normalize("NFKD", t.lower())).replace("đ", "d")
+    return _WORD.findall(t.lower())
+
+
+class _WordHashes(dict):
+    """Hash of a word, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words, given the hashes of the words."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.full(n, size, dtype=np.uint64)
+    for j in range(size):
+        h = h * _MULTIPLIER + words[j : j + n]
+    return h ^ (h >> np.uint64(29))
+
+
+def _hashed(words: list[str], memory: _WordHashes) -> np.ndarray:
+    return np.fromiter((memory[w] for w in words), dtype=np.uint64, count=len(words))
+
+
+def item_texts(items: DataFrame) -> DataFrame:
+    """(text_no, ids, words, facts) of the different texts of items(item_id, text).
+
+    A word is a fact if it holds a digit or if other words stand in its place,
+    between the same neighbours, in any text.
+    """
+
+    @F.pandas_udf("array<string>")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(fold_words)
+
+    read = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", folded("text").alias("words")).where(F.size("words") > 0)
+    texts = cut_lineage(read.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).withColumn("text_no", F.monotonically_increasing_id()))
+    at = lambda k: F.coalesce(F.try_element_at("words", k), F.lit(""))
+    before = F.when(F.col("k") > 0, at(F.greatest(F.col("k"), F.lit(1)))).otherwise(F.lit(""))
+    placed = texts.select("text_no", "words", F.posexplode("words").alias("k", "x")).select("text_no", "k", "x", before.alias("b"), at(F.col("k") + 2).alias("a"))
+    places = placed.groupBy("b", "a").agg((F.count_distinct("x") > 1).alias("varies"))
+    fact = F.struct("k", (F.col("varies") | F.col("x").rlike(r"\p{Nd}")).alias("f"))
+    facts = placed.join(places, ["b", "a"]).groupBy("text_no").agg(F.array_sort(F.collect_list(fact)).alias("f")).select("text_no", F.col("f.f").alias("facts"))
+    return texts.join(facts, "text_no")
+
+
+def seed_table(texts: DataFrame) -> DataFrame:
+    """(text_no, seed, size, needed): the seeds of every text, and how many different ones a document needs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = _WordHashes()
+        for b in batches:
+            rows = []
+            for no, words in zip(b["text_no"], b["words"]):
+                h = _hashed(words, memory)
+                size = SEED_WORDS
+                seeds = np.unique(gram_hashes(h, size))
+                if len(seeds) < MIN_SEEDS:
+                    size = min(SHORT_SEED, len(words))
+                    seeds = np.unique(gram_hashes(h, size))
+                rows += [(no, s, size, min(MIN_SEEDS, len(seeds))) for s in seeds.view(np.int64).tolist()]
+            yield pd.DataFrame(rows, columns=["text_no", "seed", "size", "needed"])
+
+    return texts.select("text_no", "words").mapInPandas(run, "text_no long, seed long, size int, needed int")
+
+
+def _seed_map(seeds: DataFrame) -> np.ndarray:
+    """The bitmap of seeds: at most MAP_BITS / 64 rows reach the driver."""
+    bit = F.pmod("seed", F.lit(MAP_BITS))
+    part = seeds.select((bit.cast("long").bitwiseAND(F.lit(63))).cast("int").alias("low"), F.shiftright(bit, 6).alias("place"))
+    rows = part.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1L, low)")).alias("bits")).collect()
+    out = np.zeros(MAP_BITS // 64, dtype=np.int64)
+    for r in rows:
+        out[r["place"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def seed_hits(documents: DataFrame, bits: np.ndarray, sizes: list[int], needed: int, reach: int) -> DataFrame:
+    """(doc_id, seeds, places, at, words) of documents that hold `needed` different n-grams of the map: the n-grams with their places, and the words up to `reach` around them with their places."""
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory, known = _WordHashes(), shared.value
+        for b in batches:
+            texts = [fold_words(t) for t in b["text"]]
+            starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            every = np.concatenate([_hashed(t, memory) for t in texts]) if texts else np.zeros(0, dtype=np.uint64)
+            owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+            found: dict[int, list[tuple[int, int]]] = {}
+            for size in sizes:
+                h = gram_hashes(every, size)
+                at = h & np.uint64(MAP_BITS - 1)
+                hit = np.flatnonzero((known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+                hit = hit[owner[hit] == owner[hit + size - 1]]
+                for k, s in zip(hit.tolist(), h[hit].view(np.int64).tolist()):
+                    found.setdefault(int(owner[k]), []).append((s, k))
+            rows = []
+            for d, hits in found.items():
+                if len({s for s, _ in hits}) < needed:
+                    continue
+                words, first = texts[d], int(starts[d])
+                near = np.zeros(len(words), dtype=bool)
+                for _, k in hits:
+                    near[max(0, k - first - reach) : k - first + reach] = True
+                at = np.flatnonzero(near).tolist()
+                rows.append((b["doc_id"].iloc[d], [s for s, _ in hits], [k - first for _, k in hits], at, [words[x] for x in at]))
+            yield pd.DataFrame(rows, columns=["doc_id", "seeds", "places", "at", "words"])
+
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
+    return texts.mapInPandas(run, "doc_id long, seeds array<long>, places array<int>, at array<int>, words array<string>")
 
 
 def align(item: np.ndarray, facts: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
@@ -124,13 +198,14 @@ def align(item: np.ndarray, facts: np.ndarray, doc: np.ndarray) -> list[tuple[in
     return out[::-1]
 
 
-def cover(words: list[str], item: list[str], facts: np.ndarray, places: list[int]) -> tuple[float, float]:
-    """(part of the item's words, part of its facts in the stretches) that the document gives."""
-    reach = len(item) + len(item) // 2
-    keep = sorted({x for p in places for x in range(max(0, p - reach), min(len(words), p + reach))})
+def cover(words: list[str], item: list[str], facts: np.ndarray) -> tuple[float, float]:
+    """(part of the item's words, part of its facts in the stretches) that the words give."""
     ids = {w: k for k, w in enumerate(dict.fromkeys(item))}
     a = np.array([ids[w] for w in item], dtype=np.int32)
-    b = np.array([ids.get(words[x], -2) for x in keep], dtype=np.int32)
+    b = np.array([ids.get(w, -2) for w in words], dtype=np.int32)
+    # no alignment gives more of an item than its words that stand there
+    if np.isin(a, b).mean() < MIN_COVER:
+        return 0.0, 0.0
     first = align(a, facts, b)
     if not first:
         return 0.0, 0.0
@@ -154,38 +229,47 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of the documents(doc_id, text) that give away items(item_id, text).
 
     Null and empty texts give nothing away, items without words are given away
-    by nothing, and a document that stands several times counts as often. Items
-    are a small held-out set; each pass over the corpus takes ITEMS_PER_PASS.
+    by nothing, rows without an id are left out, and of repeated rows one
+    counts. Extra columns are ignored.
     """
-    same: dict[tuple, list[int]] = defaultdict(list)
-    for r in items.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
-        if words := fold_words(r["text"]):
-            same[tuple(words)].append(r["item_id"])
-    texts = [list(w) for w in same]
-    # facts are told over all items, so that the passes do not change them
-    rows = list(zip(same.values(), texts, facts_of(texts)))
-    parts = [_pass(documents, rows[k : k + ITEMS_PER_PASS]) for k in range(0, len(rows), ITEMS_PER_PASS)] or [_pass(documents, [])]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _pass(documents: DataFrame, rows: list[tuple[list[int], list[str], np.ndarray]]) -> DataFrame:
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = Items(rows)
+    texts = cut_lineage(item_texts(items))
+    seeds = cut_lineage(seed_table(texts))
+    per_size = seeds.groupBy("size").agg(F.min("needed").alias("needed")).collect()  # a row per number of words of a seed
+    longest = texts.agg(F.max(F.size("words")).alias("n")).first()["n"] or 0
+    sizes = [r["size"] for r in per_size]
+    needed = min((r["needed"] for r in per_size), default=1)
+    hits = cut_lineage(seed_hits(documents, _seed_map(seeds), sizes, needed, longest + longest // 2))
+    each = hits.select("doc_id", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("place"))))
+    held = each.groupBy("doc_id", "seed").agg(F.collect_set("place").alias("places"))
+    # whoever holds `needed` seeds of a text holds one that is not among its needed - 1 most frequent
+    frequency = held.groupBy("seed").agg(F.count("*").alias("df"))
+    order = W.partitionBy("text_no").orderBy(F.desc(F.coalesce("df", F.lit(0))), "seed")
+    ranked = seeds.join(frequency, "seed", "left").select("text_no", "seed", "needed", (F.row_number().over(order) >= F.col("needed")).alias("rare"))
+    pairs = (
+        held.join(ranked, "seed")
+        .groupBy("doc_id", "text_no", "needed")
+        .agg(F.count("*").alias("n"), F.max("rare").alias("rare"), F.flatten(F.collect_list("places")).alias("places"))
+        .where("rare AND n >= needed")
+        .select("doc_id", "text_no", "places")
+    )
+    ready = pairs.join(hits.select("doc_id", "at", F.col("words").alias("near")), "doc_id").join(texts, "text_no")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for d, text in zip(b["doc_id"], b["text"]):
-                words = fold_words(text)
-                for i, places in items.candidates(words).items():
-                    part, agree = cover(words, items.words[i], items.facts[i], places)
-                    if part >= MIN_COVER and agree >= MIN_FACTS:
-                        out += [(d, item) for item in items.ids[i]]
+            for d, places, at, near, ids, item, facts in zip(*(b[c] for c in ("doc_id", "places", "at", "near", "ids", "words", "facts"))):
+                item, at = list(item), np.asarray(at)
+                reach = len(item) + len(item) // 2
+                inside = np.zeros(len(at), dtype=bool)
+                for p in places:
+                    inside[np.searchsorted(at, p - reach) : np.searchsorted(at, p + reach)] = True
+                part, agree = cover([near[x] for x in np.flatnonzero(inside)], item, np.asarray(facts, dtype=bool))
+                if part >= MIN_COVER and agree >= MIN_FACTS:
+                    out += [(d, i) for i in ids]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-    texts = documents.where("text IS NOT NULL AND text <> ''").select("doc_id", "text")
-    return texts.mapInPandas(find, "doc_id long, item_id long")
+    columns = ready.select("doc_id", "places", "at", "near", "ids", "words", "facts")
+    return columns.mapInPandas(judge, "doc_id long, item_id long").distinct()
 
 
 def leak_report(found: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from skillspark.llm import leakage
@@ -41,6 +43,8 @@ def test_quotations_and_other_facts_are_no_case(spark):
 
 def test_repeats_and_several_items(spark):
     assert find(spark, [A + " " + B, A, A]) == [(0, 1), (0, 2), (1, 1), (2, 1)]
+    twice = spark.createDataFrame([(7, A), (7, A), (None, A)], "doc_id long, text string")
+    assert rows(leaks(twice, spark.createDataFrame(ITEMS, "item_id long, text string"))) == [(7, 1)]
 
 
 def test_shared_wording_and_short_items(spark, monkeypatch):
@@ -51,10 +55,26 @@ def test_shared_wording_and_short_items(spark, monkeypatch):
     want = [(0, 1), (0, 5), (1, 6), (2, 7), (4, 8), (4, 9)]
     items = spark.createDataFrame(twin + shared, "item_id long, text string")
     assert rows(leaks(docs, items)) == want
-    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 1)  # the passes change nothing
+    monkeypatch.setattr(leakage, "MAP_BITS", 64)  # a map that lets everything through changes nothing
     assert rows(leaks(docs, items)) == want
 
 
+def test_many_items(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}x" for i in range(3_000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(20_000)]
+    docs = [(k, "before it " + " ".join(items[i][1].split()[:13]) + " and after") for k, i in enumerate(range(0, 20_000, 500))]
+    docs.append((99, " ".join(rng.choice(vocabulary) for _ in range(2_000))))
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(found.collect()) == [(k, i) for k, i in enumerate(range(0, 20_000, 500))]
+
+
+def test_a_seed_in_most_documents_still_counts(spark):
+    docs = [(i, "Common start here now. " + (A if i % 2 else f"Nothing {i}.")) for i in range(60)]
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "Common start here now. " + A)], "item_id long, text string"))
+    assert sorted(found.collect()) == [(i, 1) for i in range(1, 60, 2)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
