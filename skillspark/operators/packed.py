@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillspark.session import cut_lineage
+
 #: Delimiters between items; a slash without blanks also stands inside values.
 DELIMITERS = ",;|\t\n\r\v\f•·、，；｜‖¦/ "
 _DELIM = re.compile("[" + re.escape(DELIMITERS) + "]")
@@ -32,9 +35,9 @@ _ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
 QUOTED, KNOWN, UNKNOWN = 0.01, 0.1, 1.0
 #: What a slash inside an unknown item costs.
 INNER_SLASH = 0.2
-#: An unknown item with more delimiters inside it would be a list.
-MAX_INNER = 20
-#: Dictionary terms per automaton and pass over the texts.
+#: Texts run together by more slashes than this are a list: outside known values each of its slashes separates.
+MAX_INNER = 2
+#: Dictionary terms per automaton and pass over the texts; the driver holds one such part at a time.
 TERMS_PER_PASS = 200_000
 
 
@@ -111,6 +114,20 @@ def _edges(text: str, begin: int, at: int, end: int) -> bool:
     return at == begin or at + 1 == end or text[at - 1].isspace() or text[at + 1].isspace()
 
 
+def _slash_lists(text: str, begin: int, cuts: list[int], end: int) -> set[int]:
+    """The slashes of runs of more than MAX_INNER slashes between certain delimiters."""
+    out: set[int] = set()
+    run: list[int] = []
+    for at in [*cuts, end]:
+        if at == end or _edges(text, begin, at, end):
+            if len(run) > MAX_INNER:
+                out.update(run)
+            run = []
+        else:
+            run.append(at)
+    return out
+
+
 def split_items(text: str | None, spans: list[tuple[int, int]]) -> list[str]:
     """The values of one text in order; spans are the places (start, end) of known values in it."""
     if text is None or text.strip().lower() in NO_LIST:
@@ -121,6 +138,7 @@ def split_items(text: str | None, spans: list[tuple[int, int]]) -> list[str]:
     for a, b in spans:
         known.setdefault(a, []).append(b)
     stops = set(cuts) | {end}
+    listed = _slash_lists(text, begin, cuts, end)
     best: dict[int, tuple[float, int, tuple | None]] = {begin: (0.0, 0, None)}
 
     def offer(at: int, cost: float, parts: int, back: tuple) -> None:
@@ -150,10 +168,10 @@ def split_items(text: str | None, spans: list[tuple[int, int]]) -> list[str]:
             if j in stops:
                 offer(j + 1, cost + KNOWN, parts + 1, (place, text[at:stop]))
         # an unknown item reaches to the next certain delimiter or to any slash before it
-        for stop in ends[k : k + MAX_INNER + 1]:
+        for stop in islice(ends, k, None):
             item = text[at:stop].strip() if at < stop else ""
             offer(stop + 1, cost + (UNKNOWN + INNER_SLASH * item.count("/") if item else 0), parts + 1, (place, item))
-            if stop == end or _edges(text, begin, stop, end):
+            if stop == end or stop in listed or _edges(text, begin, stop, end):
                 break
     items: list[str] = []
     at = last
@@ -199,12 +217,13 @@ def unpack(lists: DataFrame, names: DataFrame | None = None) -> DataFrame:
     terms = dictionary(lists)
     if names is not None:
         terms = terms.unionByName(names.select(F.lower("term").alias("term")).where("term <> ''")).distinct()
-    known = [r["term"] for r in terms.toLocalIterator()]
-    shards = [known[i : i + TERMS_PER_PASS] for i in range(0, len(known), TERMS_PER_PASS)] or [[]]
+    terms = cut_lineage(terms)
+    n = max(1, -(-terms.count() // TERMS_PER_PASS))
+    part = lambda i: [r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i).collect()]
     found = lists.select("row_id", "text", F.expr("CAST(array() AS array<array<int>>)").alias("spans"))
-    for shard in shards[:-1]:
-        found = found.mapInPandas(_finder(shard), "row_id long, text string, spans array<array<int>>")
-    return found.mapInPandas(_splitter(shards[-1]), "row_id long, pos int, item string")
+    for i in range(n - 1):  # about TERMS_PER_PASS terms each
+        found = cut_lineage(found.mapInPandas(_finder(part(i)), "row_id long, text string, spans array<array<int>>"))
+    return found.mapInPandas(_splitter(part(n - 1)), "row_id long, pos int, item string")
 
 
 def _finder(terms: list[str]):
