@@ -269,20 +269,64 @@ def token_keys(tokens: list[str]) -> set[str]:
 
 
 def brand_keys(tokens: list[str]) -> set[str]:
+    """Keys of the index: deletes of each token beside the others, and of all tokens run together."""
     keys = {d for o in orders(tokens) for d in variant_keys(o)}
-    return keys | token_keys(tokens) if len(tokens) > MAX_ORDERED else keys
+    return keys | token_keys(tokens) if len(tokens) > 1 else keys
 
 
-def aligned(a: list[str], b: list[str]) -> bool:
-    """Whether the cheapest assignment of tokens leaves at most one edit; texts run together count as one token."""
-    if near("".join(a), "".join(b)):
-        return True
-    # an assignment of at most one edit pairs all equal tokens, so one of each side is left at most
-    left, right = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
-    if len(left) == len(right) <= 1 and (not left or near(left[0], right[0])):
+#: Cost of a letter that stands for a token which begins with it; of a pair of tokens that cannot mean the same.
+INITIAL, NEVER = 0.001, 1e6
+
+
+def token_cost(x: str, y: str, initials: bool) -> float:
+    """0 for equal tokens, 1 for one edit, INITIAL for an initial of the other."""
+    if x == y:
+        return 0.0
+    if initials and min(len(x), len(y)) == 1 and x[0] == y[0]:
+        return INITIAL
+    return 1.0 if near(x, y) else NEVER
+
+
+def assignment(a: list[str], b: list[str], initials: bool = False) -> float:
+    """Least cost of pairing every token of a with one of b; NEVER or more if they cannot be paired.
+
+    Hungarian method: rows are taken in one by one along shortest augmenting
+    paths over reduced costs.
+    """
+    n = len(a)
+    if n != len(b):
+        return NEVER
+    cost = [[token_cost(x, y, initials) for y in b] for x in a]
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (n + 1), [n] * (n + 1)
+    for i in range(n):
+        way, least, done = [n] * (n + 1), [float("inf")] * (n + 1), [False] * (n + 1)
+        row_of[n], at = i, n
+        while row_of[at] != n or at == n:
+            done[at], r = True, row_of[at]
+            for j in range(n):
+                if not done[j] and (c := cost[r][j] - u[r] - v[j]) < least[j]:
+                    least[j], way[j] = c, at
+            nxt = min((j for j in range(n) if not done[j]), key=least.__getitem__)
+            step = least[nxt]
+            for j in range(n + 1):
+                if done[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = nxt
+        while at != n:
+            row_of[at], at = row_of[way[at]], way[at]
+    return sum(cost[row_of[j]][j] for j in range(n))
+
+
+def aligned(a: list[str], b: list[str], initials: bool = False) -> bool:
+    """Whether the cheapest assignment of tokens leaves at most one edit beside initials; texts run together count as one token."""
+    if near("".join(a), "".join(b)) or assignment(a, b, initials) < 2:
         return True
     # a token written as several, the others in any order
-    if len(left) != len(right) and min(len(left), len(right)) == 1 and left and near("".join(left), "".join(right)):
+    left, right = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
+    if len(left) != len(right) and min(len(left), len(right)) == 1 and near("".join(left), "".join(right)):
         return True
     return len(a) == len(b) <= MAX_ORDERED and any(near("".join(a), "".join(p)) for p in permutations(b))
 
@@ -382,8 +426,8 @@ def _attach(names: DataFrame, known: DataFrame) -> DataFrame:
                 t = list(tokens)
                 rests = {} if short else {t[i] + "|": "".join(t[:i] + t[i + 1 :]) for i in range(len(t)) if len(t[i]) == 1}
                 keys = {(f"#{short}", "")} if short else {(i + d, r) for i, r in rests.items() for d in variant_keys(r)}
-                rows += [(company, line, legal, *k) for k in keys]
-            yield pd.DataFrame(rows, columns=["company", "line", "legal", "key", "rest"])
+                rows += [(company, line, legal, t, *k) for k in keys]
+            yield pd.DataFrame(rows, columns=["company", "line", "legal", "tokens", "key", "rest"])
 
     def offered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -397,17 +441,21 @@ def _attach(names: DataFrame, known: DataFrame) -> DataFrame:
                 first = "".join(w[0] for w in t)
                 more = "".join(w[0] for w in line.split())
                 keys |= {(f"#{x}{y}", "") for x in {first, first + more} for y in ("", "v", "vn") if len(x + y) > 1}
-                rows += [(root, line, legal, n, *k) for k in keys]
-            yield pd.DataFrame(rows, columns=["root", "line", "legal", "n", "key", "rest"])
+                rows += [(root, line, legal, n, t, *k) for k in keys]
+            yield pd.DataFrame(rows, columns=["root", "line", "legal", "n", "tokens", "key", "rest"])
+
+    @F.pandas_udf("boolean")
+    def assigned(a: pd.Series, b: pd.Series, rest_a: pd.Series, rest_b: pd.Series) -> pd.Series:
+        return pd.Series([near(p, q) or aligned(list(x), list(y), initials=True) for x, y, p, q in zip(a, b, rest_a, rest_b)])
 
     ask = names.where("short <> '' OR initial").select("company", "tokens", "line", "legal", "short").mapInPandas(
-        wanted, "company string, line string, legal string, key string, rest string"
+        wanted, "company string, line string, legal string, tokens array<string>, key string, rest string"
     )
-    offer = known.mapInPandas(offered, "root string, line string, legal string, n long, key string, rest string").distinct()
+    offer = known.mapInPandas(offered, "root string, line string, legal string, n long, tokens array<string>, key string, rest string").distinct()
     fits = (
         ask.alias("a").join(offer.alias("o"), "key")
         .where("(a.line = '' OR o.line = '' OR a.line = o.line) AND (a.legal = '' OR o.legal = '' OR a.legal = o.legal)")
-        .where(F.levenshtein("a.rest", "o.rest", 2) >= 0)
+        .where(F.col("a.rest").eqNullSafe(F.col("o.rest")) | assigned("a.tokens", "o.tokens", "a.rest", "o.rest"))
         .select(
             "a.company", "o.root", "o.line", "o.n",
             # the same rest before any misspelt one

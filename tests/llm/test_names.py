@@ -1,4 +1,7 @@
-from skillspark.llm.names import Name, aligned, brand_keys, deletes, near, organisations, same_organisation, variant_keys
+import itertools
+import random
+
+from skillspark.llm.names import INITIAL, NEVER, Name, aligned, assignment, brand_keys, deletes, near, organisations, same_organisation, token_cost, variant_keys
 from tests.conftest import rows
 
 FIRM = ["Công ty TNHH Phần mềm Kifi Sopege", "Kifi Sopege Software Ltd", "KIFI-SOPEGE SOFTWARE CO., LTD", "KifiSopege SW", "Sopege Kifi Software", "Kifi Sopegee Software Limited", "K. Sopege Software Ltd", "Kifi Sopege Co Ltd"]
@@ -33,6 +36,28 @@ def test_alignment():
     assert not aligned(["kifi", "sopege"], ["kafo", "sopege"])
 
 
+def test_assignment_is_the_cheapest_one():
+    rng, tokens = random.Random(1), ["a", "ab", "abc", "b", "bc", "hoa", "hao", "h", "khang"]
+    for _ in range(500):
+        n = rng.randrange(5)
+        a, b = ([rng.choice(tokens) for _ in range(n)] for _ in "ab")
+        for initials in (False, True):
+            want = min((sum(token_cost(x, y, initials) for x, y in zip(a, p)) for p in itertools.permutations(b)), default=0)
+            assert abs(assignment(a, b, initials) - want) < 1e-6
+    assert assignment(["k", "t", "phat"], ["thinh", "phatt", "khang"], initials=True) == 1 + 2 * INITIAL
+    assert assignment(["a"], ["a", "b"]) >= NEVER
+    assert aligned(["k", "phat"], ["phat", "khang"], initials=True) and not aligned(["k", "phat"], ["phat", "khang"])
+    assert not aligned(["khamg", "phatt"], ["khang", "phat"])
+
+
+def test_tokens_at_one_edit_share_a_key_in_any_order():
+    for tokens in (["hoa", "sen"], ["hoa", "sen", "vang"], ["an", "binh", "chau", "duc", "em"]):
+        for i, t in enumerate(tokens):
+            for j in range(len(t)):
+                other = tokens[:i] + [t[:j] + "x" + t[j + 1 :]] + tokens[i + 1 :]
+                assert brand_keys(tokens) & brand_keys(other[::-1]) and aligned(tokens, other[::-1])
+
+
 def test_brands_of_many_tokens_in_another_order(spark):
     for tokens in (["khang", "thinh", "hop", "gia"], [f"word{c}" for c in "abcdefghij"]):
         typo = [*tokens[1:], tokens[0][:-1]]
