@@ -35,8 +35,8 @@ SLACK = 0.002
 COLUMNS_PER_LENGTH, PARTNERS, SWEEPS = 6, 12, 25
 #: Container sizes of one call: a small fixed table.
 MAX_BUDGETS = 100
-#: Ranks within a length are counted in so many buckets.
-BUCKETS = 64
+#: Ranks within a length are counted in buckets of about so many pieces at most, however many have that length.
+BUCKET_ROWS = 200_000
 
 
 @lru_cache(maxsize=4)
@@ -206,7 +206,9 @@ def pack(documents: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER) -
         hists.setdefault((r["budget_id"], r["capacity"]), {})[r["n_tokens"]] = r["n"]
     places = {b: slots(plan(h, c)) for (b, c), h in hists.items()}
 
-    bucket = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+    # even if all pieces have one length, a bucket of it stays small
+    n_buckets = max(1, -(-sum(sum(h.values()) for h in hists.values()) // BUCKET_ROWS))
+    bucket = cut.where("n_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(n_buckets)).cast("int"))
     sizes = bucket.groupBy("budget_id", "n_tokens", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("budget_id", "n_tokens").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("budget_id", "n_tokens", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -218,16 +220,16 @@ def pack(documents: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER) -
         out = np.zeros(len(rank), dtype=np.int64)
         keys = pd.DataFrame({"b": budget.to_numpy(), "x": length.to_numpy()})
         for (b, x), rows in keys.groupby(["b", "x"]).indices.items():
-            if x > 0:
-                first, n, base = places[b][x]
-                r = rank.to_numpy()[rows]
-                k = np.searchsorted(first, r, side="right") - 1
-                out[rows] = base[k] + (r - first[k]) // n[k]
+            first, n, base = places[b][x]
+            r = rank.to_numpy()[rows]
+            k = np.searchsorted(first, r, side="right") - 1
+            out[rows] = base[k] + (r - first[k]) // n[k]
         return pd.Series(out)
 
-    return ranked.select(
-        "budget_id", container("budget_id", "n_tokens", F.col("rank") + F.col("start")).alias("container_id"), "doc_id", "piece_no", "first_token", "n_tokens"
-    )
+    rest = ("doc_id", "piece_no", "first_token", "n_tokens")
+    placed = ranked.select("budget_id", container("budget_id", "n_tokens", F.col("rank") + F.col("start")).alias("container_id"), *rest)
+    empty = cut.where("n_tokens = 0").select("budget_id", F.lit(0).cast("long").alias("container_id"), *rest)
+    return placed.unionByName(empty)
 
 
 def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
