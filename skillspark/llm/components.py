@@ -7,9 +7,8 @@ points at the smallest number of its component.
 
 The smallest neighbour of a node is a map-side combined aggregate. Giving it
 back to the edges is a join on the node, where the centre of a large star may
-hold a large part of all rows. At most MAX_HEAVY_KEYS nodes can hold more than
-a MAX_HEAVY_KEYS-th of the rows; those are joined by broadcast, all others by
-shuffle.
+hold a large part of all rows. Few nodes can hold more rows than a task of the
+shuffle gets on average; those are joined by broadcast, all others by shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillspark.session import MAX_HEAVY_KEYS, cut_lineage
+from skillspark.session import cut_lineage, max_heavy_keys
+
+#: Rows of one node that a task takes with ease.
+TASK_ROWS = 1_000_000
 
 
 def match_edges(pairs: DataFrame, left: str = "left_no", right: str = "right_no", verdict: str = "is_match") -> DataFrame:
@@ -30,9 +32,8 @@ def match_edges(pairs: DataFrame, left: str = "left_no", right: str = "right_no"
     )
 
 
-def _with_min(ends: DataFrame, limit: int | None) -> DataFrame:
-    """ends(u, v) plus m, the smallest of u and all its v; u on more than limit rows are not shuffled."""
-    least = ends.groupBy("u").agg(F.min("v").alias("mv"), F.count("*").alias("n")).select("u", F.least("u", "mv").alias("m"), "n")
+def _with_min(ends: DataFrame, least: DataFrame, limit: int | None) -> DataFrame:
+    """ends(u, v, moved) plus m of least(u, m, n); u on more than limit rows are not shuffled."""
     if limit is None:
         return ends.join(least.select("u", "m"), "u")
     heavy = least.where(F.col("n") > limit).select("u", "m")
@@ -41,31 +42,30 @@ def _with_min(ends: DataFrame, limit: int | None) -> DataFrame:
     return ends.join(F.broadcast(heavy), "u").unionByName(rest)
 
 
-def large_star(edges: DataFrame, limit: int | None) -> DataFrame:
-    """Every neighbour v > u of u becomes linked to the smallest of u and its neighbours."""
-    out = _with_min(_both(edges), limit).where(F.col("v") > F.col("u"))
-    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+def _placed(ends: DataFrame, limit: int | None) -> DataFrame:
+    """ends by u in one shuffle that the aggregates and joins on u share; where a u may be heavy they shuffle by themselves, pre-aggregated."""
+    return ends.repartition("u") if limit is None else ends
 
 
-def small_star(edges: DataFrame, limit: int | None) -> DataFrame:
-    """u and its smaller neighbours become linked to the smallest of them (edges hold u > v)."""
-    mins = _with_min(edges, limit)
-    out = mins.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-        mins.select("u", F.col("m").alias("v"))
-    )
-    return out.where("u <> v").distinct()
+def _distinct(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u", "v").agg(F.max("moved").alias("moved"))
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def large_star(edges: DataFrame, limit: int | None) -> DataFrame:
+    """Every neighbour v > u of u becomes linked to the smallest of u and its neighbours; moved where that is not u."""
+    both = _placed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), limit)
+    least = both.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("m"), "n")
+    larger = _with_min(both, least, limit).where(F.col("v") > F.col("u"))
+    return _distinct(_placed(larger.select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved")), limit))
 
 
-def _state(edges: DataFrame) -> tuple[int, int, int]:
-    """Twice the number of edges, a sum of their hashes, and the most edges of a node."""
-    h = F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)")
-    by = _both(edges).groupBy("u").agg(F.count("*").alias("n"), F.sum(h).alias("h"))
-    row = by.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
-    return row["n"] or 0, int(row["h"] or 0), row["most"] or 0
+def small_star(edges: DataFrame, limit: int | None) -> DataFrame:
+    """u and its smaller neighbours become linked to the smallest of them (edges hold u > v); moved where an edge is new."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"), F.max("moved").alias("moved"))
+    others = _with_min(edges.select("u", "v"), least, limit).where(F.col("v") != F.col("m"))
+    return _distinct(
+        others.select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved")).unionByName(least.select("u", F.col("m").alias("v"), "moved"))
+    )
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -75,18 +75,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     No edges give no rows. Raises RuntimeError if max_rounds do not suffice
     (rounds grow with the logarithm of the largest component).
     """
+    most = max_heavy_keys(edges.sparkSession)
     edges = cut_lineage(edges)
-    state = _state(edges)
+    rows = edges.count()
     for _ in range(max_rounds):
-        rows, _, most = state
-        # at most MAX_HEAVY_KEYS nodes have more rows than this; a small star only has fewer
-        limit = max(10_000, 1 << (rows // MAX_HEAVY_KEYS).bit_length())
-        limit = limit if most > limit else None
+        # less than `most` nodes have more of the 2 * rows ends than this
+        limit = max(TASK_ROWS, 2 * rows // most) if 2 * rows > TASK_ROWS else None
         edges = cut_lineage(small_star(large_star(edges, limit), limit))
-        now = _state(edges)
-        if now == state:
+        # a round that moves nothing gives back the edges it was given
+        state = edges.agg(F.count("*").alias("rows"), F.max("moved").alias("moved")).first()
+        rows = state["rows"]
+        if not state["moved"]:
             break
-        state = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Settled: each u has exactly one edge, to the smallest number of its component.
