@@ -61,30 +61,43 @@ def is_placeholder(text: str | None) -> bool:
     return t in PLACEHOLDERS or not any(c.isalnum() for c in t)
 
 
-@lru_cache(maxsize=100_000)
 def _statement(part: str) -> str:
     """One part of a text folded and without list marks; empty if it says nothing."""
     t = _MARK.sub("", fold(part))
     return "" if is_placeholder(t) else t
 
 
-def statements(text: str | None) -> list[str]:
-    """The folded distinct statements of a text in order; a last one without end mark is a torn-off piece and left out."""
+def parts(text: str | None) -> list[str]:
+    """The parts of a text as they stand; a last one without end mark is a torn-off piece and left out."""
     if not text:
         return []
     if "<" in text:
         text = _TAG.sub("\n", text)
     if "&" in text:
         text = html.unescape(text)
-    parts = _BREAK.split(text.strip())
-    if parts and parts[-1].rstrip()[-1:] not in (".", "!", "?", "…"):
-        parts.pop()
-    return [p for p in dict.fromkeys(map(_statement, parts)) if p]
+    out = _BREAK.split(text.strip())
+    if out and out[-1].rstrip()[-1:] not in (".", "!", "?", "…"):
+        out.pop()
+    return out
+
+
+def statements(text: str | None) -> list[str]:
+    """The folded distinct statements of a text in order."""
+    return [p for p in dict.fromkeys(map(_statement, parts(text))) if p]
+
 
+@lru_cache(maxsize=200_000)
+def _claim(part: str) -> int:
+    """Hash of a part's statement, 0 if it says nothing."""
+    t = _statement(part)
+    return xxhash.xxh3_64_intdigest(t) - (1 << 63) if t else 0
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _hashes(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in statements(t)])
+
+@F.pandas_udf(T.StructType([T.StructField(f, T.ArrayType(T.LongType())) for f in TEXT_FIELDS]))
+def _claims(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    """The statements of both text fields as hashes."""
+    read = lambda texts: [[h for h in dict.fromkeys(map(_claim, parts(t))) if h] for t in texts]
+    return pd.DataFrame(dict(zip(TEXT_FIELDS, (read(first), read(second)))))
 
 
 def _real(value: F.Column) -> F.Column:
@@ -130,15 +143,6 @@ def fit_sources(counts: list[tuple[int | None, str, float, float, float]], round
     return {s for s, p in own.items() if s is not None and p < 0.5}, quality
 
 
-def _text_claims(rows: DataFrame) -> DataFrame:
-    """(group_id, field_name, rec_no, source, crawled_at, claims) of filled text values."""
-    parts = [
-        rows.select("group_id", F.lit(f).alias("field_name"), "rec_no", "source", "crawled_at", _hashes(f).alias("claims"))
-        for f in TEXT_FIELDS
-    ]
-    return parts[0].unionByName(parts[1]).where(F.size("claims") > 0)
-
-
 def general_remarks(claims: DataFrame) -> tuple[set[int], dict[str, tuple[float, float]]]:
     """The statements that the model judges general, and the quality of the sources."""
     total = claims.count()
@@ -170,14 +174,12 @@ def general_remarks(claims: DataFrame) -> tuple[set[int], dict[str, tuple[float,
     return fit_sources([(r["s"], r["source"], r["k"], r["n"], candidates.get(r["s"], 0.0)) for r in sums.collect()])
 
 
-def _best(values: DataFrame) -> DataFrame:
-    """Per group and field the row with the greatest score; ties by crawled_at, then the smallest rec_no."""
-    top = F.max(F.struct("score", "score2", "crawled_at", (-F.col("rec_no")).alias("minus")))
-    return (
-        values.groupBy("group_id", "field_name")
-        .agg(top.alias("top"), F.count("*").alias("rows"))
-        .where(F.col("top.score") > 0)
-        .select("group_id", "field_name", (-F.col("top.minus")).alias("rec_no"))
+def _scored(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, rec_no, source, crawled_at, claims, score, score2): all that the fields of a grouped row say, the texts read once."""
+    own = records.select("rec_no", F.coalesce("source", F.lit("")).alias("source"), "crawled_at", *TEXT_FIELDS, "extra")
+    real, skills = _extra_scores(own.schema)
+    return own.join(groups.select("rec_no", "group_id"), "rec_no").select(
+        "group_id", "rec_no", "source", "crawled_at", _claims(*TEXT_FIELDS).alias("claims"), real.alias("score"), skills.alias("score2")
     )
 
 
@@ -189,23 +191,35 @@ def survivors(records: DataFrame, groups: DataFrame) -> DataFrame:
     placeholder values, torn-off ends, repeats and general remarks count as
     nothing; a null crawled_at is older than any time. Extra columns are ignored.
     """
-    own = records.select("rec_no", F.coalesce("source", F.lit("")).alias("source"), "crawled_at", *TEXT_FIELDS, "extra")
-    grouped = own.join(groups, "rec_no")
-    several = grouped.groupBy("group_id").agg(F.count("*").alias("rows")).where("rows > 1").select("group_id")
-    claims = cut_lineage(_text_claims(grouped))
+    rows = cut_lineage(_scored(records, groups))
+    filled = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"claims.{f}").alias("claims")) for f in TEXT_FIELDS])
+    claims = rows.select("group_id", "source", F.inline(filled)).where(F.size("claims") > 0)
     remarks, _ = general_remarks(claims)
-    given = F.col("claims")
-    if remarks:
-        given = F.array_except(given, F.array(*[F.lit(x) for x in remarks]))
-    texts = claims.select("group_id", "field_name", "rec_no", "crawled_at", F.size(given).cast("long").alias("score"), F.lit(0).cast("long").alias("score2"))
-    return _best(texts.unionByName(_extra_scores(grouped))).join(several, "group_id", "left_semi")
+    general = F.array(*[F.lit(x) for x in remarks]) if remarks else None
+
+    def best(score: F.Column, score2: F.Column) -> F.Column:
+        return F.max(F.struct(score.alias("score"), score2.alias("score2"), "crawled_at", (-F.col("rec_no")).alias("minus")))
+
+    said = {f: F.size(F.array_except(f"claims.{f}", general) if remarks else F.col(f"claims.{f}")).cast("long") for f in TEXT_FIELDS}
+    tops = [best(n, F.lit(0).cast("long")).alias(f) for f, n in said.items()] + [best(F.col("score"), F.col("score2")).alias("extra")]
+    each = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("top")) for f in (*TEXT_FIELDS, "extra")])
+    return (
+        rows.groupBy("group_id").agg(F.count("*").alias("rows"), *tops).where("rows > 1")
+        .select("group_id", F.inline(each))
+        .where(F.col("top.score") > 0)
+        .select("group_id", "field_name", (-F.col("top.minus")).alias("rec_no"))
+    )
+
+
+def _skills() -> F.Column:
+    """The different skills given, folded; null where there is no list."""
+    return F.array_distinct(F.transform(F.filter("extra.skills_given", lambda x: x.isNotNull() & (F.trim(x) != "")), lambda x: F.lower(F.trim(x))))
 
 
-def _extra_scores(grouped: DataFrame) -> DataFrame:
-    """Keys of `extra` with a real value, then different skills given."""
-    kinds = {f.name: f.dataType.typeName() for f in grouped.schema["extra"].dataType.fields}
+def _extra_scores(schema: T.StructType) -> tuple[F.Column, F.Column]:
+    """Keys of `extra` with a real value, and different skills given."""
+    kinds = {f.name: f.dataType.typeName() for f in schema["extra"].dataType.fields}
     value = lambda k: F.col(f"extra.{k}")
-    skills = F.array_distinct(F.transform(F.filter(value("skills_given"), lambda x: x.isNotNull() & (F.trim(x) != "")), lambda x: F.lower(F.trim(x)))) if "skills_given" in kinds else F.array()
     real = [
         F.coalesce(F.size(F.filter(value(k), lambda x: x.isNotNull() & (F.trim(x.cast("string")) != ""))) > 0, F.lit(False)) if kind == "array"
         else _real(value(k)) if kind == "string"
@@ -213,6 +227,64 @@ def _extra_scores(grouped: DataFrame) -> DataFrame:
         for k, kind in kinds.items()
     ]
     score = sum((r.cast("long") for r in real), F.lit(0).cast("long"))
-    return grouped.select(
-        "group_id", F.lit("extra").alias("field_name"), "rec_no", "crawled_at", score.alias("score"), F.greatest(F.size(skills), F.lit(0)).cast("long").alias("score2")
-    )
+    return score, F.greatest(F.size(_skills()), F.lit(0)).cast("long") if "skills_given" in kinds else F.lit(0).cast("long")
+
+
+def value_votes(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, value, votes): for each skill that a group gives, per source how many rows of the group with a list (n) give it (k)."""
+    own = records.select("rec_no", F.coalesce("source", F.lit("")).alias("source"), _skills().alias("values"))
+    lists = own.where(F.size("values") > 0).join(groups.select("rec_no", "group_id"), "rec_no")
+    n = lists.groupBy("group_id", "source").agg(F.count("*").alias("n"))
+    n = n.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("n"))
+    k = lists.select("group_id", "source", F.explode("values").alias("value")).groupBy("group_id", "value", "source").agg(F.count("*").alias("k"))
+    k = k.groupBy("group_id", "value").agg(F.map_from_entries(F.collect_list(F.struct("source", "k"))).alias("k"))
+    vote = lambda s, m: F.struct(s.alias("source"), F.coalesce(F.element_at("k", s), F.lit(0).cast("long")).alias("k"), m.alias("n"))
+    votes = F.array_sort(F.transform(F.map_entries("n"), lambda e: vote(e["key"], e["value"])))
+    return k.join(n, "group_id").select("group_id", "value", votes.alias("votes"))
+
+
+def _truth(quality: dict[str, tuple[float, float]], share: float) -> F.Column:
+    """Probability that a value is true, given its votes."""
+    log = lambda i: F.create_map(*[F.lit(x) for s, q in quality.items() for x in (s, math.log(q[0] / (1 - q[1])) if i else math.log((1 - q[0]) / q[1]))])
+    yes, no = log(1), log(0)
+    odds = F.aggregate("votes", F.lit(math.log(share / (1 - share))), lambda acc, v: acc + v["k"] * yes[v["source"]] + (v["n"] - v["k"]) * no[v["source"]])
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
+
+
+def fit_values(votes: DataFrame, rounds: int = 12) -> tuple[dict[str, tuple[float, float]], float]:
+    """(sensitivity, specificity) by source and the share of true values, by expectation-maximisation over value_votes.
+
+    Equal votes are one row with their number, so a round reads a small table;
+    the driver sees one row per source.
+    """
+    patterns = cut_lineage(votes.groupBy("votes").agg(F.count("*").cast("double").alias("w")))
+    quality = {r["source"]: (0.7, 0.85) for r in patterns.select(F.explode("votes.source").alias("source")).distinct().collect()}
+    share = 0.8
+    for _ in range(rounds if quality else 0):
+        p = patterns.select("w", _truth(quality, share).alias("p"), "votes")
+        true = p.agg(F.sum(F.col("w") * F.col("p")) / F.sum("w")).first()[0]
+        v = p.select("w", "p", F.explode("votes").alias("v"))
+        part = lambda t, c: F.sum(F.col("w") * t * F.col(f"v.{c}"))
+        t, f = F.col("p"), 1 - F.col("p")
+        sums = v.groupBy("v.source").agg(part(t, "k").alias("tk"), part(t, "n").alias("tn"), part(f, "k").alias("fk"), part(f, "n").alias("fn")).collect()
+        clip = lambda x: min(0.999, max(0.001, x))
+        # one pseudo-count a side keeps rates off 0 and 1
+        new = {r["source"]: (clip((r["tk"] + 1.4) / (r["tn"] + 2)), clip(1 - (r["fk"] + 0.3) / (r["fn"] + 2))) for r in sums}
+        moved = max(abs(x - y) for s in new for x, y in zip(new[s], quality[s]))
+        quality, share = new, clip(true)
+        if moved < 1e-4:
+            break
+    return quality, share
+
+
+def merged_values(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, field_name, value, probability): every value of the multi-valued field `skills_given` that the sources of a group make true.
+
+    Each source's sensitivity and specificity are inferred from all groups.
+    Rows without a list say nothing; values are compared in lower case without
+    outer blanks; empty tables give no rows.
+    """
+    votes = cut_lineage(value_votes(records, groups))
+    quality, share = fit_values(votes)
+    judged = votes.select("group_id", F.lit("skills_given").alias("field_name"), "value", (_truth(quality, share) if quality else F.lit(0.0)).alias("probability"))
+    return judged.where("probability >= 0.5")

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from skillspark.llm.survivorship import fit_sources, is_placeholder, statements, survivors
+from skillspark.llm.survivorship import fit_sources, fit_values, is_placeholder, merged_values, statements, survivors, value_votes
 from tests.conftest import rows
 
 SCHEMA = "rec_no long, source string, description string, requirements_raw string, extra struct<query: string, province_id: int, skills_given: array<string>>, crawled_at timestamp, group_id string"
@@ -63,3 +63,29 @@ def test_a_remark_that_all_postings_carry_adds_nothing(spark):
         groups += [(base, base), (base + 1, base), (base + 2, base)]
     found = dict((g, r) for g, f, r in rows(survivors(spark.createDataFrame(data, SCHEMA).drop("group_id"), spark.createDataFrame(groups, GROUPS))))
     assert found == {10 * g: 10 * g + (g % 4 == 1) for g in range(40)}
+
+
+def test_values_that_the_sources_make_true_are_kept(spark):
+    data, groups = [], []
+    for g in range(60):
+        base = 10 * g
+        true = [f"a{g}", f"b{g}", f"c{g}"]
+        rows_of = [("good", true), ("good", [x.upper() for x in true[:2]]), ("good", [*true, " "]), ("bad", [true[0], f"wrong{g}"]), ("bad", None), ("bad", [])]
+        for k, (source, skills) in enumerate(rows_of):
+            data.append((base + k, source, None, None, (None, None, skills), None, "clash"))
+            groups.append((base + k, base))
+    records, of = spark.createDataFrame(data, SCHEMA), spark.createDataFrame(groups, GROUPS)
+    found = {}
+    for g, _, v, p in merged_values(records, of).collect():
+        assert p >= 0.5
+        found.setdefault(g, set()).add(v)
+    assert found == {10 * g: {f"a{g}", f"b{g}", f"c{g}"} for g in range(60)}
+    quality, share = fit_values(value_votes(records, of))
+    # by source: how many true values it gives, how few false ones
+    assert quality["good"][0] > 0.85 and quality["bad"][0] < 0.5 and quality["good"][1] > quality["bad"][1] and 0.6 < share < 0.95
+
+
+def test_merged_values_of_empty_tables(spark):
+    assert rows(merged_values(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], GROUPS))) == []
+    alone = spark.createDataFrame([(1, None, None, None, (None, None, ["x", None, "X "]), None, "")], SCHEMA)
+    assert [r[2] for r in merged_values(alone, spark.createDataFrame([(1, 1)], GROUPS)).collect()] == ["x"]
