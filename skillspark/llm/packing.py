@@ -241,3 +241,24 @@ def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
         "n_tokens",
         (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"),
     )
+
+
+def packing_faults(packed: DataFrame, counts: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(budget_id, n_documents, overfull, cut_needlessly, incomplete, well_filled): what must hold for any packing of counts(doc_id, n_tokens).
+
+    overfull: containers above the capacity; cut_needlessly: documents in
+    several pieces that would fit one container; incomplete: documents whose
+    pieces are not exactly their tokens; well_filled: at most one container and
+    half a percent more than the least number.
+    """
+    sizes = F.broadcast(budgets.select("budget_id", "capacity_tokens"))  # MAX_BUDGETS at most
+    full = packed.groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("n")).join(sizes, "budget_id")
+    overfull = full.groupBy("budget_id").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    docs = packed.groupBy("budget_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("till"), F.count("*").alias("pieces"))
+    docs = docs.join(sizes, "budget_id").join(counts.select("doc_id", F.col("n_tokens").alias("whole")), "doc_id", "left")
+    complete = (F.col("n") == F.col("whole")) & (F.col("till") == F.col("whole"))
+    by_doc = docs.groupBy("budget_id").agg(
+        F.count("*").alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("cut_needlessly"), F.count_if(~F.coalesce(complete, F.lit(False))).alias("incomplete")
+    )
+    filled = fill_report(packed, budgets).select("budget_id", (F.col("n_containers") <= F.col("least_containers") * 1.005 + 1).alias("well_filled"))
+    return by_doc.join(overfull, "budget_id").join(filled, "budget_id").select("budget_id", "n_documents", "overfull", "cut_needlessly", "incomplete", "well_filled")
