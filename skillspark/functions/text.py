@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,12 @@ def strip_accents(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), r"\s+", " "))
 
 
+def fold_text(text: str) -> str:
+    """strip_accents of one plain text, on the driver."""
+    plain = text.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    return " ".join(plain.encode("ascii", "ignore").decode().split())
+
+
 def compact(x: Column) -> Column:
     return F.replace(x, F.lit(" "), F.lit(""))
 
@@ -60,16 +67,28 @@ def slugify(x: Column | str) -> Column:
     return F.coalesce(F.nullif(t, F.lit("")), F.lit("skill"))
 
 
-#: Named entities that occur in postings.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+def decode_entities(t: Column) -> Column:
+    """Named and numeric entities as the signs they mean; unknown ones stay as they are."""
+    named = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, " " if code == 0xA0 else chr(code))], F.lit("apos"), F.lit("'"))
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^([a-zA-Z][a-zA-Z0-9]*);", 1)
+        decimal, hexadecimal = F.regexp_extract(part, r"^#([0-9]{1,7});", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(decimal != "", decimal.cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))
+        is_sign = (code > 0) & (code <= 0x10FFFF) & ((code < 0xD800) | (code > 0xDFFF))
+        sign = F.when(code == 0xA0, " ").when(is_sign, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        found = F.coalesce(sign, F.try_element_at(named, name))
+        return F.when(found.isNotNull(), F.concat(found, F.regexp_replace(part, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(t, "&")
+    rest = F.transform(F.slice(parts, 2, 2**30), decoded)
+    return F.when(t.contains("&"), F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(t)
 
 
 def html_to_text(x: Column | str) -> Column:
-    """Text nodes joined by blanks; nothing left becomes null."""
+    """Text nodes joined by blanks, entities decoded; nothing left becomes null."""
     t = F.regexp_replace(_col(x), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"<[^<>]+>", " ")
-    for entity, sign in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(sign))
+    t = decode_entities(F.regexp_replace(t, r"<[^<>]+>", " "))
     return F.nullif(F.trim(F.regexp_replace(t, BLANKS, " ")), F.lit(""))
 
 

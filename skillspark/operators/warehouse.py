@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillspark.functions.text import norm_text, search_terms
-from skillspark.session import cut_lineage, table
+from skillspark.session import cut_lineage, ensure_checkpoint_dir, table
 
 #: Extraction methods from the most to the least trusted (fixed values).
 METHODS = ("source_provided", "exact_match", "fuzzy_match")
@@ -92,37 +94,99 @@ def jobs_of(records: DataFrame, companies: DataFrame, locations: DataFrame) -> D
     return joined.select(F.concat_ws(":", "source", "source_id").alias("job_id"), F.col("title").alias("title_raw"), "company_id", "location_id", "posted_date", "source", "url")
 
 
+def job_companies(records: DataFrame, companies: DataFrame) -> DataFrame:
+    """(job_id, company_id) by the latest record of every posting (of several the smallest rec_no); null where it names nobody."""
+    job = F.concat_ws(":", "source", "source_id").alias("job_id")
+    newest = F.max_by(norm_text("company"), F.struct("crawled_at", -F.col("rec_no"))).alias("name_norm")
+    latest_name = records.where("source IS NOT NULL AND source_id IS NOT NULL").groupBy(job).agg(newest)
+    return latest_name.join(companies.select("name_norm", "company_id"), "name_norm", "left").select("job_id", "company_id")
+
+
+def surface_forms(rows: DataFrame, skills: DataFrame) -> DataFrame:
+    """(variant_id, skill_id, surface_form): every spelling that the rows of a skill ever had, for skills that exist."""
+    forms = rows.where(F.trim("canonical_name") != "").select("skill_id", F.col("canonical_name").alias("surface_form")).distinct()
+    return dense_ids(forms.join(skills.select("skill_id"), "skill_id", "left_semi"), ["skill_id", "surface_form"], "variant_id").select("variant_id", "skill_id", "surface_form")
+
+
+def canonical_only(records: DataFrame) -> DataFrame:
+    """Records that stand for their duplicate group; all of them where nothing is marked, and unmarked ones too."""
+    return records.where(F.coalesce("is_canonical", F.lit(True))) if "is_canonical" in records.columns else records
+
+
+#: Tables of a saved warehouse.
+TABLES = ("skills", "jobs", "job_skills", "locations", "closure", "companies", "variants", "terms", "facts")
+
+
 class Warehouse:
-    """The tables that the queries read; each is a lazy DataFrame."""
+    """The tables that the queries read; each is a lazy DataFrame. terms and facts may be given where they are stored."""
 
-    def __init__(self, skills: DataFrame, jobs: DataFrame, job_skills: DataFrame, locations: DataFrame, closure: DataFrame, companies: DataFrame | None = None):
+    def __init__(self, skills: DataFrame, jobs: DataFrame, job_skills: DataFrame, locations: DataFrame, closure: DataFrame, companies: DataFrame, variants: DataFrame, terms: DataFrame | None = None, facts: DataFrame | None = None):
         self.skills, self.jobs, self.job_skills = skills, jobs, job_skills
-        self.locations, self.closure, self.companies = locations, closure, companies
+        self.locations, self.closure, self.companies, self.variants = locations, closure, companies, variants
+        self.terms = skill_terms(skills) if terms is None else terms
+        self.facts = self._star() if facts is None else facts
 
-    @property
-    def terms(self) -> DataFrame:
-        return skill_terms(self.skills)
+    def _star(self) -> DataFrame:
+        """job_skills with the skill's name, category and type and the job's place; equi joins on keys."""
+        places = self.locations.select("location_id", "city", "country")
+        jobs = self.jobs.select("job_id", "location_id").join(places, "location_id", "left")
+        skills = self.skills.select("skill_id", "canonical_name", "category", F.col("skill_type").alias("type"))
+        matches = self.job_skills.select("job_id", "skill_id", F.col("skill_type").alias("match_type"))
+        return matches.join(skills, "skill_id").join(jobs, "job_id").select("job_id", "skill_id", "match_type", "canonical_name", "category", "type", "city", "country")
 
 
 def load(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The warehouse over the raw tables of a data directory."""
-    skills = with_category(latest(table(spark, sf_dir, "skills"), "skill_id"))
-    jobs = latest(table(spark, sf_dir, "jobs"), "job_id")
+    raw = table(spark, sf_dir, "skills")
+    skills = with_category(latest(raw, "skill_id"))
+    records = canonical_only(table(spark, sf_dir, "job_records"))
+    companies = companies_of(records)
+    jobs = latest(table(spark, sf_dir, "jobs"), "job_id").join(job_companies(records, companies), "job_id", "left")
     facts = best_matches(table(spark, sf_dir, "job_skills"), jobs, skills)
     closure = table(spark, sf_dir, "skill_closure").where("ancestor_id IS NOT NULL").groupBy("ancestor_id", "descendant_id").agg(F.min("depth").alias("depth"))
-    return Warehouse(skills, jobs, facts, table(spark, sf_dir, "locations"), closure)
+    return Warehouse(skills, jobs, facts, table(spark, sf_dir, "locations"), closure, companies, surface_forms(raw, skills))
+
+
+def save(w: Warehouse, path: str) -> Warehouse:
+    """Writes every table as Parquet under a new path and gives back the stored warehouse.
+
+    job_skills and the star over it are stored in ranges of skills, so that the
+    statistics of their row groups answer questions on one skill; the star is
+    built from the stored tables.
+    """
+    spark = w.skills.sparkSession
+    ranges = {"job_skills": ["skill_id", "job_id"], "facts": ["skill_id", "job_id"], "terms": ["term"], "closure": ["ancestor_id"]}
+    stored = {}
+    for name in TABLES:
+        df = getattr(Warehouse(*(stored[n] for n in TABLES[:-2]), stored["terms"]), "facts") if name == "facts" else getattr(w, name)
+        by = ranges.get(name)
+        (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{path}/{name}")
+        stored[name] = spark.read.parquet(f"{path}/{name}")
+    return Warehouse(**stored)
 
 
-def save(w: Warehouse, path: str) -> None:
-    """Writes every table as Parquet under a new path, job_skills partitioned by source."""
-    for name in ("skills", "jobs", "locations", "closure", "terms"):
-        getattr(w, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    w.job_skills.write.mode("overwrite").partitionBy("source").parquet(f"{path}/job_skills")
+def stored(spark: SparkSession, path: str) -> Warehouse:
+    """Opens a saved warehouse read-only."""
+    return Warehouse(**{n: spark.read.parquet(f"{path}/{n}") for n in TABLES})
 
 
 def register(spark: SparkSession, path: str) -> Warehouse:
     """Opens a saved warehouse read-only and registers its tables as views."""
-    read = {n: spark.read.parquet(f"{path}/{n}") for n in ("skills", "jobs", "job_skills", "locations", "closure", "terms")}
-    for name, df in read.items():
-        df.createOrReplaceTempView(name)
-    return Warehouse(*(read[n] for n in ("skills", "jobs", "job_skills", "locations", "closure")))
+    w = stored(spark, path)
+    for name in TABLES:
+        getattr(w, name).createOrReplaceTempView(name)
+    return w
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def opened(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The warehouse of a data directory: built and saved in the shared checkpoint folder at first, read from there by all later queries of the application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/warehouse-{uuid4().hex}"
+        save(load(spark, sf_dir), path)
+        _BUILT[key] = path
+    return stored(spark, _BUILT[key])

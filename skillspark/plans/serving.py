@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skillspark.functions.text import compact, strip_accents, url_query
-from skillspark.operators.warehouse import Warehouse
+from skillspark.functions.text import compact, fold_text, strip_accents, url_query
+from skillspark.operators.warehouse import Warehouse, opened
+from skillspark.session import cut_lineage
 
 #: Search pages of the feeds that have one.
 SEARCH_PAGES = {"vieclam24h": "https://vieclam24h.vn/tim-kiem-viec-lam-nhanh?q=", "itviec": "https://itviec.com/it-jobs?query="}
@@ -27,25 +28,13 @@ def scope(df: DataFrame, **values: str | None) -> DataFrame:
 
 
 def facts(w: Warehouse, skill_type: str | None = None, city: str | None = None, country: str | None = None) -> DataFrame:
-    """job_skills with the skill's name, category and type and the job's place.
-
-    The joins with jobs and skills are equi joins on keys of the fact table;
-    only the table of places, which is read filtered, is small by nature.
-    """
-    jobs = w.jobs.select("job_id", "location_id")
-    places = w.locations.select("location_id", "city", "country")
-    if city or country:
-        jobs = jobs.join(scope(places, city=city, country=country), "location_id")
-    else:
-        jobs = jobs.join(places, "location_id", "left")
-    skills = scope(w.skills, skill_type=skill_type).select("skill_id", "canonical_name", "category", F.col("skill_type").alias("type"))
-    return w.job_skills.select("job_id", "skill_id").join(skills, "skill_id").join(jobs, "job_id")
+    """job_skills with the skill's name, category and type and the job's place, in a scope; over a stored star all filters reach its scan."""
+    return scope(w.facts, type=skill_type, city=city, country=country)
 
 
 def search_skills(w: Warehouse, query: str, limit: int = 20) -> DataFrame:
     """Skills found under a typed text: equal before prefix before part, then short names first; signs are literal."""
-    spark = w.skills.sparkSession
-    typed = spark.range(1).select(strip_accents(F.lit(query)).alias("t")).first()["t"]
+    typed = fold_text(query)
     joined = typed.replace(" ", "")
     term = F.col("term")
     rank = F.when(term.isin(typed, joined), 3).when(term.startswith(typed) | term.startswith(joined), 2).otherwise(1)
@@ -59,29 +48,59 @@ def search_skills(w: Warehouse, query: str, limit: int = 20) -> DataFrame:
     )
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The different runs of `size` letters of a text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))))
+
+
+def containing(terms: DataFrame, asked: DataFrame, size: int = 3) -> DataFrame:
+    """(t, term): which of the different terms(term) contain which of the texts asked(t), by an equi join on runs of letters.
+
+    A text is looked up under its rarest run of `size` letters (a shorter text
+    under itself), so no text meets terms that lack that run.
+    """
+    every = terms.select("term").distinct()
+    runs = lambda k: every.select("term", F.explode(_grams(F.col("term"), k)).alias("g"))
+    index = cut_lineage(runs(size))
+    df = index.groupBy("g").agg(F.count("*").alias("n"))
+    texts = asked.select("t").where("t <> ''").distinct()
+    long = texts.where(F.length("t") >= size).select("t", F.explode(_grams(F.col("t"), size)).alias("g")).join(df, "g", "left")
+    rarest = long.groupBy("t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).getField("g").alias("g"))
+    found = rarest.join(index, "g").where(F.col("term").contains(F.col("t"))).select("t", "term")
+    for k in range(1, size):
+        short = texts.where(F.length("t") == k).select("t", F.col("t").alias("g"))
+        found = found.unionByName(short.join(runs(k), "g").select("t", "term"))
+    return found
+
+
 def search_quality(w: Warehouse, typed: DataFrame, top_k: int = 20) -> DataFrame:
     """(q, kind, expect_skill, rank): rank of the expected skill for every typed text of typed(q, kind, expect_skill), 0 if it isn't among the first top_k. All texts are searched by one join."""
-    asked = typed.select("q", strip_accents("q").alias("t")).where("t <> ''").distinct().withColumn("tc", compact(F.col("t")))
+    asked = cut_lineage(typed.select("q", strip_accents("q").alias("t")).where("t <> ''").distinct().withColumn("tc", compact(F.col("t"))))
+    forms = asked.select("t", F.explode(F.array_distinct(F.array("t", "tc"))).alias("form")).distinct()
+    hits = containing(w.terms, forms.select(F.col("form").alias("t"))).withColumnRenamed("t", "form")
     term = F.col("term")
-    rank = F.when((term == F.col("t")) | (term == F.col("tc")), 3).when(term.startswith(F.col("t")) | term.startswith(F.col("tc")), 2).otherwise(1)
-    hits = w.terms.join(F.broadcast(asked), term.contains(F.col("t")) | term.contains(F.col("tc"))).groupBy("q", "skill_id").agg(F.max(rank).alias("r"))
+    match = F.when(term == F.col("form"), 3).when(term.startswith(F.col("form")), 2).otherwise(1)
+    ranks = forms.join(hits, "form").withColumn("r", match).join(w.terms, "term").groupBy("t", "skill_id").agg(F.max("r").alias("r"))
+    best = asked.select("q", "t").join(ranks, "t")
     order = W.partitionBy("q").orderBy(F.desc("r"), F.length("canonical_name"), "canonical_name", "skill_id")
-    ranked = hits.join(w.skills.select("skill_id", "canonical_name"), "skill_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
+    ranked = best.join(w.skills.select("skill_id", "canonical_name"), "skill_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
     found = ranked.select("q", F.col("skill_id").alias("expect_skill"), "place")
     return typed.join(found, ["q", "expect_skill"], "left").select("q", "kind", "expect_skill", F.coalesce("place", F.lit(0)).alias("rank"))
 
 
 def skill_detail(w: Warehouse, skill_id: str, samples: int = 5) -> DataFrame:
-    """One row on a skill: parent, children, number of jobs and the surest evidence; none for an unknown id."""
+    """One row on a skill: parent, children, spellings, number of jobs and the surest evidence; none for an unknown id."""
     me = w.skills.where(F.col("skill_id") == skill_id).select("skill_id", "canonical_name", "skill_type", "parent_skill_id")
     parent = w.skills.select(F.col("skill_id").alias("parent_skill_id"), F.col("canonical_name").alias("parent_name"))
     children = w.skills.where(F.col("parent_skill_id") == skill_id).agg(F.array_sort(F.collect_list("canonical_name")).alias("children"))
+    variants = w.variants.where(F.col("skill_id") == skill_id).agg(F.array_sort(F.collect_list("surface_form")).alias("variants"))
     mine = w.job_skills.where(F.col("skill_id") == skill_id)
     count = mine.agg(F.count_distinct("job_id").alias("job_count"))
     best = mine.orderBy(F.desc_nulls_last("confidence"), "job_id").limit(samples)
     sample = F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("o"), "job_id", "source", "extraction_method", "confidence", "evidence_snippet")
     evidence = best.agg(F.transform(F.array_sort(F.collect_list(sample)), lambda x: x.dropFields("o")).alias("evidence_samples"))
-    return me.join(parent, "parent_skill_id", "left").join(children).join(count).join(evidence)
+    return me.join(parent, "parent_skill_id", "left").join(children).join(variants).join(count).join(evidence)
 
 
 def expand_skill_ids(w: Warehouse, skill_id: str) -> DataFrame:
@@ -107,14 +126,15 @@ def search_jobs(w: Warehouse, skill_id: str, expand: bool = True, skill_type: st
         F.array_join(F.array_sort(F.collect_set("canonical_name")), ", ").alias("matched_skills")
     )
     places = w.locations.select("location_id", F.col("location_raw").alias("location"), "city", "country")
-    jobs = w.jobs.select("job_id", "title_raw", "location_id", "source", "url", "posted_date", "seniority")
+    firms = w.companies.select("company_id", F.col("name").alias("company"))
+    jobs = w.jobs.select("job_id", "title_raw", "company_id", "location_id", "source", "url", "posted_date", "seniority").join(firms, "company_id", "left")
     placed = jobs.join(scope(places, city=city, country=country), "location_id", "inner" if city or country else "left")
     return (
         names.join(placed, "job_id")
         .orderBy(F.desc_nulls_last("posted_date"), "job_id")
         .offset(offset)
         .limit(limit)
-        .select("job_id", "title_raw", "location", "city", "country", "source", "url", "posted_date", "seniority", "matched_skills", search_url(F.col("source"), F.col("title_raw")).alias("source_search_url"))
+        .select("job_id", "title_raw", "company", "location", "city", "country", "source", "url", "posted_date", "seniority", "matched_skills", search_url(F.col("source"), F.col("title_raw")).alias("source_search_url"))
     )
 
 
@@ -129,7 +149,7 @@ def corpus_stats(w: Warehouse, skill_type: str | None = None, city: str | None =
     """One row of totals; the numbers of jobs and sources do not depend on the type of skill."""
     places = scope(w.locations.select("location_id", "city", "country"), city=city, country=country)
     jobs = w.jobs.join(places, "location_id", "inner" if city or country else "left")
-    of_jobs = jobs.agg(F.count("*").alias("n_jobs"), F.count_distinct("source").alias("n_sources"), F.count_distinct("location_id").alias("n_locations"))
+    of_jobs = jobs.agg(F.count("*").alias("n_jobs"), F.count_distinct("source").alias("n_sources"), F.count_distinct("location_id").alias("n_locations"), F.count_distinct("company_id").alias("n_companies"))
     of_pairs = facts(w, skill_type, city, country).agg(
         F.count("*").alias("n_pairs"), F.count_distinct("skill_id").alias("n_skills"), F.count_distinct("job_id").alias("n_jobs_with_skill")
     )
@@ -182,7 +202,7 @@ def jobs_by_month(w: Warehouse, city: str | None = None, country: str | None = N
 
 def hard_soft(w: Warehouse) -> DataFrame:
     """Postings by type of skill; one that asks for both counts in both."""
-    return w.job_skills.select("job_id", "skill_id").join(w.skills.select("skill_id", "skill_type"), "skill_id").groupBy("skill_type").agg(F.count_distinct("job_id").alias("n"))
+    return w.facts.groupBy(F.col("type").alias("skill_type")).agg(F.count_distinct("job_id").alias("n"))
 
 
 def list_places(w: Warehouse, level: str, country: str | None = None, min_jobs: int = 5) -> DataFrame:
@@ -198,15 +218,23 @@ def place_label(city: Column, country: Column, raw: Column) -> Column:
     return F.coalesce(F.nullif(known, F.lit("")), F.nullif(raw, F.lit("")), F.lit("—"))
 
 
+def told(detail: DataFrame) -> DataFrame:
+    """skill_detail with its lists as texts."""
+    sample = lambda x: F.concat_ws("~", *[F.coalesce(x[c].cast("string"), F.lit("")) for c in ("job_id", "source", "extraction_method", "confidence", "evidence_snippet")])
+    return detail.select(
+        "skill_id", "canonical_name", "skill_type", "parent_name", F.array_join("children", "|").alias("children"), F.array_join("variants", "|").alias("variants"),
+        "job_count", F.array_join(F.transform("evidence_samples", sample), "|").alias("evidence_samples"),
+    )
+
+
 def _w(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from skillspark.operators.warehouse import load
-
-        return QUERIES[name][0](load(spark, sf_dir))
+        return QUERIES[name][0](opened(spark, sf_dir))
 
     return run
 
 
+_BLANK_CLASS = "[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]"
 _WAREHOUSE_SQL = """
 WITH sk0 AS (
   SELECT * FROM skills WHERE skill_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY skill_id ORDER BY loaded_at DESC NULLS LAST,
@@ -216,7 +244,13 @@ w_skills AS (SELECT s.skill_id, s.canonical_name, s.skill_type, p.canonical_name
 jb0 AS (
   SELECT * FROM jobs WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY loaded_at DESC NULLS LAST,
     title_raw DESC NULLS LAST, location_id DESC NULLS LAST, posted_date DESC NULLS LAST, source DESC NULLS LAST, url DESC NULLS LAST, seniority DESC NULLS LAST, job_type DESC NULLS LAST, deleted_at DESC NULLS LAST) = 1),
-w_jobs AS (SELECT * FROM jb0 WHERE deleted_at IS NULL),
+w_companies AS (
+  SELECT row_number() OVER (ORDER BY o) AS company_id, name_norm, name FROM (
+    SELECT name_norm, arg_min(company, rec_no) AS name, min(rec_no) AS o FROM (SELECT {norm} AS name_norm, company, rec_no FROM job_records) WHERE name_norm <> '' GROUP BY 1)),
+jc AS (
+  SELECT source || ':' || source_id AS job_id, {norm} AS name_norm FROM job_records WHERE source IS NOT NULL AND source_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY source, source_id ORDER BY crawled_at DESC NULLS LAST, rec_no) = 1),
+w_jobs AS (SELECT j.*, c.company_id, c.name AS company FROM jb0 j LEFT JOIN jc USING (job_id) LEFT JOIN w_companies c USING (name_norm) WHERE j.deleted_at IS NULL),
 w_facts AS (
   SELECT * FROM job_skills f WHERE job_id IN (SELECT job_id FROM w_jobs) AND skill_id IN (SELECT skill_id FROM w_skills)
   QUALIFY row_number() OVER (PARTITION BY job_id, skill_id ORDER BY CASE extraction_method WHEN 'source_provided' THEN 0 WHEN 'exact_match' THEN 1 WHEN 'fuzzy_match' THEN 2 ELSE 3 END,
@@ -227,6 +261,7 @@ scoped AS (
   FROM w_facts f JOIN w_skills s USING (skill_id) JOIN w_jobs j USING (job_id) LEFT JOIN locations l ON l.location_id = j.location_id)
 """
 
+_WAREHOUSE_SQL = _WAREHOUSE_SQL.replace("{norm}", f"trim(regexp_replace(lower(coalesce(company, '')), '{_BLANK_CLASS}+', ' ', 'g'))")
 _FOLDED = "trim(regexp_replace(regexp_replace(strip_accents(replace(lower({0}), 'đ', 'd')), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g'))"
 _NORMED = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 _TERMS_SQL = ", terms AS (SELECT DISTINCT skill_id, term FROM (" + " UNION ALL ".join(
@@ -250,17 +285,22 @@ QUERIES = {
         SELECT skill_id, canonical_name, skill_type, category FROM w_skills JOIN (
           SELECT skill_id, max(CASE WHEN term = 'sql' THEN 3 WHEN starts_with(term, 'sql') THEN 2 ELSE 1 END) AS r FROM terms WHERE contains(term, 'sql') GROUP BY 1) USING (skill_id)
         ORDER BY r DESC, length(canonical_name), canonical_name, skill_id LIMIT 20"""),
-    "q2_skill_detail": (lambda w: skill_detail(w, "sql").select("skill_id", "canonical_name", "skill_type", "parent_name", F.size("children").alias("n_children"), "job_count", F.size("evidence_samples").alias("n_samples")), """
+    "q2_skill_detail": (lambda w: told(skill_detail(w, "sql")), """
+        , e AS (SELECT job_id || '~' || coalesce(source, '') || '~' || coalesce(extraction_method, '') || '~' || coalesce(CAST(confidence AS VARCHAR), '') || '~' || coalesce(evidence_snippet, '') AS x, confidence, job_id
+          FROM w_facts WHERE skill_id = 'sql' ORDER BY confidence DESC NULLS LAST, job_id LIMIT 5)
         SELECT s.skill_id, s.canonical_name, s.skill_type, s.category AS parent_name,
-          (SELECT CAST(count(*) AS INTEGER) FROM w_skills c WHERE c.parent_skill_id = 'sql') AS n_children,
+          (SELECT coalesce(string_agg(canonical_name, '|' ORDER BY canonical_name), '') FROM w_skills c WHERE c.parent_skill_id = 'sql') AS children,
+          (SELECT coalesce(string_agg(f, '|' ORDER BY f), '') FROM (SELECT DISTINCT canonical_name AS f FROM skills WHERE skill_id = 'sql' AND trim(canonical_name) <> '')) AS variants,
           (SELECT count(DISTINCT job_id) FROM w_facts WHERE skill_id = 'sql') AS job_count,
-          (SELECT CAST(least(count(*), 5) AS INTEGER) FROM w_facts WHERE skill_id = 'sql') AS n_samples
+          (SELECT coalesce(string_agg(x, '|' ORDER BY confidence DESC NULLS LAST, job_id), '') FROM e) AS evidence_samples
         FROM w_skills s WHERE s.skill_id = 'sql'"""),
     "q3_expand_skill": (lambda w: expand_skill_ids(w, "javascript"), _IDS_SQL + " SELECT skill_id FROM ids"),
     "q3_expand_unknown": (lambda w: expand_skill_ids(w, "no-such-skill"), "SELECT 'no-such-skill' AS skill_id"),
-    "q4_search_jobs": (lambda w: search_jobs(w, "javascript", limit=50).drop("source_search_url"), _IDS_SQL + """
-        SELECT j.job_id, j.title_raw, l.location_raw AS location, l.city, l.country, j.source, j.url, j.posted_date, j.seniority,
-          string_agg(DISTINCT s.canonical_name, ', ' ORDER BY s.canonical_name) AS matched_skills
+    "q4_search_jobs": (lambda w: search_jobs(w, "javascript", limit=50), _IDS_SQL + """
+        SELECT j.job_id, j.title_raw, j.company, l.location_raw AS location, l.city, l.country, j.source, j.url, j.posted_date, j.seniority,
+          string_agg(DISTINCT s.canonical_name, ', ' ORDER BY s.canonical_name) AS matched_skills,
+          CASE WHEN coalesce(j.title_raw, '') <> '' THEN CASE j.source WHEN 'vieclam24h' THEN 'https://vieclam24h.vn/tim-kiem-viec-lam-nhanh?q=' WHEN 'itviec' THEN 'https://itviec.com/it-jobs?query=' END
+            || replace(url_encode(j.title_raw), '%20', '+') END AS source_search_url
         FROM w_facts f JOIN ids USING (skill_id) JOIN w_skills s USING (skill_id) JOIN w_jobs j USING (job_id) LEFT JOIN locations l ON l.location_id = j.location_id
         GROUP BY ALL ORDER BY j.posted_date DESC NULLS LAST, j.job_id LIMIT 50"""),
     "q4_search_jobs_scoped": (lambda w: search_jobs(w, "sql", expand=False, skill_type="hard", country="Việt Nam", limit=20, offset=5).select("job_id", "city", "matched_skills"), """
@@ -276,6 +316,7 @@ QUERIES = {
         ORDER BY n DESC, canonical_name, category NULLS FIRST, skill_type LIMIT 10"""),
     "q6_corpus_stats": (lambda w: corpus_stats(w, "soft"), """
         SELECT (SELECT count(*) FROM w_jobs) AS n_jobs, (SELECT count(DISTINCT source) FROM w_jobs) AS n_sources, (SELECT count(DISTINCT location_id) FROM w_jobs) AS n_locations,
+          (SELECT count(DISTINCT company_id) FROM w_jobs) AS n_companies,
           count(*) AS n_pairs, count(DISTINCT skill_id) AS n_skills, count(DISTINCT job_id) AS n_jobs_with_skill,
           CASE WHEN count(DISTINCT job_id) > 0 THEN count(*) / CAST(count(DISTINCT job_id) AS DOUBLE) ELSE 0.0 END AS skills_per_job
         FROM scoped WHERE skill_type = 'soft'"""),

@@ -27,6 +27,11 @@ def test_html(spark):
     assert one(spark, text.html_to_text("x"), x=None) is None
 
 
+@pytest.mark.parametrize("html, plain", [("a&#84;b&#x1EBF;c", "aTbếc"), ("caf&eacute; &euro;5", "café €5"), ("&amp;lt; R&D &nope; &#xD800; &#0; &", "&lt; R&D &nope; &#xD800; &#0; &"), ("x&nbsp;&#160;y", "x y"), ("&#128512;", "😀")])
+def test_entities(spark, html, plain):
+    assert one(spark, text.html_to_text("x"), x=html) == plain
+
+
 def test_tokens(spark):
     assert one(spark, text.tokens("x"), x="C/C++, C# và .NET; Node.js 3.5!") == ["C", "C++", "C#", "và", ".NET", "Node.js", "3.5"]
 
