@@ -21,7 +21,7 @@ def name_counts(labels: DataFrame) -> DataFrame:
 def display_names(counts: DataFrame) -> DataFrame:
     """(folded, name): the shown spelling: one with a capital before others, then the most frequent, then the first seen."""
     capital = F.col("name") != F.lower("name")
-    return counts.groupBy("folded").agg(F.max_by("name", F.struct(capital.alias("c"), "n", (-F.col("first")).alias("f"))).alias("name"))
+    return counts.groupBy("folded").agg(F.min_by("name", F.struct((~capital).alias("c"), (-F.col("n")).alias("n"), "first")).alias("name"))
 
 
 def mine_skills(labels: DataFrame, stop: DataFrame, soft: DataFrame) -> DataFrame:

@@ -104,7 +104,12 @@ def _double(jump: DataFrame) -> DataFrame:
 
 
 def unfold(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """(skill_id, root_id, depth, path, n_descendants, in_cycle), one row per id of edges(id, parent).
+    """(skill_id, root_id, depth, path, n_descendants, in_cycle) as unfold_paths gives it, the path as one text."""
+    return unfold_paths(edges, max_depth).withColumn("path", F.array_join("path", SEPARATOR))
+
+
+def unfold_paths(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """(skill_id, root_id, depth, path, n_descendants, in_cycle), one row per id of edges(id, parent); path is the array of ids from the root.
 
     parent is null for roots and otherwise an id of the table. A node that is
     its own parent is a circle of one. No rows give no rows. Raises
@@ -134,7 +139,7 @@ def unfold(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
             F.col("id").alias("skill_id"),
             "root_id",
             F.col("depth").cast("int").alias("depth"),
-            F.array_join("path", SEPARATOR).alias("path"),
+            "path",
             F.when((F.col("in_cycle") == 1) & (F.col("depth") == 0), F.col("round"))
             .otherwise(F.coalesce("n", F.lit(0)))
             .cast("int")
@@ -145,8 +150,6 @@ def unfold(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
 
 
 def closure(nodes: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id, depth) of unfolded trees, each node with itself at depth 0."""
-    ids = F.split("path", SEPARATOR)
-    return nodes.select(F.posexplode(ids).alias("pos", "ancestor_id"), F.col("skill_id").alias("descendant_id"), F.size(ids).alias("n")).select(
-        "ancestor_id", "descendant_id", (F.col("n") - 1 - F.col("pos")).cast("int").alias("depth")
-    )
+    """(ancestor_id, descendant_id, depth) of unfold_paths, each node with itself at depth 0."""
+    steps = nodes.select(F.posexplode("path").alias("pos", "ancestor_id"), F.col("skill_id").alias("descendant_id"), F.size("path").alias("n"))
+    return steps.select("ancestor_id", "descendant_id", (F.col("n") - 1 - F.col("pos")).cast("int").alias("depth"))

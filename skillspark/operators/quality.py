@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skillspark.functions.text import slugify, strip_accents
-from skillspark.operators.warehouse import Warehouse
+from skillspark.operators.warehouse import Warehouse, dense_ids
 from skillspark.session import cut_lineage
 
 BANDS = ("short", "medium", "long")
@@ -36,10 +36,11 @@ def empty_columns(df: DataFrame, name: str) -> DataFrame:
 
 
 def integrity_checks(w: Warehouse) -> DataFrame:
-    """(label, ok, n) of every check; n is the number of offending (or required) values."""
+    """(label, ok, n) of the 18 checks, nine of them on keys; n is the number of offending (or required) values."""
     keys = [
         ("job_skills.skill_id", w.job_skills, "skill_id", w.skills, "skill_id"), ("job_skills.job_id", w.job_skills, "job_id", w.jobs, "job_id"),
-        ("jobs.location_id", w.jobs, "location_id", w.locations, "location_id"), ("skills.parent_skill_id", w.skills, "parent_skill_id", w.skills, "skill_id"),
+        ("jobs.location_id", w.jobs, "location_id", w.locations, "location_id"), ("jobs.company_id", w.jobs, "company_id", w.companies, "company_id"),
+        ("variants.skill_id", w.variants, "skill_id", w.skills, "skill_id"), ("skills.parent_skill_id", w.skills, "parent_skill_id", w.skills, "skill_id"),
         ("closure.ancestor_id", w.closure, "ancestor_id", w.skills, "skill_id"), ("closure.descendant_id", w.closure, "descendant_id", w.skills, "skill_id"),
         ("terms.skill_id", w.terms, "skill_id", w.skills, "skill_id"),
     ]
@@ -49,7 +50,10 @@ def integrity_checks(w: Warehouse) -> DataFrame:
     terms = w.terms.select("skill_id", "term")
     ascii_terms = w.skills.select("skill_id", strip_accents("canonical_name").alias("term")).where("term <> ''")
     leaked = w.job_skills.select("skill_id").join(w.skills.where("is_category").select("skill_id"), "skill_id", "left_semi")
+    # as many rows of depth 0 as skills
+    surplus = count(w.closure.where("depth = 0")).join(count(w.skills).withColumnRenamed("n", "m")).select((F.col("n") - F.col("m")).alias("n"))
     checks += [
+        _check("closure rows of depth 0 beyond one a skill", surplus),
         _check("skills without a closure row of their own", count(w.skills.join(self, "skill_id", "left_anti"))),
         _check("levels of the closure", w.closure.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("n")), "n >= 2"),
         _check("skills with a parent", count(w.skills.where("parent_skill_id IS NOT NULL")), "n > 0"),
@@ -62,10 +66,19 @@ def integrity_checks(w: Warehouse) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+#: Checks that a table must pass before it is loaded, by the start of their label.
+MUST = ("key job_skills", "key closure", "key skills.parent", "key terms", "key jobs", "key variants", "skills with a parent", "categories extracted")
+
+
+def gate_problems(w: Warehouse) -> DataFrame:
+    """(label, n) of the failed checks that forbid loading."""
+    must = reduce(lambda a, b: a | b, [F.col("label").startswith(m) for m in MUST])
+    return integrity_checks(w).where(~F.col("ok") & must).select("label", "n")
+
+
 def load_gate(w: Warehouse) -> None:
     """Raises ValueError with all problems of tables that must not be loaded."""
-    must = ("key job_skills", "key closure", "key skills.parent", "key terms", "skills with a parent", "categories extracted")
-    bad = [f"{r['label']}: {r['n']}" for r in integrity_checks(w).where("NOT ok").collect() if r["label"].startswith(must)]
+    bad = [f"{r['label']}: {r['n']}" for r in gate_problems(w).collect()]  # at most a row per check
     if bad:
         raise ValueError("inconsistent tables: " + "; ".join(bad))
 
@@ -174,9 +187,30 @@ def closure_mismatch(stored: DataFrame, built: DataFrame) -> DataFrame:
 
 
 def length_bands(records: DataFrame, length: Column, tie: str = "source_id") -> DataFrame:
-    """records with length_band: thirds by length within the source."""
-    third = F.ntile(3).over(W.partitionBy("source").orderBy(length, tie))
-    return records.withColumn("length_band", F.element_at(F.array(*map(F.lit, BANDS)), third))
+    """records with length_band: thirds by length within the source, by a range sort and counts instead of one sorted window a source.
+
+    Where the records of a source do not divide by three the first bands have one more. tie must be unique within a source.
+    """
+    sized = records.withColumn("_len", length)
+    placed = dense_ids(sized, ["source", "_len", tie], "_place")
+    first = placed.groupBy("source").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).withColumnRenamed("source", "_s")
+    joined = placed.join(first, F.col("source").eqNullSafe(F.col("_s")))
+    size, more, rank = F.floor(F.col("_n") / 3), F.col("_n") % 3, F.col("_place") - F.col("_first")
+    wide = more * (size + 1)
+    third = F.when(rank < wide, F.floor(rank / (size + 1))).otherwise(more + F.floor((rank - wide) / F.greatest(size, F.lit(1))))
+    return joined.withColumn("length_band", F.element_at(F.array(*map(F.lit, BANDS)), (third + 1).cast("int"))).drop("_len", "_place", "_s", "_first", "_n")
+
+
+def task_order(seed: int) -> Column:
+    """An order by source and source_id that only the seed decides."""
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), "source", "source_id"), 256)
+
+
+def input_sha256(fields: list[str]) -> Column:
+    """Fingerprint of texts: of a JSON object with sorted keys, a blank behind every comma and colon."""
+    plain = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.expr(f"substring(to_json(array(`{c}`)), 2, length(to_json(array(`{c}`))) - 2)"))
+    parts = [F.concat(F.lit(f'"{c}": '), plain(c)) for c in sorted(fields)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
 
 
 def sample_tasks(records: DataFrame, per_source: int = 100, seed: int = 5420, development: float = 0.3) -> DataFrame:
@@ -188,16 +222,14 @@ def sample_tasks(records: DataFrame, per_source: int = 100, seed: int = 5420, de
     """
     text = F.length(F.concat(*[F.coalesce(c, F.lit("")) for c in ("title", "requirements_raw", "description")]))
     banded = length_bands(records.where(text > 0), text)
-    order = F.xxhash64(F.lit(seed), "source", "source_id")
-    rank = F.row_number().over(W.partitionBy("source", "length_band").orderBy(order, "source_id"))
+    rank = F.row_number().over(W.partitionBy("source", "length_band").orderBy(task_order(seed), "source_id"))
     quota = F.create_map(*[F.lit(x) for i, b in enumerate(BANDS) for x in (b, per_source // 3 + (i < per_source % 3))])
     drawn = banded.withColumn("r", rank).withColumn("quota", quota[F.col("length_band")]).where("r <= quota")
-    fields = F.struct("description", "requirements_raw", "title")
     return drawn.select(
         F.concat_ws(":", "source", "source_id").alias("task_id"), "source", "source_id", "length_band",
         F.when(F.col("r") <= F.round(F.col("quota") * development), "development").otherwise("test").alias("split"),
-        F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256).alias("input_sha256"),
-        F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed + 1), "source", "source_id"), "source_id")).alias("order"),  # over the sample only
+        input_sha256(["title", "requirements_raw", "description"]).alias("input_sha256"),
+        F.row_number().over(W.orderBy(task_order(seed + 1), "source_id")).alias("order"),  # over the sample only
     )
 
 
@@ -232,6 +264,56 @@ def gold_labels(tasks: DataFrame, annotations: DataFrame, complete: bool = True)
     return tasks.join(done, "task_id").select(F.col("task_id").alias("record_id"), "source", "split", F.explode(every).alias("skill_id"))
 
 
+def gold_standard(annotations: DataFrame, assisted: tuple[str, ...]) -> DataFrame:
+    """One row (standard): whose labels these are, `llm_assisted_gold` if all annotators are among the assisted ones and there are any, else `manual_gold`."""
+    own = F.count_if(~F.coalesce("annotator", F.lit("")).isin(*assisted))
+    return annotations.agg(F.when((F.count("*") > 0) & (own == 0), "llm_assisted_gold").otherwise("manual_gold").alias("standard"))
+
+
+def score_gold(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(vocabulary, source, tp, fp, fn, precision, recall, f1, macro_f1): predictions against gold labels, per source and for all (source `all`).
+
+    `end_to_end` counts gold terms that the dictionary lacks (oov: ids) as
+    missed, `in_vocabulary` leaves them out. Both hold record_id, source,
+    skill_id; records without gold and prediction do not count.
+    """
+    known = gold.where(~F.col("skill_id").startswith("oov:"))
+    every = lambda df: df.unionByName(df.withColumn("source", F.lit("all")))
+    columns = ["record_id", "source", "skill_id"]
+    p = every(predicted.select(columns))
+    parts = [extraction_scores(every(g.select(columns)), p).select(F.lit(name).alias("vocabulary"), "*") for name, g in (("end_to_end", gold), ("in_vocabulary", known))]
+    return parts[0].unionByName(parts[1])
+
+
+def evaluation_report(extraction: DataFrame, retrieval: DataFrame, integrity: DataFrame) -> DataFrame:
+    """(section, name, metric, value) of extraction scores per source, retrieval scores per kind and integrity checks, in one table."""
+
+    def long(df: DataFrame, section: str, name: Column, metrics: list[str]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        return df.select(F.lit(section).alias("section"), name.alias("name"), F.inline(each))
+
+    parts = [
+        long(extraction, "extraction", F.col("source"), ["tp", "fp", "fn", "precision", "recall", "f1", "macro_f1"]),
+        long(retrieval, "retrieval", F.coalesce("kind", F.lit("all")), ["n", "mrr", "p_at_1", "misses"]),
+        long(integrity, "integrity", F.col("label"), ["ok", "n"]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def freeze(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n, hash): the fingerprints of the tables an evaluation rests on, to be stored beside its tasks."""
+    return reduce(DataFrame.unionByName, [fingerprint(df).select(F.lit(name).alias("table_name"), "n", "hash") for name, df in tables.items()])
+
+
+def check_frozen(frozen: DataFrame, tables: dict[str, DataFrame]) -> None:
+    """Raises ValueError where a table is no longer the one that was frozen, or was never frozen: scores would not compare."""
+    now = freeze(tables).withColumnRenamed("n", "n2").withColumnRenamed("hash", "hash2")
+    same = F.col("n").eqNullSafe(F.col("n2")) & F.col("hash").eqNullSafe(F.col("hash2"))
+    changed = now.join(frozen, "table_name", "left").where(~same).select("table_name").orderBy("table_name")
+    if names := [r["table_name"] for r in changed.collect()]:  # a row per table
+        raise ValueError("changed since they were frozen: " + ", ".join(names))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (n, hash) that tells whether a table's content changed, whatever its order."""
     return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")).alias("hash"))

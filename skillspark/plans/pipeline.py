@@ -9,6 +9,8 @@ from skillspark.functions import places, text
 from skillspark.operators import dedup, extract
 from skillspark.operators.graph import link_groups
 from skillspark.operators.warehouse import latest
+from skillspark.plans import oracles
+from skillspark.plans.serving import _WAREHOUSE_SQL
 from skillspark.session import cut_lineage, table
 
 
@@ -34,7 +36,12 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.assign_groups(records(spark, sf_dir), accents=False)
+    return dedup.assign_groups(records(spark, sf_dir))
+
+
+def duplicate_pairs_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By titles with their accents."""
+    return dedup.duplicate_signatures(dedup.signatures(records(spark, sf_dir))).select("t", "c", "t2", "c2")
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +75,11 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text", F.lit(None).cast("array<string>").alias("labels"))
 
 
+def texts_of(records: DataFrame) -> DataFrame:
+    """(record_id, text, labels) of job records."""
+    return records.select(F.col("rec_no").alias("record_id"), extract.record_text("title", "requirements_raw", "description").alias("text"), F.col("extra.skills_given").alias("labels"))
+
+
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.aliases_of(latest(table(spark, sf_dir, "skills"), "skill_id"))
 
@@ -85,9 +97,8 @@ def exact_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
-    texts = r.select(F.col("rec_no").alias("record_id"), extract.record_text("title", "requirements_raw", "description").alias("text"), F.col("extra.skills_given").alias("labels"))
-    return extract.extract_skills(cut_lineage(texts), cut_lineage(_aliases(spark, sf_dir)))
+    """All matches of all records with their evidence."""
+    return extract.extract_skills(cut_lineage(texts_of(records(spark, sf_dir))), cut_lineage(_aliases(spark, sf_dir)))
 
 
 def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +106,7 @@ def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.label_matches(labels, _aliases(spark, sf_dir)).select("record_id", "skill_id", "pos")
 
 
-def _ascii(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(strip_accents(replace(lower(coalesce({x}, '')), 'đ', 'd')), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g'))"
-
-
-def _norm(x: str) -> str:
-    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'))"
+_ascii, _norm = oracles.ascii_only, oracles.norm
 
 
 def _company_key(x: str) -> str:
@@ -113,15 +119,21 @@ def _sorted_words(x: str) -> str:
     return f"array_to_string(list_sort(string_split({x}, ' ')), ' ')"
 
 
-_SIGNED = f"""
+def _signed(title: str, measure) -> str:
+    """signed, sig and pairs: titles by an expression, their edits counted over another."""
+    return f"""
 WITH signed AS (
   SELECT rec_no, source, extra, requirements_raw, description, left(coalesce(nullif({_company_key('company')}, ''), {_ascii('title')}), 12) AS block,
-    {_sorted_words(_ascii('title'))} AS t, {_sorted_words('(' + _company_key('company') + ')')} AS c FROM job_records),
+    {_sorted_words(title)} AS t, {_sorted_words('(' + _company_key('company') + ')')} AS c FROM job_records),
 sig AS (SELECT DISTINCT block, t, c FROM signed),
 pairs AS (
   SELECT a.block, a.t, a.c, b.t AS t2, b.c AS c2 FROM sig a JOIN sig b ON a.block = b.block AND (a.t < b.t OR (a.t = b.t AND a.c < b.c))
-  WHERE levenshtein(a.t, b.t) <= floor(greatest(length(a.t), length(b.t)) * 0.125) AND levenshtein(a.c, b.c) <= floor(greatest(length(a.c), length(b.c)) * (1 - 88.0 / 100)))
+  WHERE levenshtein({measure('a.t')}, {measure('b.t')}) <= floor(greatest(length(a.t), length(b.t)) * 0.125) AND levenshtein(a.c, b.c) <= floor(greatest(length(a.c), length(b.c)) * (1 - 88.0 / 100)))
 """
+
+
+_SIGNED_ASCII = _signed(_ascii("title"), str)
+_SIGNED = _signed(_norm("title"), oracles.single_bytes)
 _GROUPS = """
 , firsts AS (SELECT block, t, c, min(rec_no) AS f FROM signed GROUP BY 1, 2, 3),
 e AS (
@@ -172,7 +184,8 @@ QUERIES = {
     "proj_seniority": (seniority, f"SELECT rec_no, {_MONTHS} AS months, {_CASE(_ascii('title'), places.LEVELS)} WHEN {_MONTHS} >= 60 THEN 'Cao cấp' WHEN {_MONTHS} >= 24 THEN 'Có kinh nghiệm' WHEN {_MONTHS} IS NOT NULL THEN 'Mới vào nghề' END AS seniority FROM job_records"),
     "proj_city_country": (locations, _LOCATIONS),
     "m3_blocking": (blocking, _SIGNED + " SELECT block, count(*) AS n FROM signed GROUP BY 1"),
-    "j11_duplicate_pairs": (duplicate_pairs, _SIGNED + " SELECT t, c, t2, c2 FROM pairs"),
+    "j11_duplicate_pairs": (duplicate_pairs, _SIGNED_ASCII + " SELECT t, c, t2, c2 FROM pairs"),
+    "j11_duplicate_pairs_accents": (duplicate_pairs_accents, _SIGNED + " SELECT t, c, t2, c2 FROM pairs"),
     "m5_duplicate_groups": (duplicate_groups, _recursive(_SIGNED) + _GROUPS + " SELECT rec_no, dup_group_id FROM grouped"),
     "m5_match_links": (match_links, """WITH RECURSIVE e AS (SELECT left_no a, right_no b FROM record_pairs WHERE is_match AND left_no <> right_no UNION SELECT right_no, left_no FROM record_pairs WHERE is_match AND left_no <> right_no),
         reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS node, least(a, min(b)) AS "group" FROM reach GROUP BY a"""),
@@ -181,9 +194,13 @@ QUERIES = {
     "a23_cross_source_groups": (cross_source, _recursive(_SIGNED) + _GROUPS + " SELECT dup_group_id, count(DISTINCT source) AS n_sources, count(*) AS n_records FROM grouped GROUP BY 1 HAVING count(DISTINCT source) > 1"),
     "a11_document_frequency": (document_frequency, _DF),
     "a11_common_tokens": (common_tokens, f"SELECT token, df FROM ({_DF}) WHERE df > greatest(3.0, 0.002 * (SELECT count(*) FROM documents WHERE {_ascii('text')} <> ''))"),
-    "m7_exact_skills": (exact_skills, None),
-    "m10_label_matches": (label_matches, None),
-    "m11_extracted_skills": (extracted_skills, None),
+    "m7_exact_skills": (exact_skills, _WAREHOUSE_SQL + oracles.ALIASES + oracles.exact("SELECT doc_id AS record_id, text FROM documents") + " SELECT record_id, skill_id, pos, size FROM ex"),
+    "m10_label_matches": (label_matches, _WAREHOUSE_SQL + oracles.ALIASES + oracles.LABELS + " SELECT record_id, skill_id, pos FROM lm"),
+    "m11_extracted_skills": (extracted_skills, _WAREHOUSE_SQL + oracles.ALIASES + oracles.LABELS
+        + oracles.exact(f"SELECT rec_no AS record_id, {oracles.RECORD_TEXT} AS text FROM job_records WHERE coalesce(len(extra.skills_given), 0) = 0") + oracles.fuzzy() + f"""
+        , mt AS (SELECT m.*, tk.text, {oracles.PLACE} FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz) m JOIN tk USING (record_id))
+        SELECT record_id, skill_id, canonical_name, skill_type, method, score, {oracles.EVIDENCE} AS evidence FROM mt
+        UNION ALL SELECT record_id, skill_id, canonical_name, skill_type, 'source_provided', 100::DOUBLE, canonical_name FROM lm"""),
 }
 
 

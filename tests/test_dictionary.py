@@ -56,7 +56,7 @@ def test_hierarchy(spark):
     assert rows(placed.select("skill_id", "parent_skill_id", "is_category")) == [("it", None, True), ("languages", "it", True), ("python", "languages", False), ("soft-skills", None, True), ("teamwork", "soft-skills", False)]
     assert rows(unknown) == [("nosuch",)]
     edges = placed.selectExpr("skill_id AS id", "parent_skill_id AS parent")
-    assert ("it", "python", 2) in rows(hierarchy.closure(hierarchy.unfold(edges)))
+    assert ("it", "python", 2) in rows(hierarchy.closure(hierarchy.unfold_paths(edges)))
 
 
 def test_variant_rows(spark):

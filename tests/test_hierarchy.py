@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from skillspark.operators.hierarchy import closure, latest_parents, unfold
+from skillspark.operators.hierarchy import closure, latest_parents, unfold, unfold_paths
 from tests.conftest import rows
 
 EDGES = "id string, parent string"
@@ -55,9 +55,14 @@ def test_latest_row_counts(spark):
 
 
 def test_closure(spark):
-    got = closure(unfold(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], EDGES)))
+    got = closure(unfold_paths(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], EDGES)))
     assert rows(got) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("b", "b", 0), ("b", "c", 1), ("c", "c", 0)]
 
 
 def test_empty(spark):
     assert rows(unfold(spark.createDataFrame([], EDGES))) == []
+
+
+def test_closure_of_ids_that_hold_the_separator(spark):
+    got = closure(unfold_paths(spark.createDataFrame([("a > b", None), ("c", "a > b")], EDGES)))
+    assert rows(got) == [("a > b", "a > b", 0), ("a > b", "c", 1), ("c", "c", 0)]

@@ -82,3 +82,49 @@ def test_closure_mismatch(spark):
     s = "ancestor_id string, descendant_id string"
     a, b = spark.createDataFrame([("x", "y"), ("x", "z")], s), spark.createDataFrame([("x", "y"), ("y", "z")], s)
     assert rows(quality.closure_mismatch(a, b)) == [("x", "z", "stored"), ("y", "z", "built")]
+
+
+def test_gold_scores(spark):
+    gold = spark.createDataFrame([(1, "a", "x"), (1, "a", "oov:1"), (2, "b", "y")], SET)
+    found = spark.createDataFrame([(1, "a", "x"), (2, "b", "z")], SET)
+    got = {(r["vocabulary"], r["source"]): (r["tp"], r["fp"], r["fn"], r["macro_f1"]) for r in quality.score_gold(gold, found).collect()}
+    assert got["end_to_end", "all"] == (1, 1, 2, pytest.approx(1 / 3)) and got["in_vocabulary", "all"] == (1, 1, 1, 0.5)
+    assert got["end_to_end", "a"][:3] == (1, 0, 1) and got["in_vocabulary", "a"][:3] == (1, 0, 0) and len(got) == 6
+
+
+def test_gold_standard(spark):
+    standard = lambda names: quality.gold_standard(spark.createDataFrame([(n,) for n in names], "annotator string"), ("model",)).first()[0]
+    assert [standard(x) for x in (["model", "model"], ["model", "me"], [None], [])] == ["llm_assisted_gold", "manual_gold", "manual_gold", "manual_gold"]
+
+
+def test_frozen_tables(spark):
+    tables = {"a": spark.range(10), "b": spark.range(5)}
+    frozen = quality.freeze(tables)
+    quality.check_frozen(frozen, {"a": tables["a"].repartition(3), "b": tables["b"]})
+    with pytest.raises(ValueError, match="b, c"):
+        quality.check_frozen(frozen, {"a": tables["a"], "b": spark.range(1, 6), "c": spark.range(1)})
+
+
+def test_report(spark):
+    s = spark.createDataFrame([("a", 1, 0, 1, 1.0, 0.5, 0.6, 0.6)], "source string, tp long, fp long, fn long, precision double, recall double, f1 double, macro_f1 double")
+    r = spark.createDataFrame([(None, 2, 0.5, 0.5, 0)], "kind string, n long, mrr double, p_at_1 double, misses long")
+    i = spark.createDataFrame([("key x", True, 0)], "label string, ok boolean, n long")
+    got = {(x["section"], x["name"], x["metric"]): x["value"] for x in quality.evaluation_report(s, r, i).collect()}
+    assert got["extraction", "a", "recall"] == got["retrieval", "all", "mrr"] == 0.5 and got["integrity", "key x", "ok"] == 1.0 and len(got) == 13
+
+
+def test_length_bands_are_thirds(spark):
+    for n in (1, 2, 3, 7, 11):
+        df = spark.createDataFrame([("s", str(i).zfill(3), i) for i in range(n)] + [(None, "x", 5)], "source string, source_id string, l int")
+        got = [r["length_band"] for r in quality.length_bands(df, F.col("l")).where("source = 's'").orderBy("l").collect()]
+        assert got == [("short", "medium", "long")[min(k, 2)] for k, w in enumerate([n // 3 + (j < n % 3) for j in range(3)]) for _ in range(w)]
+
+
+def test_input_fingerprint(spark):
+    import hashlib
+    import json
+
+    fields = {"title": 'a "b" \n/ế', "description": None}
+    df = spark.createDataFrame([(fields["title"], None)], "title string, description string")
+    want = hashlib.sha256(json.dumps(fields, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    assert df.select(quality.input_sha256(["title", "description"])).first()[0] == want
