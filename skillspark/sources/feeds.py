@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from skillspark.functions.text import BLANKS
+from skillspark.functions.text import BLANKS, html_to_text
 
 
 def keywords(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +75,7 @@ def ld_salary(posting: Column) -> Column:
     at = lambda k: F.get_json_object(posting, f"$.baseSalary.{k}")
     amount = at("value.value")
     text = F.concat(amount, F.lit(" "), F.coalesce(at("currency"), F.lit("")), F.lit("/"), F.coalesce(at("value.unitText"), F.lit("")))
-    return F.when(amount.rlike(r"^[0-9.]*[0-9][0-9.]*$"), F.trim(text))
+    return F.when(amount.rlike(r"^([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), F.trim(text))
 
 
 def ld_months(posting: Column) -> Column:
@@ -150,11 +150,16 @@ def listing_cards(pages: DataFrame, card: str, fields: dict[str, str]) -> DataFr
     return pages.select("page", "html").mapInPandas(read, schema)
 
 
-def with_details(listing: DataFrame, details: DataFrame, key: str = "slug") -> DataFrame:
-    """listing with the fields of its detail pages(key, html); a posting without one keeps its row."""
+def with_details(listing: DataFrame, details: DataFrame, key: str = "slug", requirements: tuple[str, list[str]] | None = None) -> DataFrame:
+    """listing with the fields of its detail pages(key, html); a posting without one keeps its row.
+
+    requirements: the heading of the requirements in a page's text and the headings that may follow.
+    """
     ld = json_ld_posting(F.col("html"))
-    parsed = details.select(key, ld.alias("ld")).select(
+    needs = section(html_to_text("html"), *requirements) if requirements else F.lit(None).cast("string")
+    parsed = details.select(key, ld.alias("ld"), needs.alias("requirements")).select(
         key,
+        "requirements",
         F.get_json_object("ld", "$.description").alias("description_html"),
         F.get_json_object("ld", "$.datePosted").alias("date_posted"),
         F.get_json_object("ld", "$.validThrough").alias("valid_through"),
@@ -168,6 +173,19 @@ def with_details(listing: DataFrame, details: DataFrame, key: str = "slug") -> D
     return listing.join(parsed, key, "left")
 
 
+def detail_errors(listing: DataFrame, details: DataFrame, key: str = "slug") -> DataFrame:
+    """(key, error) of postings of the listing whose detail page is missing or carries no linked data."""
+    pages = details.groupBy(key).agg(F.max(json_ld_posting(F.col("html")).isNotNull()).alias("ok"))
+    found = listing.select(key).distinct().join(pages, key, "left").where("ok IS NULL OR NOT ok")
+    return found.select(key, F.when(F.col("ok").isNull(), "no page").otherwise("no linked data").alias("error"))
+
+
+def until_empty(pages: DataFrame, empty: Column) -> DataFrame:
+    """pages(keyword, page, ...) of every keyword before its first empty one, as a crawl that stops there gives them."""
+    first = pages.where(empty).groupBy("keyword").agg(F.min("page").alias("_first"))
+    return pages.join(first, "keyword", "left").where("_first IS NULL OR page < _first").drop("_first")
+
+
 class _Page(InputPartition):
     def __init__(self, keyword: str, page: int):
         self.keyword, self.page = keyword, page
@@ -176,8 +194,11 @@ class _Page(InputPartition):
 class PagedSource(DataSource):
     """Pages of a source as rows (keyword, page, body).
 
-    Options: `template`, a path or address with {keyword} and {page}; `keywords`,
-    a JSON list; `pages`, how many; `retries` and `wait` for failed reads. Each
+    Options: `template`, a path or address with {keyword} and {page}, or {offset}
+    and {limit} for sources that count rows; `keywords`, a JSON list; `pages`, how
+    many at most; `limit`, rows of a page; `total`, the dotted name of the field of
+    the first page that tells how many pages there are; `retries` and `wait` for
+    failed reads. Each
     page of each keyword is a partition, so pages are read in parallel and a
     lost task reads its page again. A missing page has no row.
     """
@@ -198,10 +219,22 @@ class _PagedReader(DataSourceReader):
         self.template = options["template"]
         self.keywords = json.loads(options.get("keywords", '[""]'))
         self.pages = int(options.get("pages", 1))
+        self.limit, self.total = int(options.get("limit", 100)), options.get("total", "")
         self.retries, self.wait = int(options.get("retries", 3)), float(options.get("wait", 1.0))
 
     def partitions(self):
-        return [_Page(k, p) for k in self.keywords for p in range(1, self.pages + 1)]
+        return [_Page(k, p) for k in self.keywords for p in range(1, self._pages_of(k) + 1)]
+
+    def _pages_of(self, keyword: str) -> int:
+        """As many pages as the first one says, at most `pages`."""
+        if not self.total:
+            return self.pages
+        for _, _, body in self.read(_Page(keyword, 1)):
+            value = json.loads(body)
+            for name in self.total.split("."):
+                value = value.get(name) if isinstance(value, dict) else None
+            return min(self.pages, int(value)) if value is not None else self.pages
+        return 0
 
     def read(self, partition):
         import time
@@ -210,7 +243,7 @@ class _PagedReader(DataSourceReader):
         from urllib.request import Request, urlopen
 
         remote = "://" in self.template
-        place = self.template.format(keyword=quote(partition.keyword) if remote else partition.keyword, page=partition.page)
+        place = self.template.format(keyword=quote(partition.keyword) if remote else partition.keyword, page=partition.page, offset=(partition.page - 1) * self.limit, limit=self.limit)
         for attempt in range(self.retries):
             try:
                 if remote:
@@ -232,15 +265,18 @@ class _PagedReader(DataSourceReader):
                 return
 
 
-def read_pages(spark: SparkSession, template: str, words: list[str], pages: int) -> DataFrame:
+def read_pages(spark: SparkSession, template: str, words: list[str], pages: int, **options: object) -> DataFrame:
+    """Pages of a paged source; options as PagedSource names them."""
     spark.dataSource.register(PagedSource)
-    return spark.read.format("paged").options(template=template, keywords=json.dumps(words), pages=str(pages)).load()
+    every = {"template": template, "keywords": json.dumps(words), "pages": str(pages)} | {k: str(v) for k, v in options.items()}
+    return spark.read.format("paged").options(**every).load()
 
 
-def page_rows(pages: DataFrame, source: str, schema: str, items: Callable[[Column], Column]) -> DataFrame:
-    """Items of JSON page bodies, tagged with keyword, source and a running row number within the source's pages."""
+def page_rows(pages: DataFrame, source: str, schema: str, items: Callable[[Column], Column], limit: int | None = None) -> DataFrame:
+    """Items of JSON page bodies, tagged with keyword, source and their place; with limit, the rows of a page, also with their running number `_row_id`."""
     each = pages.select("keyword", "page", F.posexplode(F.from_json(items(F.col("body")), f"array<struct<{schema}>>")).alias("pos", "item"))
-    return each.select(F.col("keyword").alias("_query"), F.lit(source).alias("_source"), "page", "pos", "item.*")
+    number = [((F.col("page") - 1) * limit + F.col("pos")).cast("long").alias("_row_id")] if limit else []
+    return each.select(F.col("keyword").alias("_query"), F.lit(source).alias("_source"), "page", "pos", *number, "item.*")
 
 
 def write_json(df: DataFrame, path: str) -> None:

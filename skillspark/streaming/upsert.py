@@ -13,18 +13,36 @@ def _version(path: str, batch: int) -> str:
     return f"{path}/v={batch:010d}"
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The latest version of the table; versions are never changed, so readers and retried batches see whole ones."""
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole versions of the table, oldest first."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
-        return None
-    done = sorted(
-        s.getPath().getName() for s in fs.listStatus(fs_path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    )
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The latest version of the table, or the latest before a number; a version is whole or not there."""
+    done = [v for v in versions(spark, path) if before is None or v < _version("", before).lstrip("/")]
     return spark.read.parquet(f"{path}/{done[-1]}") if done else None
 
 
+def write_version(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Adds df as the newest version of a table and removes all but the `keep` newest ones; a reader sees the old or the new table, never a part."""
+    done = versions(df.sparkSession, path)
+    df.write.mode("overwrite").parquet(_version(path, int(done[-1].removeprefix("v=")) + 1 if done else 0))
+    prune(df.sparkSession, path, keep)
+
+
+def prune(spark: SparkSession, path: str, keep: int) -> None:
+    """Removes all but the `keep` newest whole versions."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in versions(spark, path)[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+
+
 def fold(old: DataFrame | None, lines: DataFrame) -> DataFrame:
     """(raw_key, source, line, file, seq) with the row of the last file, and there the last line, of every key."""
     keyed = line_key(lines).select("raw_key", "source", "line", "file", "seq")
@@ -40,8 +58,10 @@ def stream_upsert(spark: SparkSession, lines_dir: str, table_path: str, checkpoi
 
     def write(batch: DataFrame, number: int) -> None:
         ordered = batch.where(F.trim("line") != "").withColumn("seq", F.col("seq") + F.monotonically_increasing_id())
-        previous = current(batch.sparkSession, table_path) if number else None
+        # a batch that runs again must not read the version that it writes again
+        previous = current(batch.sparkSession, table_path, before=number)
         fold(previous, ordered).write.mode("overwrite").parquet(_version(table_path, number))
+        prune(batch.sparkSession, table_path, 2)  # the one before stays for readers that have opened it
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

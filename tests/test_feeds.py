@@ -84,6 +84,41 @@ def test_upsert(spark):
     assert rows(feeds.upsert(old, new, "key", "at")) == [("k", "c", 1), ("l", "b", 1)]
 
 
+def test_pages_tell_how_many_there_are(spark, tmp_path):
+    for k in range(1, 6):
+        (tmp_path / f"q-{(k - 1) * 2}-2.json").write_text(json.dumps({"meta": {"total_pages": 3}, "rows": [{"v": 10 * k}, {"v": 10 * k + 1}] if k != 2 else []}))
+    pages = feeds.read_pages(spark, f"{tmp_path}/{{keyword}}-{{offset}}-{{limit}}.json", ["q", "none"], 5, limit=2, total="meta.total_pages")
+    assert sorted((r["keyword"], r["page"]) for r in pages.collect()) == [("q", 1), ("q", 2), ("q", 3)]
+    items = lambda body: F.get_json_object(body, "$.rows")
+    found = feeds.page_rows(pages, "s", "v int", items, limit=2)
+    assert sorted((r["_row_id"], r["v"]) for r in found.collect()) == [(0, 10), (1, 11), (4, 30), (5, 31)]
+    before = feeds.until_empty(pages, items(F.col("body")) == "[]")
+    assert [r["page"] for r in before.collect()] == [1]
+
+
+def test_details_and_their_errors(spark):
+    listing = spark.createDataFrame([("a",), ("b",), ("c",)], "slug string")
+    ld = '<script type="application/ld+json">{"@type": "JobPosting", "description": "d"}</script>'
+    pages = spark.createDataFrame([("a", ld + "<h2>Your skills</h2><p>Know SQL.</p><h2>Why us</h2>"), ("b", "<p>gone</p>")], "slug string, html string")
+    got = {r["slug"]: r["requirements"] for r in feeds.with_details(listing, pages, requirements=("Your skills", ["Why us", "Benefits"])).collect()}
+    assert got == {"a": "Know SQL.", "b": None, "c": None}
+    assert rows(feeds.detail_errors(listing, pages)) == [("b", "no linked data"), ("c", "no page")]
+
+
+def test_amounts(spark):
+    texts = {"1.2.3": None, "12.5": "12.5 USD/MONTH", ".5": ".5 USD/MONTH", ".": None, "12": "12 USD/MONTH"}
+    post = [(json.dumps({"baseSalary": {"currency": "USD", "value": {"value": t, "unitText": "MONTH"}}}),) for t in texts]
+    assert [r[0] for r in spark.createDataFrame(post, "p string").select(feeds.ld_salary(F.col("p"))).collect()] == list(texts.values())
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(4):
+        upsert.write_version(spark.range(n + 1), path)
+    assert upsert.current(spark, path).count() == 4 and upsert.versions(spark, path) == ["v=0000000002", "v=0000000003"]
+    assert upsert.current(spark, path, before=3).count() == 3 and upsert.current(spark, str(tmp_path / "no")) is None
+
+
 FEED_A = "id long, title string, employer_info struct<name:string>, places string, contact_address string, salary_min long, salary_max long, level_requirement int, working_method int, job_requirement string, other_requirement string, created_at long, _query string"
 FEED_B = "_row_id long, job_title string, job_title_short string, company_name string, job_location string, job_country string, job_skills string, job_posted_date string, salary_year_avg double, job_schedule_type string"
 FEED_C = "job_key string, slug string, title string, company string, location string, url string, salary_raw string, requirements string, description string, date_posted string, valid_through string, employment_type string, skills array<string>, skills_ld array<string>, months_experience int, industry string"
