@@ -237,6 +237,11 @@ def _short(word: str) -> bool:
     return 2 <= len(word) <= 5 and not set(word) & set("aeiouy")
 
 
+def _abbreviated(word: str, text: str) -> bool:
+    """Whether a word with vowels stands in capitals in a text of mixed case, so that it may be initials or a name."""
+    return 2 <= len(word) <= 5 and word.isalpha() and word.upper() in text and text.upper() != text
+
+
 def _fuzzy_country(words: tuple[str, ...]) -> bool:
     t = _fuzzy_term(words, 6)
     return bool(t) and TERMS[t][0] == "country"
@@ -341,12 +346,13 @@ def _parse(batches: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[
             if all(len(w) == 1 for w in tokens) and len(tokens) > 1 or len(tokens) == 1 and _short(tokens[0]):
                 short = "".join(tokens)
             initial = not short and len(tokens) > 1 and any(len(w) == 1 for w in tokens)
-            rows.append((text, tokens, "".join(tokens), n.line, n.legal, short, initial))
-        yield pd.DataFrame(rows, columns=["company", "tokens", "brand", "line", "legal", "short", "initial"])
+            capitals = not short and len(tokens) == 1 and _abbreviated(tokens[0], text)
+            rows.append((text, tokens, "".join(tokens), n.line, n.legal, short, initial, capitals))
+        yield pd.DataFrame(rows, columns=["company", "tokens", "brand", "line", "legal", "short", "initial", "capitals"])
 
 
 def read_names(companies: DataFrame) -> DataFrame:
-    """(company, tokens, brand, line, legal, short, initial) of distinct companies(company)."""
+    """(company, tokens, brand, line, legal, short, initial, capitals) of distinct companies(company)."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -358,7 +364,7 @@ def read_names(companies: DataFrame) -> DataFrame:
     common = frozenset(r["w"] for r in counted.where(F.col("n") >= least).collect())
     return companies.mapInPandas(
         lambda batches: _parse(batches, common),
-        "company string, tokens array<string>, brand string, line string, legal string, short string, initial boolean",
+        "company string, tokens array<string>, brand string, line string, legal string, short string, initial boolean, capitals boolean",
     )
 
 
@@ -503,14 +509,26 @@ def organisations(companies: DataFrame) -> DataFrame:
         placed.groupBy("root", "line").agg(F.count("*").alias("n"), F.max("legal").alias("legal")), ["root", "line"]
     ).select("root", "line", "legal", "n", "tokens")
     attached = cut_lineage(_attach(names, known))
+    # words in capitals that nobody spells otherwise: the initials of a full name if one fits, else a brand of their own
+    lone = placed.join(names.select("company", "capitals"), "company").groupBy("root").agg(F.min("capitals").alias("c")).where("c").select("root")
+    asking = names.where("capitals").join(placed.join(lone, "root", "left_semi").select("company"), "company", "left_semi").withColumn("short", F.col("brand"))
+    moved = cut_lineage(_attach(asking, known.join(lone, "root", "left_anti")))
     alone = names.where("short <> '' OR initial").join(attached.select("company"), "company", "left_anti")
     return (
-        placed.select("company", "root", "line")
+        placed.select("company", "root", "line").join(moved.select("company"), "company", "left_anti")
+        .unionByName(moved)
         .unionByName(attached)
         .unionByName(alone.select("company", F.concat(F.lit("?"), "brand").alias("root"), F.concat_ws("/", "line", "legal").alias("line")))
     )
 
 
+def members(companies: DataFrame) -> DataFrame:
+    """(company, organisation): one row per spelling, with the smallest spelling of its organisation; nulls and blanks are left out."""
+    o = cut_lineage(organisations(companies))
+    first = o.groupBy("root", "line").agg(F.min("company").alias("organisation"))
+    return o.join(first, ["root", "line"]).select("company", "organisation")
+
+
 def same_organisation(companies: DataFrame) -> DataFrame:
     """(company_a, company_b): every pair of different spellings of one organisation, company_a the smaller in code points.
 

@@ -12,6 +12,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_organisation(table(spark, sf_dir, "job_records"))
 
 
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.members(table(spark, sf_dir, "job_records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.match_groups(table(spark, sf_dir, "record_pairs"))
 
@@ -104,7 +108,7 @@ QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY a DESC, b
 """
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_merged": p4_merged, "p8_pack": p8_pack, "p8_report": p8_report, "p8_faults": p8_faults, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_report": p10_report}
+    return {"p1_found": p1_found, "p1_members": p1_members, "p3_found": p3_found, "p4_found": p4_found, "p4_merged": p4_merged, "p8_pack": p8_pack, "p8_report": p8_report, "p8_faults": p8_faults, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_report": p10_report}
 
 
 def oracle_sql() -> dict[str, str]:

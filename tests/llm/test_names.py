@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from skillspark.llm.names import INITIAL, NEVER, Name, aligned, assignment, brand_keys, deletes, near, organisations, same_organisation, token_cost, variant_keys
+from skillspark.llm.names import INITIAL, NEVER, Name, aligned, assignment, brand_keys, deletes, members, near, organisations, same_organisation, token_cost, variant_keys
 from tests.conftest import rows
 
 FIRM = ["Công ty TNHH Phần mềm Kifi Sopege", "Kifi Sopege Software Ltd", "KIFI-SOPEGE SOFTWARE CO., LTD", "KifiSopege SW", "Sopege Kifi Software", "Kifi Sopegee Software Limited", "K. Sopege Software Ltd", "Kifi Sopege Co Ltd"]
@@ -85,6 +85,11 @@ def test_line_of_business_divides_a_brand(spark):
     assert found == want
 
 
+def test_members_and_pairs_agree(spark):
+    of = dict(members(table(spark, FIRM + OTHER + [None, " "])).collect())
+    assert set(of) == set(FIRM + OTHER) and set(of.values()) == {min(FIRM), min(OTHER)}
+
+
 def test_short_forms_and_aliases(spark):
     names = ["Wexbury & Tolland Consulting", "W&T Consulting", "Tolland & Wexbury", "Mộc Sao Retail", "MSR Group (Mộc Sao)", "Lac Hong Giang Bank", "LHGBank"]
     groups = {}
@@ -93,6 +98,14 @@ def test_short_forms_and_aliases(spark):
     assert sorted(map(len, groups.values())) == [2, 2, 3]
 
 
+def test_initials_with_vowels(spark):
+    names = ["An Binh Chau Foods Ltd", "An Binh Chau Thuc pham", "ABC Foods", "AVA Foods", "Ava Foods", "An Viet Anh Foods", "OPI Travel"]
+    groups = {}
+    for company, root, line in rows(organisations(table(spark, names))):
+        groups.setdefault((root, line), set()).add(company)
+    assert {"ABC Foods", "An Binh Chau Foods Ltd", "An Binh Chau Thuc pham"} in groups.values() and {"AVA Foods", "Ava Foods"} in groups.values() and {"OPI Travel"} in groups.values()
+
+
 def test_nulls_blanks_repeats_and_odd_texts(spark):
     names = [None, "", "  ", " ", "公司", "公司", "***", "A" * 20_000, "Acme Foods", "ACME FOODS", "ACME FOODS"]
     assert rows(same_organisation(table(spark, names))) == [("ACME FOODS", "Acme Foods")]
