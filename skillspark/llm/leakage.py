@@ -84,36 +84,37 @@ def _hashed(words: list[str], memory: _WordHashes) -> np.ndarray:
 
 
 def item_texts(items: DataFrame) -> DataFrame:
-    """(text_no, ids, words, facts) of the different texts of items(item_id, text).
+    """(text_no, ids, words, facts) of the different texts of items(item_id, text); words are 64-bit hashes.
 
     A word is a fact if it holds a digit or if other words stand in its place,
     between the same neighbours, in any text.
     """
 
-    @F.pandas_udf("array<string>")
-    def folded(texts: pd.Series) -> pd.Series:
-        return texts.map(fold_words)
-
-    read = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", folded("text").alias("words")).where(F.size("words") > 0)
-    texts = cut_lineage(read.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).withColumn("text_no", F.monotonically_increasing_id()))
-    at = lambda k: F.coalesce(F.try_element_at("words", k), F.lit(""))
-    before = F.when(F.col("k") > 0, at(F.greatest(F.col("k"), F.lit(1)))).otherwise(F.lit(""))
-    placed = texts.select("text_no", "words", F.posexplode("words").alias("k", "x")).select("text_no", "k", "x", before.alias("b"), at(F.col("k") + 2).alias("a"))
+    @F.pandas_udf("hashes array<long>, digits array<boolean>")
+    def folded(texts: pd.Series) -> pd.DataFrame:
+        words, memory = [fold_words(t) for t in texts], _WordHashes()
+        return pd.DataFrame({"hashes": [_hashed(w, memory).view(np.int64) for w in words], "digits": [[any(c.isdigit() for c in x) for x in w] for w in words]})
+
+    read = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", folded("text").alias("f")).select("item_id", "f.digits", F.col("f.hashes").alias("words"))
+    read = read.where(F.size("words") > 0)
+    texts = cut_lineage(read.groupBy("words", "digits").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).withColumn("text_no", F.monotonically_increasing_id()))
+    at = lambda k: F.coalesce(F.try_element_at("words", k), F.lit(0).cast("long"))
+    before = F.when(F.col("k") > 0, at(F.greatest(F.col("k"), F.lit(1)))).otherwise(F.lit(0).cast("long"))
+    placed = texts.select("text_no", "words", "digits", F.posexplode("words").alias("k", "x")).select("text_no", "k", "x", F.element_at("digits", F.col("k") + 1).alias("digit"), before.alias("b"), at(F.col("k") + 2).alias("a"))
     places = placed.groupBy("b", "a").agg((F.count_distinct("x") > 1).alias("varies"))
-    fact = F.struct("k", (F.col("varies") | F.col("x").rlike(r"\p{Nd}")).alias("f"))
+    fact = F.struct("k", (F.col("varies") | F.col("digit")).alias("f"))
     facts = placed.join(places, ["b", "a"]).groupBy("text_no").agg(F.array_sort(F.collect_list(fact)).alias("f")).select("text_no", F.col("f.f").alias("facts"))
-    return texts.join(facts, "text_no")
+    return texts.drop("digits").join(facts, "text_no")
 
 
 def seed_table(texts: DataFrame) -> DataFrame:
     """(text_no, seed, size, needed): the seeds of every text, and how many different ones a document needs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = _WordHashes()
         for b in batches:
             rows = []
             for no, words in zip(b["text_no"], b["words"]):
-                h = _hashed(words, memory)
+                h = np.asarray(words, dtype=np.int64).view(np.uint64)
                 size = SEED_WORDS
                 seeds = np.unique(gram_hashes(h, size))
                 if len(seeds) < MIN_SEEDS:
@@ -137,7 +138,7 @@ def _seed_map(seeds: DataFrame) -> np.ndarray:
 
 
 def seed_hits(documents: DataFrame, bits: np.ndarray, sizes: list[int], needed: int, reach: int) -> DataFrame:
-    """(doc_id, seeds, places, at, words) of documents that hold `needed` different n-grams of the map: the n-grams with their places, and the words up to `reach` around them with their places."""
+    """(doc_id, seeds, places, at, words) of documents that hold `needed` different n-grams of the map: the n-grams with their places, and the hashes of the words up to `reach` around them with their places."""
     shared = documents.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,27 +160,28 @@ def seed_hits(documents: DataFrame, bits: np.ndarray, sizes: list[int], needed:
             for d, hits in found.items():
                 if len({s for s, _ in hits}) < needed:
                     continue
-                words, first = texts[d], int(starts[d])
+                first = int(starts[d])
+                words = every[first : starts[d + 1]].view(np.int64)
                 near = np.zeros(len(words), dtype=bool)
                 for _, k in hits:
                     near[max(0, k - first - reach) : k - first + reach] = True
-                at = np.flatnonzero(near).tolist()
-                rows.append((b["doc_id"].iloc[d], [s for s, _ in hits], [k - first for _, k in hits], at, [words[x] for x in at]))
+                at = np.flatnonzero(near)
+                rows.append((b["doc_id"].iloc[d], [s for s, _ in hits], [k - first for _, k in hits], at, words[at]))
             yield pd.DataFrame(rows, columns=["doc_id", "seeds", "places", "at", "words"])
 
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
-    return texts.mapInPandas(run, "doc_id long, seeds array<long>, places array<int>, at array<int>, words array<string>")
+    return texts.mapInPandas(run, "doc_id long, seeds array<long>, places array<int>, at array<int>, words array<long>")
 
 
 def align(item: np.ndarray, facts: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
-    """The best local alignment: pairs (place in item, place in doc) in order, matches and mismatches alike. Negative ids match nothing."""
+    """The best local alignment: pairs (place in item, place in doc) in order, matches and mismatches alike."""
     n, m = len(item), len(doc)
     if not n or not m:
         return []
     h = np.zeros((n + 1, m + 1), dtype=np.int32)
     steps = np.arange(1, m + 1, dtype=np.int32) * -GAP
     for i in range(n):
-        same = (doc == item[i]) & (item[i] >= 0)
+        same = doc == item[i]
         diagonal = h[i, :-1] + np.where(same, MATCH, FACT_MISMATCH if facts[i] else MISMATCH)
         best = np.maximum(np.maximum(diagonal, h[i, 1:] + GAP), 0)
         # gaps in the item: running maximum of best + |GAP| * place
@@ -187,7 +189,7 @@ def align(item: np.ndarray, facts: np.ndarray, doc: np.ndarray) -> list[tuple[in
     i, j = np.unravel_index(int(h.argmax()), h.shape)
     out = []
     while i > 0 and j > 0 and h[i, j] > 0:
-        same = item[i - 1] >= 0 and item[i - 1] == doc[j - 1]
+        same = item[i - 1] == doc[j - 1]
         if h[i, j] == h[i - 1, j - 1] + (MATCH if same else FACT_MISMATCH if facts[i - 1] else MISMATCH):
             i, j = i - 1, j - 1
             out.append((int(i), int(j)))
@@ -198,14 +200,22 @@ def align(item: np.ndarray, facts: np.ndarray, doc: np.ndarray) -> list[tuple[in
     return out[::-1]
 
 
-def cover(words: list[str], item: list[str], facts: np.ndarray) -> tuple[float, float]:
-    """(part of the item's words, part of its facts in the stretches) that the words give."""
-    ids = {w: k for k, w in enumerate(dict.fromkeys(item))}
-    a = np.array([ids[w] for w in item], dtype=np.int32)
-    b = np.array([ids.get(w, -2) for w in words], dtype=np.int32)
-    # no alignment gives more of an item than its words that stand there
-    if np.isin(a, b).mean() < MIN_COVER:
-        return 0.0, 0.0
+def in_order(b: np.ndarray, a: np.ndarray) -> int:
+    """Length of the longest common subsequence of b and a, the rows of its table as bits of one number."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    open_ = every
+    for x in b.tolist():
+        if at := places.get(x):
+            met = open_ & at
+            open_ = ((open_ + met) | (open_ - met)) & every
+    return len(a) - open_.bit_count()
+
+
+def cover(b: np.ndarray, a: np.ndarray, facts: np.ndarray) -> tuple[float, float]:
+    """(part of the item's words a, part of its facts in the stretches) that the words b give."""
     first = align(a, facts, b)
     if not first:
         return 0.0, 0.0
@@ -258,12 +268,15 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for d, places, at, near, ids, item, facts in zip(*(b[c] for c in ("doc_id", "places", "at", "near", "ids", "words", "facts"))):
-                item, at = list(item), np.asarray(at)
-                reach = len(item) + len(item) // 2
-                inside = np.zeros(len(at), dtype=bool)
-                for p in places:
-                    inside[np.searchsorted(at, p - reach) : np.searchsorted(at, p + reach)] = True
-                part, agree = cover([near[x] for x in np.flatnonzero(inside)], item, np.asarray(facts, dtype=bool))
+                reach, places = len(item) + len(item) // 2, np.asarray(places, dtype=np.int64)
+                edges = np.zeros(len(at) + 1, dtype=np.int32)
+                np.add.at(edges, np.searchsorted(at, places - reach), 1)
+                np.add.at(edges, np.searchsorted(at, places + reach), -1)
+                words = near[np.cumsum(edges[:-1]) > 0]
+                # no alignment gives more of an item than the longest run of its words, with gaps, that stands there in order
+                if in_order(words, item) < MIN_COVER * len(item):
+                    continue
+                part, agree = cover(words, item, np.asarray(facts, dtype=bool))
                 if part >= MIN_COVER and agree >= MIN_FACTS:
                     out += [(d, i) for i in ids]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from skillspark.llm import leakage
-from skillspark.llm.leakage import align, fold_words, leaks
+from skillspark.llm.leakage import align, fold_words, in_order, leaks
 from tests.conftest import rows
 
 A = "The night school in Harrow rents 262 sewing machines for one term and returns 9 before midterm. Supervisor Button insists that every amber card must sit left of its twin unless the bell has rung 6 times."
@@ -26,6 +26,18 @@ def test_alignment_follows_gaps():
     assert align(item, np.zeros(5, dtype=bool), np.array([], dtype=int)) == []
 
 
+def test_words_in_order():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(12))] for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b, 1):
+                row[j] = old[j - 1] + 1 if x == y else max(old[j], row[j - 1])
+        assert in_order(np.array(b, dtype=np.int64), np.array(a, dtype=np.int64)) == row[-1]
+
+
 def test_whole_part_and_altered_copies(spark):
     words = A.split()
     whole = "Intro text. " + A.upper() + " More text."
