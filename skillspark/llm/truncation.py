@@ -15,7 +15,9 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,6 +49,9 @@ MAX_CLOSING = 200
 #: Last words of closing lines after which dots leave nothing out (fixed values).
 AND_SO_ON = ("etc", "v.v", "vv")
 
+#: Prefixes of words are tabulated up to so many letters; longer ones are compared with the words that share so many.
+LONG_WORD = 64
+
 #: Longer than any mark behind a text; several marks are taken off one after the other.
 TAIL = 160
 
@@ -82,7 +87,9 @@ def plain_lines(text: str) -> tuple[list[str], bool]:
 
 def words(sentence: str) -> list[str]:
     """Lower-case words, digits masked, behind the mark of a sentence's start."""
-    return ["<s>", *(_DIGITS.sub("0", w) for w in _TOKEN.findall(_BULLET.sub("", sentence).lower()))]
+    if mark := _BULLET.match(sentence):
+        sentence = sentence[mark.end() :]
+    return ["<s>", *_TOKEN.findall(_DIGITS.sub("0", sentence.lower()))]
 
 
 def finished(lines: list[str]) -> Iterator[str]:
@@ -111,90 +118,119 @@ def closing_pattern(line: str) -> str:
 CLOSING = "\x1e"
 
 
-def corpus_counts(documents: DataFrame) -> DataFrame:
-    """(word, key, ends, mids): rows with a word alone count it, rows with a key alone how often a context ends a sentence or goes on.
+#: What is read of the texts: counts of words and contexts (no end), and the unfinished ends.
+READ = "is_end boolean, word string, key long, ends long, mids long, doc_id long, source string, n_chars long, n_bytes long, torn boolean, open boolean, closing string, last string, tri long, bi long, uni long, stem long"
+_NAMES = [part.split()[0] for part in READ.split(", ")]
+
+
+def _frame(size: int, **columns: object) -> pd.DataFrame:
+    """Rows of READ, all other columns null."""
+    return pd.DataFrame({c: columns.get(c, pd.Series([None] * size, dtype="object")) for c in _NAMES})
 
-    Rows with both hold a last line and a key of the text before it.
 
-    Keys of kind 4 are a word with a proper prefix of the word that follows it:
-    the nodes of the tries of followers. Equal sentences of a task are counted
-    first and taken apart once.
+def _end(lines: list[str], torn: bool, text: str) -> tuple | None:
+    """(n_chars, n_bytes, torn, open, closing, last, tri, bi, uni, stem) of an unfinished end.
+
+    open: the end is a sign that asks for more; closing: the pattern of its line.
+    """
+    if not lines or _FINISHED.search(lines[-1]):
+        return None
+    w = words(_SENTENCE.split(lines[-1])[-1])
+    sign = bool(_OPEN.search(lines[-1]))
+    head = len(text), len(text.encode()), torn, sign, closing_pattern(lines[-1]) if len(lines[-1]) < MAX_CLOSING else None
+    if len(w) > 1:
+        return *head, w[-1], *(_key(*t) for t in _contexts(w)), _key(4, *w[-2:])
+    return (*head, "", 0, 0, 0, 0) if sign else None
+
+
+def read_texts(documents: DataFrame) -> DataFrame:
+    """READ of documents(doc_id, source, text), each text read once.
+
+    Rows with a word alone count it, rows with a key alone how often a context
+    ends a sentence or goes on. Rows with both hold a last line and a key of the
+    text before it. Keys of kind 4 are a word with a proper prefix of the word
+    that follows it: the nodes of the tries of followers. Equal sentences of a
+    task are counted first and taken apart once.
     """
 
     def rows(sentences: Counter, closings: Counter) -> pd.DataFrame:
-        vocabulary: Counter = Counter()
-        ends: Counter = Counter()
-        mids: Counter = Counter()
-        for s, n in sentences.items():
-            w = words(s)
-            for x in w[1:]:
-                vocabulary[x] += n
-            for i in range(2, len(w) + 1):
-                for t in _contexts(w[:i]):
-                    (mids if i < len(w) else ends)[t] += n
-        out = [(x, None, n, 0) for x, n in vocabulary.items()]
+        number: dict[str, int] = {"<s>": 0}
+        taken = [[number.setdefault(x, len(number)) for x in words(s)] for s in sentences]
+        sizes = np.array([len(t) for t in taken], dtype=np.int64)
+        ids = np.fromiter(chain.from_iterable(taken), dtype=np.int64, count=int(sizes.sum()))
+        names = list(number)
+        times = np.repeat(np.fromiter(sentences.values(), dtype=np.int64, count=len(sentences)), sizes)
+        at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place in the sentence
+        last = at == np.repeat(sizes - 1, sizes)
+        k = np.flatnonzero(at > 0)
+        out: list[tuple] = []
+
+        def tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """An example of each code, its number, and how often it stands at an end and before."""
+            _, example, inverse = np.unique(codes, return_index=True, return_inverse=True)
+            ends = np.bincount(inverse, weights=times[k] * last[k], minlength=len(example)).astype(np.int64)
+            mids = np.bincount(inverse, weights=times[k] * ~last[k], minlength=len(example)).astype(np.int64)
+            return k[example], inverse, ends, mids
+
+        if len(k):
+            one, _, ends1, mids1 = tally(ids[k])
+            two, pair, ends2, mids2 = tally(ids[k - 1] * len(names) + ids[k])
+            before = np.where(at[k] > 1, ids[k - 2] + 1, 0)  # 0: the sentence has no third word from here
+            three, _, ends3, mids3 = tally(before * (int(pair.max()) + 1) + pair)
+            for i, e, m in zip(one.tolist(), ends1.tolist(), mids1.tolist()):
+                out += [(names[ids[i]], None, e + m, 0), (None, _key(1, names[ids[i]]), e, m)]
+            for i, e, m in zip(two.tolist(), ends2.tolist(), mids2.tolist()):
+                x, y = names[ids[i - 1]], names[ids[i]]
+                out.append((None, _key(2, x, y), e, m))
+                out += [(None, _key(4, x, y[:n]), 0, e + m) for n in range(1, min(len(y), LONG_WORD + 1))]
+            for i, e, m in zip(three.tolist(), ends3.tolist(), mids3.tolist()):
+                out.append((None, _key(3, *(names[j] for j in ids[max(i - 2, i - int(at[i])) : i + 1])), e, m))
         out += [(CLOSING + x, rest, n, 0) for (x, rest), n in closings.items()]
-        for t in ends.keys() | mids.keys():
-            out.append((None, _key(*t), ends.get(t, 0), mids.get(t, 0)))
-            if t[0] == 2:
-                out += [(None, _key(4, t[1], t[2][:n]), 0, ends.get(t, 0) + mids.get(t, 0)) for n in range(1, min(len(t[2]), 24))]
         word, key, end, mid = zip(*out) if out else ((), (), (), ())
         # a plain column of keys and nulls would turn into floats
-        return pd.DataFrame(
-            {"word": pd.Series(word, dtype="object"), "key": pd.array(key, dtype="Int64"), "ends": pd.Series(end, dtype="int64"), "mids": pd.Series(mid, dtype="int64")}
+        return _frame(
+            len(out), is_end=False, word=pd.Series(word, dtype="object"), key=pd.array(key, dtype="Int64"), ends=pd.Series(end, dtype="int64"), mids=pd.Series(mid, dtype="int64")
         )
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sentences: Counter = Counter()
         closings: Counter = Counter()
         for b in batches:
-            for text in b["text"]:
-                if text:
-                    lines = plain_lines(text)[0]
-                    sentences.update(finished(lines))
-                    if len(lines) > 1 and len(lines[-1]) < MAX_CLOSING:
-                        closings[closing_pattern(lines[-1]), _key(5, *map(closing_pattern, lines[:-1]))] += 1
+            found = []
+            for i, source, text in zip(b["doc_id"], b["source"], b["text"]):
+                if not text:
+                    continue
+                lines, torn = plain_lines(text)
+                sentences.update(finished(lines))
+                if len(lines) > 1 and len(lines[-1]) < MAX_CLOSING:
+                    closings[closing_pattern(lines[-1]), _key(5, closing_pattern("\n".join(lines[:-1])))] += 1
+                if end := _end(lines, torn, text):
+                    found.append((i, source, *end))
+            yield _frame(len(found), is_end=True, **dict(zip(_NAMES[5:], map(list, zip(*found)))))
             if len(sentences) + len(closings) > FLUSH:
                 yield rows(sentences, closings)
                 sentences, closings = Counter(), Counter()
         yield rows(sentences, closings)
 
-    return documents.select("text").mapInPandas(count, "word string, key long, ends long, mids long")
+    return documents.select("doc_id", "source", "text").mapInPandas(read, READ)
 
 
 def trie_nodes(vocabulary: DataFrame) -> DataFrame:
-    """(node, is_word, leads_on) of the trie of vocabulary(word): every prefix, whether it is a word, whether longer words begin with it."""
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.struct(F.substring("word", F.lit(1), n).alias("node"), n.alias("n")))
+    """(node, is_word, leads_on) of the trie of vocabulary(word): every prefix of up to LONG_WORD letters, whether it is a word, whether longer words begin with it."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONG_WORD))), lambda n: F.struct(F.substring("word", F.lit(1), n).alias("node"), n.alias("n")))
     every = vocabulary.select("word", F.explode(prefixes).alias("p")).select("p.node", (F.col("p.n") == F.length("word")).alias("whole"))
     return every.groupBy("node").agg(F.max("whole").alias("is_word"), F.max(~F.col("whole")).alias("leads_on"))
 
 
-def text_ends(documents: DataFrame, closings: set[str]) -> DataFrame:
-    """(doc_id, source, n_chars, n_bytes, torn, open, closing, last, tri, bi, uni, stem) of each unfinished end.
-
-    open: the end is a sign that asks for more; closing: it is a closing line.
-    """
-
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, source, text in zip(b["doc_id"], b["source"], b["text"]):
-                lines, torn = plain_lines(text)
-                if not lines or _FINISHED.search(lines[-1]):
-                    continue
-                closing = closing_pattern(lines[-1]) in closings
-                w = words(_SENTENCE.split(lines[-1])[-1])
-                sign = bool(_OPEN.search(lines[-1]))
-                size = len(text), len(text.encode())
-                if len(w) > 1:
-                    rows.append((i, source, *size, torn, sign, closing, w[-1], *(_key(*t) for t in _contexts(w)), _key(4, *w[-2:])))
-                elif sign:
-                    rows.append((i, source, *size, torn, True, closing, "", 0, 0, 0, 0))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "n_chars", "n_bytes", "torn", "open", "closing", "last", "tri", "bi", "uni", "stem"])
-
-    return documents.select("doc_id", "source", "text").mapInPandas(
-        ends, "doc_id long, source string, n_chars long, n_bytes long, torn boolean, open boolean, closing boolean, last string, tri long, bi long, uni long, stem long"
-    )
+def in_trie(lasts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(last, is_word, leads_on) of the different lasts(last) that are words or beginnings of words of vocabulary(word)."""
+    stem = lambda c: F.substring(c, 1, LONG_WORD)
+    some = lasts.select("last").distinct()
+    short = some.join(trie_nodes(vocabulary), F.col("last") == F.col("node")).select("last", "is_word", "leads_on")
+    words = vocabulary.where(F.length("word") > LONG_WORD).select("word", stem("word").alias("stem"))
+    long = some.where(F.length("last") > LONG_WORD).withColumn("stem", stem("last")).join(words, "stem").where(F.col("word").startswith(F.col("last")))
+    same = F.col("word") == F.col("last")
+    return short.unionByName(long.groupBy("last").agg(F.max(same).alias("is_word"), F.max(~same).alias("leads_on")))
 
 
 def source_limits(documents: DataFrame) -> DataFrame:
@@ -222,19 +258,20 @@ def truncated(documents: DataFrame) -> DataFrame:
     repeated texts count as often as they stand.
     """
     documents = documents.select("doc_id", "source", "text").where("text IS NOT NULL AND text <> ''")
-    counts = cut_lineage(
-        corpus_counts(documents).groupBy("word", "key").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids"))
-    )
-    nodes = trie_nodes(counts.where(F.col("word").isNotNull() & ~F.col("word").startswith(CLOSING) & (F.col("ends") >= MIN_WORD)).select("word"))
+    read = cut_lineage(read_texts(documents))
+    counts = cut_lineage(read.where("NOT is_end").groupBy("word", "key").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids")))
+    vocabulary = counts.where(F.col("word").isNotNull() & ~F.col("word").startswith(CLOSING) & (F.col("ends") >= MIN_WORD)).select("word")
     contexts = counts.where("word IS NULL").select("key", "ends", "mids")
     # lines that close at least CLOSING_SHARE of all texts, so at most 1 / CLOSING_SHARE
     least = max(CLOSING_TEXTS, CLOSING_SHARE * documents.count())
     lines = counts.where(F.col("word").startswith(CLOSING)).groupBy("word").agg(F.count("*").alias("texts"))
     closing = lines.where(F.col("texts") >= least).select("word").collect()
-    ends = cut_lineage(text_ends(documents, {r["word"][1:] for r in closing}))
+    closes = F.coalesce(F.col("closing").isin([r["word"][1:] for r in closing]), F.lit(False)) if closing else F.lit(False)
+    ends = read.where("is_end").select("doc_id", "source", "n_chars", "n_bytes", "torn", "open", closes.alias("closing"), "last", "tri", "bi", "uni", "stem")
     # the same ends come again and again: each is judged once
     known = ends.where(~F.col("open")).select("last", "tri", "bi", "uni", "stem").distinct()
-    known = known.join(nodes, known["last"] == nodes["node"], "left").drop("node")
+    known = cut_lineage(known)
+    known = known.join(in_trie(known, vocabulary), "last", "left")
     p = F.lit(PRIOR_END)
     for kind in ("uni", "bi", "tri"):
         level = contexts.select(F.col("key").alias(kind), F.col("ends").alias(f"e_{kind}"), F.col("mids").alias(f"m_{kind}"))

@@ -1,4 +1,4 @@
-from skillspark.llm.truncation import plain_lines, truncated, truncation_report, words
+from skillspark.llm.truncation import _key, in_trie, plain_lines, read_texts, truncated, truncation_report, words
 from tests.conftest import rows
 
 SENTENCES = ["Prepare the monthly sales report for the board.", "Answer requests from clients within two days.", "Willing to work shifts in Lisbon.", "Keep the warehouse records in good order."]
@@ -53,3 +53,26 @@ def test_report_counts_every_source(spark):
 
 def test_empty(spark):
     assert rows(truncated(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_long_words_are_compared_instead_of_tabulated(spark):
+    long = "ab" * 50
+    vocabulary = spark.createDataFrame([("cat",), ("cats",), (long,), (long + "x",), ("z" * 50_000,)], "word string")
+    lasts = spark.createDataFrame([("ca",), ("cat",), ("dog",), (long[:90],), (long,), (long + "xy",), ("z" * 70,), ("cats",), ("cat",)], "last string")
+    want = {"ca": (False, True), "cat": (True, True), "cats": (True, False), long[:90]: (False, True), long: (True, True), "z" * 70: (False, True)}
+    assert {r["last"]: (r["is_word"], r["leads_on"]) for r in in_trie(lasts, vocabulary).collect()} == want
+
+
+def test_counts_of_contexts(spark):
+    text = "We sell cats. We sell 12 dogs. We sell cats."
+    docs = spark.createDataFrame([(1, "s", text), (2, "s", None), (3, "s", ""), (4, None, "We sell")], "doc_id long, source string, text string")
+    read = read_texts(docs)
+    assert [(r["doc_id"], r["source"], r["last"], r["n_chars"], r["open"]) for r in read.where("is_end").collect()] == [(4, None, "sell", 7, False)]
+    got = {}
+    for r in read.where("NOT is_end").collect():
+        e, m = got.get((r["word"], r["key"]), (0, 0))
+        got[r["word"], r["key"]] = (e + r["ends"], m + r["mids"])
+    assert got["cats", None] == (2, 0) and got["0", None] == (1, 0) and got["sell", None] == (3, 0)
+    assert got[None, _key(1, "cats")] == (2, 0) and got[None, _key(1, "sell")] == (0, 3)
+    assert got[None, _key(2, "sell", "cats")] == (2, 0) and got[None, _key(3, "we", "sell", "0")] == (0, 1) and got[None, _key(3, "<s>", "we")] == (0, 3)
+    assert got[None, _key(4, "sell", "ca")] == (0, 2) and got[None, _key(4, "<s>", "w")] == (0, 3)
