@@ -11,6 +11,8 @@ from skillspark.operators.simjoin import similar_texts
 MAX_WORDS = 4
 FUZZY_CUTOFF, FUZZY_LENGTH = 85.0, 5
 COMMON_SHARE, COMMON_FLOOR = 0.002, 3
+#: Aliases that may be broadcast (about 100 bytes each); beyond it they are joined by a shuffle.
+MAX_BROADCAST_ALIASES = 200_000
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
@@ -50,9 +52,14 @@ def phrases(records: DataFrame) -> DataFrame:
     return records.select("record_id", F.inline(F.flatten(each)))
 
 
+def _small(aliases: DataFrame) -> DataFrame:
+    """aliases for a broadcast if they are few, so that the phrases of all texts need no shuffle."""
+    return F.broadcast(aliases) if aliases.limit(MAX_BROADCAST_ALIASES + 1).count() <= MAX_BROADCAST_ALIASES else aliases
+
+
 def exact_matches(records: DataFrame, aliases: DataFrame) -> DataFrame:
     """(record_id, skill_id, canonical_name, skill_type, method, score, pos, size): per skill the longest, then leftmost phrase."""
-    hits = phrases(records).withColumn("alias", norm_text("phrase")).join(aliases, "alias")
+    hits = phrases(records).withColumn("alias", norm_text("phrase")).join(_small(aliases), "alias")
     best = F.min(F.struct((-F.col("size")).alias("s"), "pos", "canonical_name", "skill_type")).alias("b")
     return hits.groupBy("record_id", "skill_id").agg(best).select(
         "record_id", "skill_id", "b.canonical_name", "b.skill_type", F.lit("exact_match").alias("method"), F.lit(100.0).alias("score"), "b.pos", (-F.col("b.s")).alias("size")
@@ -95,7 +102,7 @@ def fuzzy_matches(records: DataFrame, aliases: DataFrame, exact: DataFrame, comm
 def label_matches(records: DataFrame, aliases: DataFrame) -> DataFrame:
     """Matches of the labels that records(record_id, labels) carry; unknown labels are dropped, repeats stay."""
     each = records.select("record_id", F.posexplode("labels").alias("p", "label")).withColumn("alias", norm_text("label"))
-    return each.join(aliases, "alias").select(
+    return each.join(_small(aliases), "alias").select(
         "record_id", "skill_id", "canonical_name", "skill_type", F.lit("source_provided").alias("method"), F.lit(100.0).alias("score"), (F.col("p") + 1).alias("pos"), F.lit(1).alias("size")
     )
 

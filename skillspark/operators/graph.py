@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from skillspark.session import cut_lineage
 
 
+#: Rounds of the way back in one plan.
+JOINS_PER_PLAN = 5
+
+
 def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(node -> rep, edges between representatives) of edges(a, b), each held in both directions."""
     order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))
@@ -44,9 +48,11 @@ def link_groups(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     if not rounds:
         return clean.select(F.col("a").alias("node"), F.col("a").alias("group"))
     labels = rounds.pop()
-    while rounds:
+    for back in range(len(rounds), 0, -1):
         # a node that lost all its edges in this round is missing from the next one and stands for itself
         later = labels.select(F.col("node").alias("rep"), F.col("rep").alias("top"))
-        labels = cut_lineage(rounds.pop().join(later, "rep", "left").select("node", F.coalesce("top", "rep").alias("rep")))
+        labels = rounds[back - 1].join(later, "rep", "left").select("node", F.coalesce("top", "rep").alias("rep"))
+        if back % JOINS_PER_PLAN == 1:  # rounds shrink fast, so several of them are one plan
+            labels = cut_lineage(labels)
     least = labels.groupBy("rep").agg(F.min("node").alias("group"))
     return labels.join(least, "rep").select("node", "group")

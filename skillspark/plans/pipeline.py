@@ -93,7 +93,7 @@ def common_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.exact_matches(_texts(spark, sf_dir), _aliases(spark, sf_dir)).select("record_id", "skill_id", "pos", "size")
+    return extract.exact_matches(_texts(spark, sf_dir), cut_lineage(_aliases(spark, sf_dir))).select("record_id", "skill_id", "pos", "size")
 
 
 def extracted_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def extracted_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = records(spark, sf_dir).select(F.col("rec_no").alias("record_id"), F.col("extra.skills_given").alias("labels")).where("labels IS NOT NULL")
-    return extract.label_matches(labels, _aliases(spark, sf_dir)).select("record_id", "skill_id", "pos")
+    return extract.label_matches(labels, cut_lineage(_aliases(spark, sf_dir))).select("record_id", "skill_id", "pos")
 
 
 _ascii, _norm = oracles.ascii_only, oracles.norm
