@@ -181,10 +181,15 @@ def register(spark: SparkSession, path: str) -> Warehouse:
 _BUILT: dict[tuple[str, str], str] = {}
 
 
+def _whole(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{TABLES[-1]}/_SUCCESS")  # the table that is written last
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def opened(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The warehouse of a data directory: built and saved in the shared checkpoint folder at first, read from there by all later queries of the application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
+    if key not in _BUILT or not _whole(spark, _BUILT[key]):
         ensure_checkpoint_dir(spark)
         path = f"{spark.sparkContext.getCheckpointDir()}/warehouse-{uuid4().hex}"
         save(load(spark, sf_dir), path)

@@ -118,6 +118,17 @@ def test_companies_spellings_and_canonical_records(spark):
     assert rows(warehouse.surface_forms(spellings, spark.createDataFrame([("s",), ("t",)], "skill_id string"))) == [(1, "s", "SQL"), (2, "s", "Sql")]
 
 
+def test_a_warehouse_is_built_once_and_again_where_it_is_gone(spark, w, monkeypatch):
+    built = []
+    monkeypatch.setattr(warehouse, "load", lambda *a: built.append(a) or w)
+    one = warehouse.opened(spark, "somewhere")
+    assert rows(q.top_skills(one)) == rows(q.top_skills(w)) and len(built) == 1
+    warehouse.opened(spark, "somewhere")
+    assert len(built) == 1
+    monkeypatch.setitem(warehouse._BUILT, (spark.sparkContext.applicationId, "somewhere"), "/tmp/no-such-warehouse")
+    assert warehouse.opened(spark, "somewhere").jobs.count() == 2 and len(built) == 2
+
+
 def test_best_match(spark):
     jobs, skills = spark.createDataFrame([("j",)], "job_id string"), spark.createDataFrame([("s",)], "skill_id string")
     data = [(1, "j", "s", "hard", "a", "fuzzy_match", 100.0, "f"), (2, "j", "s", "hard", "a", "exact_match", None, "e"), (3, "j", "s", "hard", "a", "exact_match", 90.0, "g"), (4, "x", "s", "hard", "a", "exact_match", 1.0, ""), (5, "j", None, "hard", "a", "exact_match", 1.0, "")]
