@@ -85,7 +85,7 @@ def variant_groups(skills: DataFrame, merges: DataFrame, protected: DataFrame) -
 def merge_variants(skills: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged skills, old_id -> new_id). The head of a group has most aliases (of equals the smallest id); a skill never becomes its own parent."""
     g = skills.join(groups, "skill_id")
-    head = F.max_by(F.struct("canonical_name", "skill_type"), F.struct(F.size("aliases").alias("n"), F.col("skill_id") == F.col("group"))).alias("h")
+    head = F.min_by(F.struct("canonical_name", "skill_type"), F.struct((-F.size("aliases")).alias("n"), "skill_id")).alias("h")
     merged = g.groupBy("group").agg(
         head,
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"),

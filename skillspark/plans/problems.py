@@ -81,9 +81,29 @@ FROM named n JOIN below b ON b.id = n.id
 """
 
 
+# A quoted value; values of quoted lists and names of skills hide their commas and slashes while the rest is split.
+_QUOTED = r'''(?:''(?:[^''\\]|\\.)*''|"(?:[^"\\]|\\.)*")'''
+_NO_LIST = ", ".join("'" + x + "'" for x in sorted(packed.NO_LIST))
+P5_SQL = r"""
+WITH t AS (SELECT _row_id AS row_id, arg_max(job_skills, fetched_at) AS x FROM data_jobs WHERE _row_id IS NOT NULL GROUP BY 1),
+b AS (SELECT row_id, trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS x FROM t WHERE x IS NOT NULL),
+q AS (SELECT DISTINCT lower(replace(trim(v[2:-2]), '\', '')) AS v FROM (SELECT unnest(regexp_extract_all(x, '{Q}')) AS v FROM b WHERE regexp_full_match(x, '\[\s*{Q}\s*(?:,\s*{Q}\s*)*\]'))),
+d AS (SELECT v FROM q UNION SELECT DISTINCT lower(canonical_name) FROM skills),
+p AS (SELECT c, list('(?i)(' || regexp_escape(left(v, CAST(i AS BIGINT) - 1)) || ')' || regexp_escape(c) || '(' || regexp_escape(substr(v, CAST(i AS BIGINT) + 1)) || ')' ORDER BY length(v) DESC, v) AS l FROM (SELECT v, c, instr(v, c) AS i FROM d, (VALUES (','), ('/'), (';'), ('|')) AS cs(c)) WHERE i > 1 GROUP BY 1),
+g1 AS (SELECT row_id, CASE WHEN starts_with(x, '[') AND suffix(x, ']') OR starts_with(x, '(') AND suffix(x, ')') OR starts_with(x, '{') AND suffix(x, '}') THEN x[2:-2] WHEN starts_with(x, '[') THEN x[2:] ELSE x END AS x FROM b WHERE lower(x) NOT IN ({NO})),
+g2 AS (SELECT row_id, list_reduce(list_prepend(x, coalesce((SELECT l FROM p WHERE c = ','), [])), lambda a, r: regexp_replace(a, r, '\1' || chr(57344) || '\2', 'g')) AS x FROM g1),
+g3 AS (SELECT row_id, list_reduce(list_prepend(x, coalesce((SELECT l FROM p WHERE c = '/'), [])), lambda a, r: regexp_replace(a, r, '\1' || chr(57345) || '\2', 'g')) AS x FROM g2),
+s AS (SELECT row_id, string_split_regex(x, '[,;|\t\n\r\x0b\x0c•·、，；｜‖¦/]') AS l FROM g3),
+i0 AS (SELECT row_id, i, trim(regexp_replace(trim(l[i]), '^(?:[-–—*▪◦‣●○■□➢>+]+\s+|\(?\d{1,3}[.)]\s+)', '')) AS v FROM (SELECT row_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)),
+i1 AS (SELECT row_id, i, trim(replace(CASE WHEN regexp_matches(v, '^"[\s\S]*"$|^''[\s\S]*''$|^“[\s\S]*”$|^‘[\s\S]*’$|^«[\s\S]*»$|^`[\s\S]*`$') AND length(v) > 1 THEN replace(v[2:-2], '""', '"') ELSE v END, '\', '')) AS v FROM i0),
+i2 AS (SELECT row_id, i, replace(replace(v, chr(57344), ','), chr(57345), '/') AS item FROM i1 WHERE v <> '' AND lower(v) NOT IN ({NO}))
+SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY i) AS INTEGER) AS pos, item FROM i2
+""".replace("{Q}", _QUOTED).replace("{NO}", _NO_LIST)
+
+
 def queries() -> dict:
     return {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p7_found": P7_SQL}
+    return {"p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}

@@ -89,18 +89,29 @@ def variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, cut_lineage(_mined(spark, sf_dir)))
 
 
-def merged_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dictionary from labels to categories: mined, joined by the skills of the table, spellings merged, placed in a tree."""
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(merged skills, old_id -> new_id) of the mined dictionary joined by the skills of the table."""
     listed = warehouse.latest(table(spark, sf_dir, "skills"), "skill_id").where("NOT coalesce(is_category, false) AND trim(canonical_name) <> ''")
     entries = listed.select("canonical_name", "skill_type", F.array().cast("array<string>").alias("aliases"))
-    full = cut_lineage(dictionary.add_entries(_mined(spark, sf_dir), entries))
+    full = cut_lineage(dictionary.add_entries(cut_lineage(_mined(spark, sf_dir)), entries))
     flat = full.select("*", F.lit(None).cast("string").alias("parent_skill_id"), F.lit(False).alias("is_category"))
-    merged, _ = dictionary.merge_variants(flat, _groups(spark, full))
+    return dictionary.merge_variants(flat, cut_lineage(_groups(spark, full)))
+
+
+def merged_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary from labels to categories: mined, joined by the skills of the table, spellings merged, placed in a tree."""
     tree = spark.createDataFrame(TREE, "child string, parent string")
-    placed, _ = dictionary.assign_parents(cut_lineage(merged), tree, SOFT_ROOT)
+    placed, _ = dictionary.assign_parents(cut_lineage(_merged(spark, sf_dir)[0]), tree, SOFT_ROOT)
     return placed.select("skill_id", "canonical_name", "skill_type", F.array_join("aliases", "|").alias("aliases"), "is_category", "parent_skill_id")
 
 
+def remapped_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of all jobs under the ids of the merged dictionary."""
+    matches = table(spark, sf_dir, "job_skills").where("job_id IS NOT NULL AND skill_id IS NOT NULL")
+    matches = matches.select(F.col("job_id").alias("record_id"), "skill_id", F.col("extraction_method").alias("method"), F.col("match_id").alias("pos"))
+    return dictionary.remap_matches(matches, _merged(spark, sf_dir)[1])
+
+
 def skill_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.skill_variants(_mined(spark, sf_dir))
 
@@ -262,7 +273,7 @@ _MINED = f"""WITH RECURSIVE lc AS (SELECT folded, name, count(*) AS n, min(pos)
   ms AS (SELECT {oracles.slug('name')} AS skill_id, arg_min(name, folded) AS canonical_name, CASE WHEN arg_min(folded IN (SELECT folded FROM so), folded) THEN 'soft' ELSE 'hard' END AS skill_type, list_sort(list(DISTINCT folded)) AS aliases FROM dn GROUP BY 1)
 """
 _PAIRS = lambda pairs: ", ".join(f"('{a}', '{b}')" for a, b in pairs)
-_VARIANTS = _MINED + f""", vk AS (SELECT *, {oracles.norm('canonical_name')} AS name, regexp_replace({oracles.norm('canonical_name')}, '[\\s_.-]', '', 'g') AS core FROM ms),
+_GROUPED = f""", vk AS (SELECT *, {oracles.norm('canonical_name')} AS name, regexp_replace({oracles.norm('canonical_name')}, '[\\s_.-]', '', 'g') AS core FROM ms),
   vs AS (SELECT *, CASE WHEN suffix(core, 'js') AND length(core) >= 5 THEN left(core, length(core) - 2) ELSE core END AS key FROM vk),
   ow AS (SELECT alias, min(skill_id) AS skill_id, arg_min(name, skill_id) AS name FROM (SELECT unnest(list_append(aliases, name)) AS alias, skill_id, name FROM vs) GROUP BY 1),
   he AS (SELECT key, skill_type, min(skill_id) AS a, arg_min(name, skill_id) AS na FROM vs GROUP BY 1, 2),
@@ -270,8 +281,32 @@ _VARIANTS = _MINED + f""", vk AS (SELECT *, {oracles.norm('canonical_name')} AS
     UNION ALL SELECT x.skill_id, y.skill_id, x.name, y.name FROM (VALUES {_PAIRS(MERGES)}) AS m(p, q) JOIN ow x ON x.alias = m.p JOIN ow y ON y.alias = m.q),
   l1 AS (SELECT a, b FROM l0 WHERE a <> b AND NOT EXISTS (SELECT 1 FROM (VALUES {_PAIRS(PROTECTED)}) AS k(p, q) WHERE least(p, q) = least(na, nb) AND greatest(p, q) = greatest(na, nb))),
   l2 AS (SELECT a, b FROM l1 UNION SELECT b, a FROM l1),
-  rc(a, b) AS (SELECT a, b FROM l2 UNION SELECT r.a, l2.b FROM rc r JOIN l2 ON r.b = l2.a)
-  SELECT ms.skill_id, coalesce((SELECT least(rc.a, min(rc.b)) FROM rc WHERE rc.a = ms.skill_id GROUP BY rc.a), ms.skill_id) AS "group" FROM ms"""
+  rc(a, b) AS (SELECT a, b FROM l2 UNION SELECT r.a, l2.b FROM rc r JOIN l2 ON r.b = l2.a),
+  gp AS (SELECT ms.skill_id, coalesce(g, ms.skill_id) AS "group" FROM ms LEFT JOIN (SELECT a, least(a, min(b)) AS g FROM rc GROUP BY a) x ON x.a = ms.skill_id)
+"""
+_VARIANTS = _MINED + _GROUPED + ' SELECT skill_id, "group" FROM gp'
+# the mined skills (m0), joined by the skills of the table, are the skills (ms) that are grouped and merged
+_MERGED = _WAREHOUSE_SQL.replace("WITH sk0", "WITH RECURSIVE sk0", 1) + _MINED.replace("WITH RECURSIVE lc AS", ", lc AS", 1).replace("ms AS (", "m0 AS (", 1) + f""", en AS (SELECT canonical_name, skill_type, {oracles.norm('canonical_name')} AS form FROM sk1 WHERE NOT coalesce(is_category, false) AND trim(canonical_name) <> ''),
+  eo AS (SELECT canonical_name, min(skill_id) AS owner FROM en JOIN (SELECT skill_id, unnest(aliases) AS form FROM m0) USING (form) GROUP BY 1),
+  er AS (SELECT skill_id, canonical_name, skill_type, aliases, 0 AS o FROM m0 UNION ALL SELECT coalesce(owner, {oracles.slug('canonical_name')}), canonical_name, skill_type, [form], 1 FROM en LEFT JOIN eo USING (canonical_name)),
+  ef AS (SELECT skill_id, canonical_name, skill_type FROM er QUALIFY row_number() OVER (PARTITION BY skill_id ORDER BY o, canonical_name, skill_type) = 1),
+  ms AS (SELECT ef.*, l.aliases FROM ef JOIN (SELECT skill_id, list_sort(list_distinct(flatten(list(aliases)))) AS aliases FROM er GROUP BY 1) l USING (skill_id))
+""" + _GROUPED + f""", mh AS (SELECT gp."group", ms.canonical_name, ms.skill_type FROM ms JOIN gp USING (skill_id) QUALIFY row_number() OVER (PARTITION BY gp."group" ORDER BY len(ms.aliases) DESC, ms.skill_id) = 1),
+  mg AS (SELECT "group", {oracles.slug('canonical_name')} AS skill_id, canonical_name, skill_type, aliases FROM mh JOIN (SELECT gp."group", list_sort(list_distinct(flatten(list(ms.aliases)))) AS aliases FROM ms JOIN gp USING (skill_id) GROUP BY 1) USING ("group")),
+  io AS (SELECT gp.skill_id AS old_id, mg.skill_id AS new_id FROM gp JOIN mg USING ("group"))
+"""
+_REMAPPED = _MERGED + """ SELECT record_id, skill_id, method, pos FROM (SELECT job_id AS record_id, coalesce(new_id, skill_id) AS skill_id, extraction_method AS method, match_id AS pos
+    FROM job_skills LEFT JOIN io ON io.old_id = skill_id WHERE job_id IS NOT NULL AND skill_id IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY record_id, skill_id ORDER BY CASE method WHEN 'source_provided' THEN 0 WHEN 'exact_match' THEN 1 WHEN 'fuzzy_match' THEN 2 ELSE 3 END, pos) = 1"""
+_DICTIONARY = _MERGED + f""", tr AS (SELECT * FROM (VALUES {_PAIRS(TREE)}) AS t(child, parent)),
+  ma AS (SELECT alias, min(skill_id) AS skill_id FROM (SELECT skill_id, unnest(list_append(aliases, {oracles.norm('canonical_name')})) AS alias FROM mg) GROUP BY 1),
+  nm AS (SELECT parent AS name FROM tr UNION SELECT '{SOFT_ROOT}'),
+  fr AS (SELECT {oracles.slug('name')} AS skill_id, name AS canonical_name, CASE WHEN name = '{SOFT_ROOT}' THEN 'soft' ELSE 'hard' END AS skill_type, [{oracles.norm('name')}] AS aliases FROM nm WHERE {oracles.norm('name')} NOT IN (SELECT alias FROM ma)),
+  fo AS (SELECT * FROM ma UNION ALL SELECT aliases[1], skill_id FROM fr),
+  lk AS (SELECT c.skill_id AS cid, min(p.skill_id) AS pid FROM tr JOIN fo c ON c.alias = {oracles.norm('child')} JOIN fo p ON p.alias = {oracles.norm('parent')} WHERE c.skill_id <> p.skill_id GROUP BY 1)
+  SELECT e.skill_id, canonical_name, skill_type, array_to_string(aliases, '|') AS aliases, is_category,
+    coalesce(pid, CASE WHEN skill_type = 'soft' AND e.skill_id <> {oracles.slug(repr(SOFT_ROOT))} THEN {oracles.slug(repr(SOFT_ROOT))} END) AS parent_skill_id
+  FROM (SELECT skill_id, canonical_name, skill_type, aliases, false AS is_category FROM mg UNION ALL SELECT *, true FROM fr) e LEFT JOIN lk ON lk.cid = e.skill_id"""
 AUDITED = {
     "jobs": "job_id title_raw location_id posted_date source url seniority job_type loaded_at deleted_at".split(),
     "skills": "skill_id canonical_name skill_type category parent_skill_id is_category loaded_at deleted_at".split(),
@@ -363,7 +398,8 @@ QUERIES = {
         SELECT folded, name FROM c QUALIFY row_number() OVER (PARTITION BY folded ORDER BY name <> lower(name) DESC, n DESC, f) = 1"""),
     "m13_mined_skills": (mined_skills, _MINED + "SELECT skill_id, canonical_name, skill_type, array_to_string(aliases, '|') AS aliases FROM ms"),
     "m15_variant_groups": (variant_groups, _VARIANTS),
-    "m17_dictionary": (merged_dictionary, None),
+    "m17_dictionary": (merged_dictionary, _DICTIONARY),
+    "j16_remapped_matches": (remapped_matches, _REMAPPED),
     "m33_skill_variants": (skill_variants, _MINED + "SELECT row_number() OVER (ORDER BY skill_id, p) AS variant_id, skill_id, aliases[p] AS surface_form FROM (SELECT skill_id, aliases, unnest(range(1, len(aliases) + 1)) AS p FROM ms)"),
     "m18_closure": (closure, _CLOSURE + "SELECT ancestor_id, descendant_id, depth FROM closed"),
     "m20_closure_mismatch": (closure_mismatch, _CLOSURE + """, s AS (SELECT DISTINCT ancestor_id, descendant_id FROM skill_closure WHERE ancestor_id IS NOT NULL AND descendant_id IS NOT NULL),
