@@ -11,7 +11,7 @@ from skillspark.operators.graph import link_groups
 from skillspark.operators.warehouse import latest
 from skillspark.plans import oracles
 from skillspark.plans.serving import _WAREHOUSE_SQL
-from skillspark.session import cut_lineage, table
+from skillspark.session import cut_lineage, spread, table
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text", F.lit(None).cast("array<string>").alias("labels"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("record_id"), "text", F.lit(None).cast("array<string>").alias("labels"))
 
 
 def texts_of(records: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def exact_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extracted_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches of all records with their evidence."""
-    return extract.extract_skills(cut_lineage(texts_of(records(spark, sf_dir))), cut_lineage(_aliases(spark, sf_dir)))
+    return extract.extract_skills(cut_lineage(spread(texts_of(records(spark, sf_dir)))), cut_lineage(_aliases(spark, sf_dir)))
 
 
 def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from skillspark.functions.text import norm_text
 from skillspark.operators import dictionary, extract, hierarchy, mapping, quality, warehouse
 from skillspark.plans import oracles, pipeline, serving
 from skillspark.plans.serving import _TERMS_SQL, _WAREHOUSE_SQL
-from skillspark.session import cut_lineage, table
+from skillspark.session import cut_lineage, spread, table
 
 
 #: Lists that a user of the dictionary brings along: labels that are roles, spellings to merge and to keep apart, a tree of categories.
@@ -188,7 +188,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _masked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     r = pipeline.records(spark, sf_dir).select(F.col("rec_no").alias("record_id"), "source", "title", "requirements_raw", "description", F.col("extra.skills_given").alias("labels"))
-    return cut_lineage(r), cut_lineage(extract.aliases_of(warehouse.latest(table(spark, sf_dir, "skills"), "skill_id")))
+    return cut_lineage(spread(r)), cut_lineage(extract.aliases_of(warehouse.latest(table(spark, sf_dir, "skills"), "skill_id")))
 
 
 def masked_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A plain table for work that is dear per row: a small one that lies in fewer pieces than there are cores is dealt out to all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def max_heavy_keys(spark: SparkSession) -> int:
     """How many keys may be split out of a shuffle: a key with less than this part of all rows fits a task of the shuffle."""
     return max(MAX_HEAVY_KEYS, int(spark.conf.get("spark.sql.shuffle.partitions")))
