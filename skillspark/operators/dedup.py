@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skillspark.functions.text import company_key, norm_text, similar, strip_accents, token_sort
 from skillspark.operators.graph import link_groups
-from skillspark.operators.simjoin import similar_texts
+from skillspark.operators.simjoin import similar_pairs
 from skillspark.session import cut_lineage
 
 KEY_LENGTH = 12
@@ -44,8 +44,9 @@ def duplicate_signatures(signed: DataFrame) -> DataFrame:
     near = small.join(other(small), "block").where(ordered & similar(F.col("t"), F.col("t2"), TITLE_SIMILARITY) & same_company)
     big = sig.join(large, "block", "left_semi")
     text = lambda c: big.select("block", F.col(c).alias("text"))
-    titles = similar_texts(text("t"), text("t"), TITLE_SIMILARITY).select("block", F.col("a").alias("t"), F.col("b").alias("t2"))
-    companies = similar_texts(text("c"), text("c"), COMPANY_SIMILARITY).select("block", F.col("a").alias("c"), F.col("b").alias("c2"))
+    titles = similar_pairs(text("t"), TITLE_SIMILARITY).select("block", F.col("a").alias("t"), F.col("b").alias("t2"))  # the order of pairs begins with titles
+    one_way = similar_pairs(text("c"), COMPANY_SIMILARITY).select("block", F.col("a").alias("c"), F.col("b").alias("c2"))
+    companies = one_way.unionByName(one_way.where("c <> c2").select("block", F.col("c2").alias("c"), F.col("c").alias("c2")))
     # both sides are narrowed before signatures meet: neither one title with many companies nor one company with many titles is paired all with all
     near_both = big.join(titles, ["block", "t"]).join(companies, ["block", "c"])
     far = near_both.where(ordered).join(other(big), ["block", "t2", "c2"], "left_semi")

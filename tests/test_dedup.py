@@ -1,8 +1,9 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from skillspark.operators import dedup
+from skillspark.operators import dedup, simjoin
 from skillspark.operators.graph import link_groups
 from skillspark.operators.simjoin import similar_texts
 from tests.conftest import rows
@@ -108,3 +109,22 @@ def test_a_long_chain_and_a_large_star_settle(spark):
 
 def test_empty(spark):
     assert rows(dedup.assign_groups(spark.createDataFrame([], SCHEMA)).select("rec_no")) == []
+
+
+def test_frames_of_keys_stay_small():
+    class Texts:
+        def mapInPandas(self, run, schema):
+            long = "".join(random.Random(3).choices("abcdefgh ", k=400))
+            return run(iter([pd.DataFrame({"block": ["x"] * 2_001, "text": [long] + ["senior backend engineer for a bank in ho chi minh city"] * 2_000})]))
+
+    for pieces in (simjoin._index, simjoin._probe):
+        assert max(map(len, pieces(Texts(), 87.5))) <= 20_000
+
+
+def test_pairs_of_a_table_with_itself(spark):
+    rng = random.Random(8)
+    texts = {"".join(rng.choices("abế ", k=rng.randrange(14))) for _ in range(120)}
+    df = spark.createDataFrame([("x", t) for t in texts] + [("y", "abc"), (None, "abc"), ("y", None)], "block string, text string")
+    for cutoff in (87.5, 70.0, 45.0):
+        both = {tuple(r) for r in similar_texts(df, df, cutoff).collect()}
+        assert sorted(map(tuple, simjoin.similar_pairs(df, cutoff).collect())) == sorted(p for p in both if p[1] <= p[2])
