@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from skillspark.operators import dedup, simjoin
 from skillspark.operators.graph import link_groups
 from skillspark.operators.simjoin import similar_texts
+from skillspark.plans import pipeline
 from tests.conftest import rows
 
 SCHEMA = "rec_no long, source string, title string, company string, requirements_raw string, description string, extra struct<skills_given: array<string>>"
@@ -128,3 +129,19 @@ def test_pairs_of_a_table_with_itself(spark):
     for cutoff in (87.5, 70.0, 45.0):
         both = {tuple(r) for r in similar_texts(df, df, cutoff).collect()}
         assert sorted(map(tuple, simjoin.similar_pairs(df, cutoff).collect())) == sorted(p for p in both if p[1] <= p[2])
+
+
+def _frames_of(query, spark, tmp_path, monkeypatch):
+    """The longest frame that Python makes of a batch of long texts, anywhere in a query."""
+    made = []
+    kind = type(spark.range(1))
+    plain = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, run, *a, **k: made.append(run) or plain(self, run, *a, **k))
+    spark.createDataFrame([(1, "a", "Kế toán", "ABC", None, None, None), (2, "b", "Kế toán", "ABC", "x", None, None)], SCHEMA).write.parquet(f"{tmp_path}/job_records.parquet")
+    pipeline.queries()[query](spark, str(tmp_path))
+    batch = pd.DataFrame({"block": ["x"] * 300, "text": ["chuyên viên kế toán tổng hợp cấp cao ngành gỗ và chuỗi nhà hàng tại hà nội"] * 300})
+    return max(len(frame) for run in made for frame in run(iter([batch])))
+
+
+def test_frames_of_pairs_with_accents(spark, tmp_path, monkeypatch):
+    assert _frames_of("j11_duplicate_pairs_accents", spark, tmp_path, monkeypatch) <= 10_000
