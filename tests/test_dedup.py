@@ -145,3 +145,7 @@ def _frames_of(query, spark, tmp_path, monkeypatch):
 
 def test_frames_of_pairs_with_accents(spark, tmp_path, monkeypatch):
     assert _frames_of("j11_duplicate_pairs_accents", spark, tmp_path, monkeypatch) <= 10_000
+
+
+def test_frames_of_groups(spark, tmp_path, monkeypatch):
+    assert _frames_of("m5_duplicate_groups", spark, tmp_path, monkeypatch) <= 10_000
