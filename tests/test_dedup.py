@@ -153,3 +153,7 @@ def test_frames_of_groups(spark, tmp_path, monkeypatch):
 
 def test_frames_of_canonical_records(spark, tmp_path, monkeypatch):
     assert _frames_of("a14_canonical_records", spark, tmp_path, monkeypatch) <= 10_000
+
+
+def test_frames_of_cross_source_groups(spark, tmp_path, monkeypatch):
+    assert _frames_of("a23_cross_source_groups", spark, tmp_path, monkeypatch) <= 10_000
