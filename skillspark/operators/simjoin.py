@@ -84,7 +84,8 @@ def _plain(texts: DataFrame) -> DataFrame:
 
 
 def _meet(short: DataFrame, long: DataFrame, cutoff: float, a: str, b: str) -> DataFrame:
-    s = _index(short, cutoff).withColumnRenamed("text", a)
+    # the size of the texts is all that the planner knows of their keys, hundreds of times as large: they must never be broadcast, which goes through the driver
+    s = _index(short, cutoff).withColumnRenamed("text", a).hint("merge")
     return s.join(_probe(long, cutoff).withColumnRenamed("text", b), ["block", "piece"]).select("block", "a", "b")
 
 

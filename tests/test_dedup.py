@@ -1,9 +1,10 @@
 import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from skillspark.operators import dedup, simjoin
+from skillspark.operators import dedup, graph, simjoin
 from skillspark.operators.graph import link_groups
 from skillspark.operators.simjoin import similar_texts
 from skillspark.plans import pipeline
@@ -157,3 +158,46 @@ def test_frames_of_canonical_records(spark, tmp_path, monkeypatch):
 
 def test_frames_of_cross_source_groups(spark, tmp_path, monkeypatch):
     assert _frames_of("a23_cross_source_groups", spark, tmp_path, monkeypatch) <= 10_000
+
+
+def _broadcasts_of_keys(df):
+    """Broadcast joins in the final plan of a table that has been read, of which a side comes from Python without an exchange between."""
+    plan = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    found, lines = [], plan.splitlines()
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("Broadcast")
+            for below in lines[i + 1 :]:
+                name = re.search("[A-Za-z]", below)
+                if not name or name.start() <= depth or "ShuffleQueryStage" in below:
+                    break
+                if "MapInPandas" in below:
+                    found.append(below)
+    return found
+
+
+def test_keys_are_never_broadcast(spark):
+    texts = spark.createDataFrame([("x", f"senior backend engineer {i % 40}") for i in range(80)], "block string, text string")
+    for pairs in (simjoin.similar_pairs(texts, 87.5), similar_texts(texts, texts, 87.5)):
+        assert pairs.collect()
+        assert _broadcasts_of_keys(pairs) == []
+
+
+def _keys_broadcast_by(query, spark, tmp_path, monkeypatch):
+    """Broadcasts of keys in any plan that a query writes or returns, its table having one large block."""
+    done = []
+    cut = dedup.cut_lineage
+    for module in (dedup, graph):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: done.append(df) or cut(df))
+    monkeypatch.setattr(dedup, "MAX_BLOCK", 4)
+    titles = [f"Kỹ sư phần mềm cấp cao {i}" for i in range(12)]
+    spark.createDataFrame([(i, "ab"[i % 2], t, "ABC", None, None, None) for i, t in enumerate(titles)], SCHEMA).write.parquet(f"{tmp_path}/job_records.parquet")
+    out = pipeline.queries()[query](spark, str(tmp_path))
+    assert out.collect()
+    for df in done:
+        df.collect()  # a plan is final once it has run
+    return [x for df in [*done, out] for x in _broadcasts_of_keys(df)]
+
+
+def test_pairs_with_accents_broadcast_no_keys(spark, tmp_path, monkeypatch):
+    assert _keys_broadcast_by("j11_duplicate_pairs_accents", spark, tmp_path, monkeypatch) == []
