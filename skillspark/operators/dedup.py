@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skillspark.functions.text import company_key, norm_text, similar, strip_accents, token_sort
-from skillspark.operators.graph import link_groups
+from skillspark.operators.graph import both_ways, link_groups
 from skillspark.operators.simjoin import similar_pairs
 from skillspark.session import cut_lineage
 
@@ -32,53 +32,68 @@ def signatures(records: DataFrame, accents: bool = True) -> DataFrame:
     )
 
 
-def duplicate_signatures(signed: DataFrame) -> DataFrame:
-    """(block, t, c, t2, c2): pairs of different signatures that mean the same posting; records of one signature need no pair."""
-    sig = cut_lineage(signed.select("block", "t", "c").distinct())
-    sizes = sig.groupBy("block").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > MAX_BLOCK).select("block")
-    small = sig.join(large, "block", "left_anti")
-    same_company = similar(F.col("c"), F.col("c2"), COMPANY_SIMILARITY)
-    other = lambda x: x.select("block", F.col("t").alias("t2"), F.col("c").alias("c2"))
+def _sized(signed: DataFrame, key: str | None = None) -> DataFrame:
+    """Each signature once: block, t, c, large (its block is joined by segments) and, with key, first: the smallest key of its records."""
+    sig = signed.groupBy("block", "t", "c").agg(F.min(key).alias("first")) if key else signed.select("block", "t", "c").distinct()
+    # counting a column that both sides of the join need lets them share one exchange
+    sizes = sig.groupBy("block").agg((F.count("first" if key else "t") > MAX_BLOCK).alias("large"))
+    return cut_lineage(sig.join(sizes, "block"))
+
+
+def _similar(sig: DataFrame) -> DataFrame:
+    """Pairs of rows of _sized that mean the same posting, each once: block and all other columns but large, those of the second one with a 2 behind."""
+    own = [c for c in sig.columns if c not in ("block", "large")]
+    columns = ["block", *own, *(f"{c}2" for c in own)]
+    other = lambda x: x.select("block", *(F.col(c).alias(f"{c}2") for c in own))
     ordered = F.struct("t", "c") < F.struct("t2", "c2")
+    small, big = sig.where("NOT large").drop("large"), sig.where("large").drop("large")
+    same_company = similar(F.col("c"), F.col("c2"), COMPANY_SIMILARITY)
     near = small.join(other(small), "block").where(ordered & similar(F.col("t"), F.col("t2"), TITLE_SIMILARITY) & same_company)
-    big = sig.join(large, "block", "left_semi")
     text = lambda c: big.select("block", F.col(c).alias("text"))
     titles = similar_pairs(text("t"), TITLE_SIMILARITY).select("block", F.col("a").alias("t"), F.col("b").alias("t2"))  # the order of pairs begins with titles
     one_way = similar_pairs(text("c"), COMPANY_SIMILARITY).select("block", F.col("a").alias("c"), F.col("b").alias("c2"))
-    companies = one_way.unionByName(one_way.where("c <> c2").select("block", F.col("c2").alias("c"), F.col("c").alias("c2")))
+    companies = one_way.select("block", F.inline(both_ways("c", "c2")))
     # both sides are narrowed before signatures meet: neither one title with many companies nor one company with many titles is paired all with all
     near_both = big.join(titles, ["block", "t"]).join(companies, ["block", "c"])
-    far = near_both.where(ordered).join(other(big), ["block", "t2", "c2"], "left_semi")
-    columns = ["block", "t", "c", "t2", "c2"]
+    far = near_both.where(ordered).join(other(big), ["block", "t2", "c2"])
     return near.select(columns).unionByName(far.select(columns))
 
 
-def assign_groups(records: DataFrame, key: str = "rec_no", accents: bool = True) -> DataFrame:
-    """records with dup_group_id, the smallest key of the duplicate group.
+def duplicate_signatures(signed: DataFrame) -> DataFrame:
+    """(block, t, c, t2, c2): pairs of different signatures that mean the same posting; records of one signature need no pair."""
+    return _similar(_sized(signed))
+
+
+def group_labels(records: DataFrame, key: str = "rec_no", accents: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., dup_group_id) of records: dup_group_id is the smallest key of the duplicate group.
 
     Every record gets a group; one alone is its own. Keys must be unique. Null
-    companies are equal to each other, null titles are empty.
+    companies are equal to each other, null titles are empty. Columns in keep
+    travel with the signatures and should be narrow.
     """
-    signed = cut_lineage(signatures(records.select(key, "title", "company"), accents).select(key, "block", "t", "c"))
-    first = signed.groupBy("block", "t", "c").agg(F.min(key).alias("first"))
-    pairs = duplicate_signatures(signed)
-    edges = (
-        pairs.join(first.withColumnRenamed("first", "a"), ["block", "t", "c"])
-        .join(first.select("block", F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("first").alias("b")), ["block", "t2", "c2"])
-        .select("a", "b")
-    )
-    groups = link_groups(edges)
-    of_record = signed.join(first, ["block", "t", "c"]).select(key, "first")
-    labelled = of_record.join(groups.withColumnRenamed("node", "first"), "first", "left").select(key, F.coalesce("group", "first").alias("dup_group_id"))
-    return records.join(labelled, key)
+    signed = cut_lineage(signatures(records.select(key, "title", "company", *keep), accents).select(key, "block", "t", "c", *keep))
+    sig = _sized(signed, key)
+    groups = link_groups(_similar(sig).select(F.col("first").alias("a"), F.col("first2").alias("b")))
+    of_record = signed.join(sig.select("block", "t", "c", "first"), ["block", "t", "c"]).select(key, *keep, "first")
+    return of_record.join(groups.withColumnRenamed("node", "first"), "first", "left").select(key, *keep, F.coalesce("group", "first").alias("dup_group_id"))
 
 
-def mark_canonical(grouped: DataFrame, key: str = "rec_no") -> DataFrame:
-    """grouped with is_canonical: the record with labels, else the most text, else the smallest key."""
-    labelled = F.coalesce(F.size("extra.skills_given"), F.lit(-1)) > 0
+def assign_groups(records: DataFrame, key: str = "rec_no", accents: bool = True) -> DataFrame:
+    """records, all their columns, with the dup_group_id of group_labels."""
+    return records.join(group_labels(records, key, accents), key)
+
+
+def canonical_signs() -> list[Column]:
+    """What mark_canonical goes by, as narrow columns: has_labels and text_length."""
+    labels = F.coalesce(F.size("extra.skills_given"), F.lit(-1)) > 0
     text = F.length(F.coalesce("requirements_raw", F.lit(""))) + F.length(F.coalesce("description", F.lit("")))
-    order = W.partitionBy("dup_group_id").orderBy(labelled.desc(), text.desc(), key)
+    return [labels.alias("has_labels"), text.alias("text_length")]
+
+
+def mark_canonical(grouped: DataFrame, key: str = "rec_no") -> DataFrame:
+    """grouped with is_canonical: the record with labels, else the most text, else the smallest key. grouped may hold canonical_signs instead of the texts."""
+    labels, text = (F.col("has_labels"), F.col("text_length")) if "has_labels" in grouped.columns else canonical_signs()
+    order = W.partitionBy("dup_group_id").orderBy(labels.desc(), text.desc(), key)
     return grouped.withColumn("is_canonical", F.row_number().over(order) == 1)
 
 

@@ -9,7 +9,7 @@ rounds. The way back composes the rounds, from the last to the first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillspark.session import cut_lineage
@@ -19,6 +19,12 @@ from skillspark.session import cut_lineage
 JOINS_PER_PLAN = 5
 
 
+def both_ways(a: str, b: str) -> Column:
+    """(a, b) and, where they differ, (b, a), as an array for inline: a union would hold the plan of the pairs twice."""
+    there, back = F.struct(a, b), F.struct(F.col(b).alias(a), F.col(a).alias(b))
+    return F.when(F.col(a) == F.col(b), F.array(there)).otherwise(F.array(there, back))
+
+
 def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(node -> rep, edges between representatives) of edges(a, b), each held in both directions."""
     order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))
@@ -38,7 +44,7 @@ def link_groups(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     if max_rounds do not suffice.
     """
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    rest = cut_lineage(clean.unionByName(clean.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    rest = cut_lineage(clean.select(F.inline(both_ways("a", "b"))).distinct())
     rounds: list[DataFrame] = []
     while not rest.isEmpty():
         if len(rounds) == max_rounds:

@@ -45,7 +45,7 @@ def duplicate_pairs_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grouped(spark, sf_dir).select("rec_no", "dup_group_id")
+    return dedup.group_labels(records(spark, sf_dir))
 
 
 def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,3 +201,7 @@ def _keys_broadcast_by(query, spark, tmp_path, monkeypatch):
 
 def test_pairs_with_accents_broadcast_no_keys(spark, tmp_path, monkeypatch):
     assert _keys_broadcast_by("j11_duplicate_pairs_accents", spark, tmp_path, monkeypatch) == []
+
+
+def test_groups_broadcast_no_keys(spark, tmp_path, monkeypatch):
+    assert _keys_broadcast_by("m5_duplicate_groups", spark, tmp_path, monkeypatch) == []
