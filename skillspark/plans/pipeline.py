@@ -49,7 +49,9 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.mark_canonical(_grouped(spark, sf_dir)).where("is_canonical").select("dup_group_id", "rec_no")
+    signs = records(spark, sf_dir).select("rec_no", "title", "company", *dedup.canonical_signs())
+    grouped = dedup.group_labels(signs, keep=("has_labels", "text_length"))
+    return dedup.mark_canonical(grouped).where("is_canonical").select("dup_group_id", "rec_no")
 
 
 def cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,3 +205,7 @@ def test_pairs_with_accents_broadcast_no_keys(spark, tmp_path, monkeypatch):
 
 def test_groups_broadcast_no_keys(spark, tmp_path, monkeypatch):
     assert _keys_broadcast_by("m5_duplicate_groups", spark, tmp_path, monkeypatch) == []
+
+
+def test_canonical_records_broadcast_no_keys(spark, tmp_path, monkeypatch):
+    assert _keys_broadcast_by("a14_canonical_records", spark, tmp_path, monkeypatch) == []
