@@ -35,10 +35,6 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_signatures(dedup.signatures(records(spark, sf_dir), accents=False)).select("t", "c", "t2", "c2")
 
 
-def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.assign_groups(records(spark, sf_dir))
-
-
 def duplicate_pairs_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By titles with their accents."""
     return dedup.duplicate_signatures(dedup.signatures(records(spark, sf_dir))).select("t", "c", "t2", "c2")
@@ -55,7 +51,7 @@ def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.cross_source_groups(_grouped(spark, sf_dir))
+    return dedup.cross_source_groups(dedup.group_labels(records(spark, sf_dir), keep=("source",)))
 
 
 def match_links(spark: SparkSession, sf_dir: str) -> DataFrame:

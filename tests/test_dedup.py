@@ -209,3 +209,7 @@ def test_groups_broadcast_no_keys(spark, tmp_path, monkeypatch):
 
 def test_canonical_records_broadcast_no_keys(spark, tmp_path, monkeypatch):
     assert _keys_broadcast_by("a14_canonical_records", spark, tmp_path, monkeypatch) == []
+
+
+def test_cross_source_groups_broadcast_no_keys(spark, tmp_path, monkeypatch):
+    assert _keys_broadcast_by("a23_cross_source_groups", spark, tmp_path, monkeypatch) == []
